@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["packing", "token_files"]
+MODULES = ["language", "packing", "quality", "token_files"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
