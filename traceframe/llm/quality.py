@@ -33,11 +33,14 @@ SAMPLE_ROWS = 8_000
 BUCKETS, MIN_ROWS, MIN_Z, MAX_FEATURES = 1 << 18, 4, 3.5, 4_000
 #: Selected are texts whose probability of the highest grade is at least this.
 MIN_TAIL = 0.5
-STEPS, RATE, RIDGE = 250, 0.3, 0.05
+STEPS, RATE, RIDGE = 400, 0.3, 0.05
+#: Shares count as of so many words at least: one odd word of three says little.
+SHORT = 12
 CACHE_ENTRIES = 300_000
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _SHAPES = [(re.compile(r"[^\W\d_]+"), lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a"), (re.compile(r"\d+"), "0"), (re.compile(r"(\W)\1+"), r"\1")]
+_ODD = re.compile(r"[^\w.,;:!?'\"()/-]")
 _memo: dict[str, tuple[int, str]] = {}
 
 
@@ -67,9 +70,11 @@ def features(text: str | None) -> np.ndarray:
         bucket, shape = _word(word)
         found.add(bucket)
         shapes["s" + shape] += n
+        if _ODD.search(shape):
+            shapes["odd"] += n
     for shape, n in shapes.items():
         step = 0
-        while n and step <= 6 and (n << step) < len(words):
+        while n and step <= 6 and (n << step) < max(len(words), SHORT):
             step += 1
         found.update(_bucket("s", f"{shape}/{k}") for k in range(step, 7) if n)
     return np.array(sorted(found), np.int64)

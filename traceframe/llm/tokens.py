@@ -17,11 +17,11 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from collections.abc import Callable
 
-import numpy as np
-
-#: Entries of the piece cache before it is emptied, and characters encoded at a time.
-CACHE_ENTRIES, CHUNK_CHARS = 400_000, 2_000_000
+#: Entries of each of the two generations of a piece cache.
+CACHE_ENTRIES = 500_000
 
 _LINE = re.compile(r"(?<=\S)\n(?=\S)")
 _WORD = re.compile(r" (?=\S)")
@@ -51,58 +51,74 @@ def tokenizer_kind(path: str) -> str:
     return "whole"
 
 
+class _Pieces(dict):
+    """Ids of pieces, each encoded when first met.  What fell out of use is forgotten."""
+
+    def __init__(self, call: Callable[[str], bytes], word: Callable[[str], bytes], before: str, fold: bool):
+        super().__init__()
+        self.call, self.word, self.before, self.fold = call, word, before, fold
+        self.older: dict[str, bytes] = {}
+        self.ends = {c: call(c) for c in ".,"}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            end = self.ends.get(piece[-1:], b"")
+            bare = piece[:-1] if end else piece
+            if bare.isalpha() and max(bare) < "\u0100":  # Latin letters are one word to every splitter here, and a full stop or comma the next
+                low = bare.lower() if self.fold else bare
+                found = (self.word(self.before + low) if low == piece else self[low]) + end
+            else:
+                found = self.call(self.before + piece)
+        self[piece] = found
+        return found
+
+    def tidy(self) -> None:
+        """Keep what was used since the last time and drop the rest, if there is much."""
+        if len(self) > CACHE_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+
+
 class TextEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.alphabet = {c: letters.pre_tokenize_str(chr(c))[0][0] for c in (0x20, *range(0x80, 0x100))}
         self.kind = tokenizer_kind(path)
-        self.memo: dict[str, bytes] = {}
-        self.newline = self._ids(["\n"])[0] if self.kind == "leading" else b""
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _pieces(self, text: str) -> list[str]:
-        if self.kind == "dropped":
-            return text.replace("\n", " ").split(" ")
-        out: list[str] = []
-        for line in _LINE.split(text):
-            words = _WORD.split(line)
-            out.append(words[0])
-            out += [" " + w for w in words[1:]]
-            out.append("\n")
-        out.pop()
-        return out
+        fold = self.kind == "dropped"
+        self.first, self.rest = _Pieces(self._ids, self._word, "", fold), _Pieces(self._ids, self._word, " ", False)
+        self.newline = self._ids("\n")
+
+    def _ids(self, piece: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """As _ids for one word in its normal form: only the library's byte alphabet and its model are needed."""
+        return array("I", [t.id for t in self.model.tokenize(word.translate(self.alphabet))]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; a null text has none."""
-        out: list[bytes] = []
-        start = 0
-        while start < len(texts):
-            end, chars = start, 0
-            while end < len(texts) and (end == start or chars < CHUNK_CHARS):
-                chars += len(texts[end] or "")
-                end += 1
-            out += self._encode_chunk([t or "" for t in texts[start:end]])
-            start = end
-        return out
-
-    def _encode_chunk(self, texts: list[str]) -> list[bytes]:
-        if self.kind == "whole":
-            return self._ids(texts)
-        if len(self.memo) > CACHE_ENTRIES:
-            self.memo.clear()
-        memo = self.memo
-        pieces = [self._pieces(t) for t in texts]
-        new: set[str] = set()
-        for p in pieces:
-            new.update(set(p).difference(memo))
-        todo = list(new)
-        memo.update(zip(todo, self._ids(todo), strict=True))
-        return [b"".join(map(memo.__getitem__, p)) for p in pieces]
+        self.first.tidy()
+        self.rest.tidy()
+        one = {"dropped": self._dropped, "leading": self._leading, "whole": self._ids}[self.kind]
+        return [one(t) if t else b"" for t in texts]
+
+    def _dropped(self, text: str) -> bytes:
+        return b"".join(map(self.first.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def _leading(self, text: str) -> bytes:
+        plain = "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text
+        if plain and text.replace("\n", "").isprintable():  # else blanks of other kinds may touch
+            lines = [x.split(" ") for x in text.split("\n")]
+        else:
+            lines = [_WORD.split(x) for x in _LINE.split(text)]
+        first, rest = self.first, self.rest.__getitem__
+        return self.newline.join([first[x[0]] + b"".join(map(rest, x[1:])) for x in lines])
 
 
 def encoder(path: str) -> TextEncoder:
