@@ -2,7 +2,8 @@
 
 Writing.  Records with equal payloads have one full ``response`` (the largest page_id);
 the others are ``revisit`` records that name it.  Records are joined by blank lines, so
-Spark's text writer with that separator writes plain WARC 1.1 files to any store.
+Spark's text writer with that separator writes WARC 1.1 files, packed with gzip, to any
+store.  Offsets count unpacked bytes.
 
 Reading.  Each archive file is parsed by its Content-Length headers and gives one run of
 index entries, sorted by (URL key, timestamp, page_id).
@@ -20,6 +21,7 @@ captures of their own; other columns are not read; an empty table writes no reco
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -31,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceframe.plans.scratch import materialize, scratch_path
+from traceframe.plans.sizing import bounded_broadcast
 
 #: Payloads under this many bytes are never revisits; about so many bytes and entries go to a file and a range.
 MIN_BYTES, FILE_BYTES, RANGE_ROWS = 0, 24_000_000, 50_000
@@ -118,12 +121,13 @@ class LoserTree:
 def write_warc(
     pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = MIN_BYTES
 ) -> None:
-    """Write the archives: ``part-*.txt`` files that are plain WARC 1.1."""
+    """Write the archives: ``part-*.txt.gz`` files that are WARC 1.1 when unpacked."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     own = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     keyed = own.withColumn("sha", F.sha1("payload"))
-    # The largest id of each payload that repeats; a unique payload needs no partner, so a hot payload is the only hot key here.
-    firsts = keyed.groupBy("sha").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    # The largest id of each payload that repeats; if these are few, no payload is shuffled.
+    repeated = keyed.groupBy("sha").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    firsts = bounded_broadcast(materialize(repeated, "repeated"))
     total = own.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("payload")).alias("bytes")).first()
     per_file = max(1, int(FILE_BYTES / (1_000 + (total.bytes or 0) / max(total.n, 1))))
     marked = keyed.join(firsts, "sha", "left").select(
@@ -138,7 +142,7 @@ def write_warc(
                 yield pa.RecordBatch.from_arrays([pa.array([_record(r) for r in part.to_pylist()], pa.binary())], names=["record"])
 
     written = marked.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value"))
-    written.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+    written.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def _record(r: dict) -> bytes:
@@ -196,7 +200,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 archive = name.rsplit("/", 1)[-1]
-                found = sorted((_entry(*r, archive) for r in parse_warc(data.as_buffer().to_pybytes())), key=_key)
+                found = sorted((_entry(*r, archive) for r in parse_warc(gzip.decompress(data.as_buffer()))), key=_key)
                 for lo in range(0, len(found), 5_000):
                     yield _batch(found[lo : lo + 5_000])
 
