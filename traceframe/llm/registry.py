@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["decontamination", "language", "line_dedup", "packing", "quality", "token_files", "warc"]
+MODULES = ["ann", "decontamination", "language", "line_dedup", "near_dedup", "packing", "quality", "secrets", "token_files", "warc"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
