@@ -45,11 +45,13 @@ def _upto(last: Column) -> Column:
 
 
 def _runs(own: DataFrame) -> DataFrame:
-    """Adds ``runs``: stretches of windows with one fingerprint (first window, words around, print).
+    """Adds ``runs``: stretches of windows with one fingerprint (print, first window, words around).
 
-    ``own`` has ``h``, the word hashes.
+    ``own`` has ``h``, the word hashes, at least WINDOW of them.
     """
-    grams = F.transform(_upto(F.size("h") - K), lambda i: F.xxhash64(*[F.get("h", i + d) for d in range(K)]))
+    mix = lambda *x: F.xxhash64(*x)
+    word = lambda i, d: F.get("h", i + d)
+    grams = F.transform(_upto(F.size("h") - K), lambda i: mix(mix(mix(word(i, 0), word(i, 1)), mix(word(i, 2), word(i, 3))), word(i, 4)))
     prints = F.transform(_upto(F.size("h") - WINDOW), lambda j: F.least(*[F.get("g", j + d) for d in range(W)]))
     starts = F.filter(_upto(F.size("h") - WINDOW), lambda j: (j == 0) | (F.get("p", j) != F.get("p", j - 1)))
     run = F.transform(
@@ -70,25 +72,49 @@ def _windows(first: Column, words: Column, length: int) -> Column:
     )
 
 
-def find_hits(docs: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, start, length and item_id of every occurrence of an item's window in a document.
+def _prints(h: Column) -> Column:
+    """The distinct fingerprints of a text of at least WINDOW words, from its word hashes.
 
-    Both tables have ``h``, the word hashes.  Item windows are stored once; they are
-    broadcast if few, and joined by shuffling if not.  The arrays are laid out with outer
-    explodes, as an inner one has the optimizer compute them once more to test their size.
+    Sliding hashes and minima over K = 5 and W = 6 places are put together from those over
+    1, 2 and 4; the places past the end, where an operand is missing, are cut off at last.
+    """
+    shift = lambda a, d: F.slice(a, F.lit(d + 1), F.greatest(F.size(a) - d, F.lit(0)))
+    two = F.zip_with(h, shift(h, 1), lambda a, b: F.xxhash64(a, b))
+    four = F.zip_with(two, shift(two, 2), lambda a, b: F.xxhash64(a, b))
+    five = F.zip_with(four, shift(h, 4), lambda a, b: F.xxhash64(a, b))
+    pair = F.zip_with(five, shift(five, 1), lambda a, b: F.least(a, b))
+    quad = F.zip_with(pair, shift(pair, 2), lambda a, b: F.least(a, b))
+    six = F.zip_with(quad, shift(pair, 4), lambda a, b: F.least(a, b))
+    return F.array_distinct(F.slice(six, F.lit(1), F.size(h) - WINDOW + 1))
+
+
+def find_hits(docs: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """``key``, start, length and item_id of every occurrence of an item's window in a document.
+
+    ``docs`` has the key and the text, ``items`` has item_id and ``h``, the word hashes.
+    Fingerprints single out the documents that share any; only in those are the stretches
+    of windows around shared fingerprints laid out and compared.  Item windows are stored
+    once; they are broadcast if few, and joined by shuffling if not.  Arrays are laid out
+    with outer explodes, as for an inner one the optimizer computes them twice.
     """
     held = materialize(items.filter(F.size("h") > 0), "items")
     long_items, short = held.filter(F.size("h") >= WINDOW), held.filter(F.size("h") < WINDOW)
-    prints = materialize(_runs(long_items).select(F.explode_outer("runs.print").alias("print")).filter("print is not null").distinct(), "prints")
-    whole = materialize(long_items.select("item_id", F.explode_outer(_windows(F.lit(0), F.col("h"), WINDOW)).alias("w")).select("item_id", "w.window", F.col("w.words").alias("held")).distinct(), "windows")
-    runs = _runs(docs.select(*keys, "h").filter(F.size("h") >= WINDOW)).select(*keys, F.explode_outer("runs").alias("r"))
-    near = runs.select(*keys, F.col("r.print").alias("print"), F.col("r.first").alias("first"), F.col("r.words").alias("words")).join(bounded_broadcast(prints), "print", "left_semi")
-    found = near.select(*keys, F.explode_outer(_windows(F.col("first"), F.col("words"), WINDOW)).alias("w")).select(*keys, "w.*")
-    parts = [found.join(bounded_broadcast(whole), "window").filter("words = held").select(*keys, "start", F.lit(WINDOW).alias("length"), "item_id")]
+    prints = materialize(long_items.select(F.explode_outer(_prints(F.col("h"))).alias("print")).distinct(), "prints")
+    windows = long_items.select("item_id", F.explode_outer(_windows(F.lit(0), F.col("h"), WINDOW)).alias("w"))
+    whole = materialize(windows.select("item_id", "w.window", F.col("w.words").alias("held")).distinct(), "windows")
+
+    hashed = docs.select(key, word_hashes(F.col("text")).alias("h"))
+    seen = hashed.select(key, F.explode_outer(F.when(F.size("h") >= WINDOW, _prints(F.col("h")))).alias("print"))
+    near = materialize(seen.join(bounded_broadcast(prints), "print", "left_semi").select(key).distinct(), "near")
+    again = docs.join(bounded_broadcast(near), key, "left_semi").select(key, word_hashes(F.col("text")).alias("h"))
+    runs = _runs(again.filter(F.size("h") >= WINDOW)).select(key, F.explode_outer("runs").alias("r"))
+    around = runs.select(key, "r.print", "r.first", "r.words").join(bounded_broadcast(prints), "print", "left_semi")
+    found = around.select(key, F.explode_outer(_windows(F.col("first"), F.col("words"), WINDOW)).alias("w")).select(key, "w.*")
+    parts = [found.join(bounded_broadcast(whole), "window").filter("words = held").select(key, "start", F.lit(WINDOW).alias("length"), "item_id")]
     for (n,) in short.select(F.size("h")).distinct().collect():  # fewer than WINDOW values
         keyed = materialize(short.filter(F.size("h") == n).select("item_id", F.xxhash64("h").alias("window"), F.col("h").alias("held")).distinct(), f"short{n}")
-        every = docs.select(*keys, F.explode_outer(_windows(F.lit(0), F.col("h"), n)).alias("w")).select(*keys, "w.*")
-        parts.append(every.join(bounded_broadcast(keyed), "window").filter("words = held").select(*keys, "start", F.lit(n).alias("length"), "item_id"))
+        every = hashed.select(key, F.explode_outer(_windows(F.lit(0), F.col("h"), n)).alias("w")).select(key, "w.*")
+        parts.append(every.join(bounded_broadcast(keyed), "window").filter("words = held").select(key, "start", F.lit(n).alias("length"), "item_id"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -97,9 +123,8 @@ def decontaminate(
 ) -> DataFrame:
     """id, row_hash, n_words, n_hit, spans of hit words, items and contaminated, for every row."""
     row = [F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_hash")]
-    keyed = docs.select(*row, word_hashes(F.col(text_col)).alias("h"))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item_id"), word_hashes(F.col(item_text_col)).alias("h"))
-    hits = find_hits(keyed.select("row_hash", "h"), items, ["row_hash"])
+    hits = find_hits(docs.select(row[1], F.col(text_col).alias("text")), items, "row_hash")
     places = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1))))
     by_row = hits.groupBy("row_hash").agg(F.collect_set(F.struct("start", "length")).alias("at"), F.array_sort(F.collect_set("item_id")).alias("items"))
     found = by_row.select("row_hash", F.array_sort(places).alias("hit_words"), "items")
