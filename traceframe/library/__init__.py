@@ -1,0 +1,8 @@
+"""Queries over the driver tables and over small fixtures; importing this registers them all."""
+
+from traceframe.library import (  # noqa: F401
+    aggregates,
+    joins,
+    lexical,
+    projections,
+)
