@@ -22,21 +22,23 @@ from pyspark.sql import functions as F
 from traceframe.plans.scratch import materialize
 from traceframe.plans.sizing import bounded_broadcast
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of a text whose capitals are not folded yet: folding A-Z moves no boundary.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]++"
 WINDOW, K = 10, 5
 W = WINDOW - K + 1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z in lower case, everything else as it is."""
-    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+def ascii_lower(word: Column) -> Column:
+    """A-Z in lower case, everything else as it is; only words with other capitals take the slow way."""
+    low = F.lower(word)
+    return F.when((F.length(word) == F.octet_length(word)) | (low == word), low).otherwise(F.translate(word, _UPPER, _LOWER))
 
 
 def word_hashes(text: Column) -> Column:
     """64-bit hashes of the words in order; a null text has none."""
-    words = F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    return F.transform(words, lambda w: F.xxhash64(w))
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    return F.transform(words, lambda w: F.xxhash64(ascii_lower(w)))
 
 
 def _upto(last: Column) -> Column:
@@ -72,20 +74,22 @@ def _windows(first: Column, words: Column, length: int) -> Column:
     )
 
 
-def _prints(h: Column) -> Column:
-    """The distinct fingerprints of a text of at least WINDOW words, from its word hashes.
+def _prints(hashed: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and each distinct fingerprint of the texts with at least WINDOW words.
 
-    Sliding hashes and minima over K = 5 and W = 6 places are put together from those over
-    1, 2 and 4; the places past the end, where an operand is missing, are cut off at last.
+    ``hashed`` has the keys and ``h``.  Sliding hashes and minima over K = 5 and W = 6
+    places are put together from those over 1, 2 and 4, a projection each, so that each is
+    computed once; places past the end, where an operand is missing, are cut off at last.
     """
     shift = lambda a, d: F.slice(a, F.lit(d + 1), F.greatest(F.size(a) - d, F.lit(0)))
-    two = F.zip_with(h, shift(h, 1), lambda a, b: F.xxhash64(a, b))
-    four = F.zip_with(two, shift(two, 2), lambda a, b: F.xxhash64(a, b))
-    five = F.zip_with(four, shift(h, 4), lambda a, b: F.xxhash64(a, b))
-    pair = F.zip_with(five, shift(five, 1), lambda a, b: F.least(a, b))
-    quad = F.zip_with(pair, shift(pair, 2), lambda a, b: F.least(a, b))
-    six = F.zip_with(quad, shift(pair, 4), lambda a, b: F.least(a, b))
-    return F.array_distinct(F.slice(six, F.lit(1), F.size(h) - WINDOW + 1))
+    hash2 = lambda a, b: F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
+    least = lambda a, b: F.zip_with(a, b, lambda x, y: F.least(x, y))
+    two = hashed.select(*keys, "h", hash2("h", shift("h", 1)).alias("two"))
+    five = two.select(*keys, F.size("h").alias("n"), hash2(hash2("two", shift("two", 2)), shift("h", 4)).alias("five"))
+    pair = five.select(*keys, "n", least("five", shift("five", 1)).alias("pair"))
+    quad = pair.select(*keys, "n", "pair", least("pair", shift("pair", 2)).alias("quad"))
+    six = F.slice(least("quad", shift("pair", 4)), F.lit(1), F.greatest(F.col("n") - WINDOW + 1, F.lit(0)))
+    return quad.select(*keys, F.explode_outer(F.array_distinct(six)).alias("print"))
 
 
 def find_hits(docs: DataFrame, items: DataFrame, key: str) -> DataFrame:
@@ -99,13 +103,12 @@ def find_hits(docs: DataFrame, items: DataFrame, key: str) -> DataFrame:
     """
     held = materialize(items.filter(F.size("h") > 0), "items")
     long_items, short = held.filter(F.size("h") >= WINDOW), held.filter(F.size("h") < WINDOW)
-    prints = materialize(long_items.select(F.explode_outer(_prints(F.col("h"))).alias("print")).distinct(), "prints")
+    prints = materialize(_prints(long_items).distinct(), "prints")
     windows = long_items.select("item_id", F.explode_outer(_windows(F.lit(0), F.col("h"), WINDOW)).alias("w"))
     whole = materialize(windows.select("item_id", "w.window", F.col("w.words").alias("held")).distinct(), "windows")
 
     hashed = docs.select(key, word_hashes(F.col("text")).alias("h"))
-    seen = hashed.select(key, F.explode_outer(F.when(F.size("h") >= WINDOW, _prints(F.col("h")))).alias("print"))
-    near = materialize(seen.join(bounded_broadcast(prints), "print", "left_semi").select(key).distinct(), "near")
+    near = materialize(_prints(hashed, key).join(bounded_broadcast(prints), "print", "left_semi").select(key).distinct(), "near")
     again = docs.join(bounded_broadcast(near), key, "left_semi").select(key, word_hashes(F.col("text")).alias("h"))
     runs = _runs(again.filter(F.size("h") >= WINDOW)).select(key, F.explode_outer("runs").alias("r"))
     around = runs.select(key, "r.print", "r.first", "r.words").join(bounded_broadcast(prints), "print", "left_semi")
@@ -128,7 +131,7 @@ def decontaminate(
     places = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1))))
     by_row = hits.groupBy("row_hash").agg(F.collect_set(F.struct("start", "length")).alias("at"), F.array_sort(F.collect_set("item_id")).alias("items"))
     found = by_row.select("row_hash", F.array_sort(places).alias("hit_words"), "items")
-    counted = docs.select(*row, F.regexp_count(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD)).cast("bigint").alias("n_words"))
+    counted = docs.select(*row, F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("bigint").alias("n_words"))
     joined = counted.join(found, "row_hash", "left")
     none = F.array().cast("array<string>")
     return joined.select(
