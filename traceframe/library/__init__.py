@@ -2,7 +2,10 @@
 
 from traceframe.library import (  # noqa: F401
     aggregates,
+    conditions,
     joins,
     lexical,
     projections,
+    retrieval,
+    settings,
 )
