@@ -3,6 +3,7 @@
 from traceframe.library import (  # noqa: F401
     aggregates,
     conditions,
+    evaluation,
     joins,
     lexical,
     projections,
