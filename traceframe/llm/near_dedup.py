@@ -6,13 +6,17 @@
    dropped; the others are counted.  Two nodes that agree in at least MATCHES coordinates
    agree in one of any COORDS - MATCHES + 1 of them, so each node posts only that many,
    its rarest (those held by nobody else come first and need no posting).
-3. In each posting list, every node is compared with the list's first node only: the
+3. In each posting list, every node is compared with the list's central node only: the
    collisions are counted over the full signatures, pairs below MATCHES are skipped, the
    rest is confirmed on the full sets.  The number of pairs follows the postings, however
    long a list is.
 4. Lists whose nodes are not in one component after that are gone through once more, for
    all their pairs between different components; those inside one component need no test.
 
+Before 3 and 4, the shingles that a set alone holds are counted.  They bound every
+similarity of that set from above, so edited copies that are too far from all others
+leave the lists, and pairs that cannot be similar enough are not formed.
+
 So no link between different components is lost but by the signature threshold: at the
 default similarity of 0.85, MATCHES lies five standard deviations below the mean.
 
@@ -28,9 +32,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from traceframe.operators.graph import connected_components
 from traceframe.plans.scratch import materialize
@@ -134,6 +137,33 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: st
     return own.join(bounded_broadcast(nodes), "node", "left_semi").mapInArrow(hashed, "node bigint, grams binary")
 
 
+def linkable(sets: DataFrame, similarity: int) -> DataFrame:
+    """node, n (size of its set) and own (shingles that no other set holds) of the nodes that a link is possible for."""
+
+    def laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                grams = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(1)[lo : lo + 500]]
+                node = np.repeat(batch.column(0)[lo : lo + 500].to_numpy(), [len(g) for g in grams])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(grams))], names=["node", "gram"])
+
+    every = sets.mapInArrow(laid_out, "node bigint, gram bigint")
+    alone = every.groupBy("gram").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("held")).filter("held = 1")
+    own = alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    sized = sets.select("node", (F.length("grams") / 8).cast("bigint").alias("n")).join(own, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    return sized.filter(100 * (F.col("n") - F.col("own")) >= similarity * F.col("n"))
+
+
+def _may_link(similarity: int) -> Column:
+    """Can the sets of a and b be similar enough, by their sizes and what each has alone?
+
+    The intersection has nothing that one has alone, and the union has all of it.
+    """
+    common = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
+    union = F.greatest(F.col("na") + F.col("ob"), F.col("nb") + F.col("oa"))
+    return 100 * common >= similarity * union
+
+
 def find_components(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY
 ) -> DataFrame:
@@ -143,19 +173,28 @@ def find_components(
     linked = own.filter("n_shingles > 0 and doc_id is not null")
     nodes = materialize(linked.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.min_by("sig", "doc_id").alias("sig")), "nodes")
     posted = materialize(postings(nodes, matches), "postings")
-    lists = posted.groupBy("pair").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     sets = materialize(shingle_sets(docs, materialize(posted.select("node").distinct(), "posted"), id_col=id_col, text_col=text_col, words=words), "sets")
+    posted = materialize(posted.join(linkable(sets, similarity), "node"), "linkable")
 
-    to_first = posted.join(lists.select("pair", "first"), "pair").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    a = lambda df, *more: df.select("pair", F.col("node").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"), *more)
+    b = lambda df, *more: df.select("pair", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"), *more)
+    first = F.min(F.struct("own", "node", "n"))  # the one with least of its own: in a group of edited copies, the text they come from
+    lists = posted.groupBy("pair").agg(first.alias("f"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("pair", "f.*")
+    to_first = a(lists).join(b(posted), "pair").filter((F.col("a") != F.col("b")) & _may_link(similarity)).select("a", "b").distinct()
     links = materialize(confirm(to_first, nodes, sets, matches, similarity), "links")
     found = connected_components(links, "a", "b")
 
     placed = posted.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("pair").agg(F.min("node").alias("first"), F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high and n > 2")
-    rest = materialize(placed.join(mixed.select("pair", "first"), "pair").filter("node <> first").select("pair", "node", "component"), "rest")
+    mixed = placed.groupBy("pair").agg(F.min(F.struct("own", "node"))["node"].alias("first"), F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("held")).filter("low <> high and held > 2")
+    rest = materialize(placed.join(mixed.select("pair", "first"), "pair").filter("node <> first").select("pair", "node", "n", "own", "component"), "rest")
     if not rest.isEmpty():
-        other = rest.select("pair", F.col("node").alias("b"), F.col("component").alias("cb"))
-        across = rest.select("pair", F.col("node").alias("a"), F.col("component").alias("ca")).join(other, "pair").filter("a < b and ca <> cb").select("a", "b").distinct()
+        # Each pair of nodes is formed in one of the lists that both are in.
+        keys = rest.groupBy("node").agg(F.collect_set("pair").alias("keys"))
+        rest = rest.join(keys, "node")
+        once = F.array_min(F.array_intersect("ka", "kb")) == F.col("pair")
+        left, right = a(rest, F.col("component").alias("ca"), F.col("keys").alias("ka")), b(rest, F.col("component").alias("cb"), F.col("keys").alias("kb"))
+        parted = left.join(right, "pair").filter(F.expr("a < b and ca <> cb") & _may_link(similarity) & once)
+        across = parted.select("a", "b").distinct()
         links = links.unionByName(confirm(across, nodes, sets, matches, similarity))
         found = connected_components(links, "a", "b")
 
