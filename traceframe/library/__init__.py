@@ -9,4 +9,5 @@ from traceframe.library import (  # noqa: F401
     projections,
     retrieval,
     settings,
+    sources,
 )

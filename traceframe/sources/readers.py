@@ -64,9 +64,10 @@ def scenario_rows(lines: DataFrame, sep: str = ";") -> DataFrame:
     with # are skipped, rows may be short, blank cells are absent, of columns with one name
     the last counts.
     """
-    cells = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(400))), {"sep": sep, "quote": '"'})
-    rows = lines.filter(F.trim("line") != "").select("path", "n", F.array(*[cells[f"c{i}"] for i in range(400)]).alias("cells"))
-    rows = rows.select("path", "n", F.transform("cells", lambda c: F.trim(c)).alias("cells"))
+    cell = rf'(?:^|{re.escape(sep)})("(?:[^"]|"")*"|[^{re.escape(sep)}]*)'
+    found = F.regexp_extract_all("line", F.lit(cell), F.lit(1))
+    bare = F.transform(found, lambda c: F.trim(F.when(c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c)))
+    rows = lines.filter(F.trim("line") != "").select("path", "n", bare.alias("cells"))
     heads = rows.groupBy("path").agg(F.min_by("cells", "n").alias("names"), F.min("n").alias("head"))
     body = rows.join(F.broadcast(heads), "path").filter((F.col("n") > F.col("head")) & F.coalesce(~F.get("cells", 0).startswith("#") & (F.get("cells", 0) != ""), F.lit(False)))
     pairs = F.filter(F.zip_with("names", "cells", lambda k, v: F.struct(k.alias("key"), v.alias("value"))), lambda p: p["key"].isNotNull() & F.coalesce(p["value"] != "", F.lit(False)))
