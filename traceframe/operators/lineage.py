@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 def computed_from(uses: DataFrame, name: str) -> DataFrame:
     """Statements that assign the name, with their inputs in order of mention (none: loaded or constant)."""
     own = uses.filter((F.lower("name") == name.lower()) & (F.col("role") == "assigned")).select("path", "statement").distinct()
-    inputs = uses.filter("role = 'read'").groupBy("path", "statement", "name").agg(F.min("line").alias("line"))
-    listed = inputs.groupBy("path", "statement").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "name"))), lambda x: x["name"]).alias("inputs"))
+    at = F.struct("line", "place") if "place" in uses.columns else F.struct("line")
+    inputs = uses.filter("role = 'read'").groupBy("path", "statement", "name").agg(F.min(at).alias("at"))
+    listed = inputs.groupBy("path", "statement").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("inputs"))
     return own.join(listed, ["path", "statement"], "left").select("path", "statement", F.coalesce("inputs", F.array().cast("array<string>")).alias("inputs"))
 
 
