@@ -50,8 +50,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of power-of-two length, with their ids."""
-    return packing.pack(docs, public_path("byte_bpe_50k.json"))
+    """Sequences of power-of-two length, with their ids; workers of later stages need the memory of its cache."""
+    return packing.pack(docs, public_path("byte_bpe_50k.json"), keep_cache=False)
 
 
 STAGES = [

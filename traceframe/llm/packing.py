@@ -41,10 +41,13 @@ def piece_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
 
 def pack(
     docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, longest: int = MAX_LENGTH, id_col: str = "doc_id",
-    text_col: str = "text",
+    text_col: str = "text", keep_cache: bool = True,
 ) -> DataFrame:
     """One row for each piece, with its ids as little-endian unsigned 32-bit integers.
 
+    ``keep_cache`` lets a worker keep its cache of words for its next task; without it,
+    tasks are slower and workers small.
+
     One pass over the documents without a shuffle.  ``sequence_id`` is the task's number
     times 2**33 plus a running number, so it is unique, and a task that runs again gives
     the same ids.
@@ -74,6 +77,8 @@ def pack(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema
                 )
+        if not keep_cache:
+            enc.forget()
 
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return own.mapInArrow(pieces, SCHEMA)

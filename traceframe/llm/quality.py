@@ -36,7 +36,7 @@ MIN_TAIL = 0.5
 STEPS, RATE, RIDGE = 400, 0.3, 0.05
 #: Shares count as of so many words at least: one odd word of three says little.
 SHORT = 12
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _SHAPES = [(re.compile(r"[^\W\d_]+"), lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a"), (re.compile(r"\d+"), "0"), (re.compile(r"(\W)\1+"), r"\1")]
@@ -169,6 +169,7 @@ def rate(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
             tails = shared.value.tails(score)
             top = tails[:, -1] if tails.shape[1] else np.ones(len(score))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(1)), pa.array(top)], names=["id", "expected_grade", "p_top"])
+        _memo.clear()  # an idle worker holds no memory for it
 
     kind = dict(docs.dtypes)[id_col]
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -184,6 +185,7 @@ def select(docs: DataFrame, model: Model, *, text_col: str = "text", min_tail: f
             score = np.array([shared.value.weights[features(t)].sum() for t in batch.column(at).to_pylist()], float)
             tails = shared.value.tails(score)
             yield batch.filter(pa.array(tails[:, -1] >= min_tail if tails.shape[1] else np.ones(len(score), bool)))
+        _memo.clear()
 
     return docs.mapInArrow(kept, docs.schema)
 

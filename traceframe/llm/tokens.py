@@ -94,6 +94,12 @@ class TextEncoder:
         self.first, self.rest = _Pieces(self._ids, self._word, "", fold), _Pieces(self._ids, self._word, " ", False)
         self.newline = self._ids("\n")
 
+    def forget(self) -> None:
+        """Empty the caches, so that an idle worker holds no memory for them."""
+        for cache in (self.first, self.rest):
+            cache.clear()
+            cache.older = {}
+
     def _ids(self, piece: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
 
