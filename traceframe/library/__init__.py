@@ -10,4 +10,5 @@ from traceframe.library import (  # noqa: F401
     retrieval,
     settings,
     sources,
+    views,
 )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceframe.functions import kleene as K
+from traceframe.functions.text import normal_value, same_value
 from traceframe.operators.graph import connected_components
 from traceframe.plans.scratch import materialize
 
@@ -80,3 +81,44 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 def weak_components(edges: DataFrame) -> DataFrame:
     return connected_components(edges)
+
+
+def stated_defaults(prose: DataFrame, settings: DataFrame) -> DataFrame:
+    """path, line, name, stated and value where prose (path, line, text) states another default than is set (name, value)."""
+    pattern = r"(?i)\b([a-z]\w*_\w+)\b[^.;]{0,40}?\bdefault(?:s to| is|:| =|)\s*[:=]?\s*([\w.%+-]+)"
+    said = prose.select("path", "line", F.lower(F.regexp_extract("text", pattern, 1)).alias("name"), normal_value(F.regexp_extract("text", pattern, 2)).alias("stated")).filter("name <> ''")
+    held = settings.select(F.lower("name").alias("name"), normal_value(F.col("value")).alias("value"))
+    return said.join(held, "name").filter(~same_value(F.col("stated"), F.col("value")))
+
+
+def lost_pointers(prose: DataFrame, files: DataFrame) -> DataFrame:
+    """path, line and pointer where prose names a source file that does not exist, as it stands or below modules/."""
+    pattern = r"\b((?:[\w-]+/)+[\w-]+\.(?:gms|R|md))\b"
+    said = prose.select("path", "line", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("pointer"))
+    known = files.select(F.col("path").alias("pointer")).union(files.filter("path like 'modules/%'").select(F.regexp_replace("path", "^modules/", ""))).distinct()
+    return said.join(known, "pointer", "left_anti").select("path", "line", "pointer")
+
+
+def unknown_realizations(prose: DataFrame, known: DataFrame) -> DataFrame:
+    """path, line, module and realization where prose sets a module to a realization that it has not (known: module, realization)."""
+    pattern = r"\b([A-Za-z]\w*)\s*=\s*[\"']?([A-Za-z]\w*)"
+    said = prose.select("path", "line", F.lower(F.regexp_extract("text", pattern, 1)).alias("module"), F.regexp_extract("text", pattern, 2).alias("realization"))
+    modules = known.select(F.lower(F.regexp_replace("module", "^[^_]*_", "")).alias("module"), "realization")
+    own = said.join(modules.select("module").distinct(), "module", "left_semi")
+    return own.join(modules, ["module", "realization"], "left_anti").select("path", "line", "module", "realization")
+
+
+def message_issues(aborts: DataFrame, known: DataFrame) -> DataFrame:
+    """Aborts (id, module, realization, message) whose message names another realization of the same module."""
+    words = aborts.select("id", "module", "realization", F.explode(F.array_distinct(F.regexp_extract_all("message", F.lit(r"[A-Za-z]\w*"), F.lit(0)))).alias("named"))
+    others = known.select("module", F.col("realization").alias("named"))
+    return words.join(others, ["module", "named"]).filter("named <> realization").select("id", "named")
+
+
+def steering(uses: DataFrame, active: DataFrame) -> DataFrame:
+    """module, realization, switch, kind (strongest of compile, guard, read) and whether all active realizations use it."""
+    rank = F.when(F.col("kind") == "compile", 0).when(F.col("kind") == "guard", 1).otherwise(2)
+    by = uses.join(active, ["module", "realization"], "left_semi").groupBy("module", "realization", "switch").agg(F.min(rank).alias("rank"))
+    need = active.groupBy("module").agg(F.countDistinct("realization").alias("need"))
+    shared = by.groupBy("module", "switch").agg(F.countDistinct("realization").alias("have")).join(need, "module").select("module", "switch", ((F.col("have") == F.col("need")) & (F.col("need") > 1)).alias("common"))
+    return by.join(shared, ["module", "switch"]).select("module", "realization", "switch", F.element_at(F.array(F.lit("compile"), F.lit("guard"), F.lit("read")), F.col("rank") + 1).alias("kind"), "common")

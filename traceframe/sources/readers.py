@@ -92,7 +92,7 @@ def analyser_export(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     raw = spark.read.option("multiLine", True).json(path)
     out = {}
     for name in ("interfaces", "not_used", "declarations", "modules"):
-        if name in raw.columns:
+        if dict(raw.dtypes).get(name, "").startswith("array<struct"):
             out[name] = raw.select(F.explode(name).alias("r")).select("r.*")
     return out
 
