@@ -14,6 +14,7 @@ from traceframe.functions import kleene as K
 from traceframe.functions.lines import statement_id
 from traceframe.functions.text import module_matches, query_terms, shorten, unquoted
 from traceframe.operators import lineage, search, settings, uses
+from traceframe.plans.shipping import ship
 from traceframe.sources import readers, snapshot
 
 Embedder = Callable[[DataFrame], DataFrame]
@@ -33,6 +34,7 @@ def build_snapshot(
     embedder: Embedder | None = None, reuse: str | None = None, publish: bool = True,
 ) -> str:
     """Read the files below ``root`` (or take ``files``: path, text), derive all tables, write and publish them."""
+    ship(spark)
     files = readers.source_files(spark, root, extra=["main.cfg"]) if files is None else files
     chunks = uses.file_chunks(files)
     ids = F.xxhash64("path", "line_start", "kind")
@@ -60,6 +62,7 @@ def build_snapshot(
 
 class Engine:
     def __init__(self, spark: SparkSession, path: str):
+        ship(spark)
         self.spark, self.path = spark, path
 
     def table(self, name: str) -> DataFrame:
