@@ -195,8 +195,8 @@ def find_components(
         left, right = a(rest, F.col("component").alias("ca"), F.col("keys").alias("ka")), b(rest, F.col("component").alias("cb"), F.col("keys").alias("kb"))
         parted = left.join(right, "pair").filter(F.expr("a < b and ca <> cb") & _may_link(similarity) & once)
         across = parted.select("a", "b").distinct()
-        links = links.unionByName(confirm(across, nodes, sets, matches, similarity))
-        found = connected_components(links, "a", "b")
+        more = materialize(confirm(across, nodes, sets, matches, similarity), "more_links")
+        found = connected_components(links.unionByName(more), "a", "b")
 
     members = linked.select("set_hash", "doc_id").distinct().join(nodes.select("set_hash", "node"), "set_hash").join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     least = materialize(members.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "members")
