@@ -196,6 +196,16 @@ def test_line_dedup_and_decontamination_on_odd_texts(spark, docs):
     assert found.count() == len(rows) and decontamination.decontaminate(docs([]), items).count() == 0
 
 
+def test_line_dedup_looks_past_variants_that_lack_different_words(docs, tmp_path, spark):
+    rng = random.Random(3)
+    lines = ["z b c d e f", "a b c d e f", "b c d e f g", "b c d e f h"]
+    texts = [*lines, *("\n".join(" ".join(rng.choices("xyz", k=rng.randint(4, 8))) for _ in range(4)) for _ in range(40))]
+    docs(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_removed for r in line_dedup.op7_line_dedup(spark, str(tmp_path)).filter("doc_id < 4").collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1}
+    assert compare(spark, str(tmp_path), line_dedup.op7_line_dedup, line_dedup.ORACLE) == ""
+
+
 def test_quality(spark, docs):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     graded = quality.grades(labels)

@@ -10,10 +10,13 @@ the order of (doc_id, line number); lines of fewer than MIN_WORDS words always s
    pair.
 3. Of those, every variant with one word deleted (in the half that may differ) is emitted
    as a hashed key together with the place of the deletion (a replaced word), and without
-   it, beside the key of the whole line (an added or missing word).  Keys are counted, and
-   those held once dropped.  Lines that share a key are within one edit, so the earliest
-   place of each key is all that its members need: no pairs are formed.
-4. The earliest partner is looked up and the edit distance verified on the words.
+   it, beside the key of the whole line (an added or missing word).  Lines that share a key
+   with the place are within one edit; without it, the whole line and each variant are, but
+   not two variants, as these may lack different words.  Keys without such a pair are
+   dropped.  The earliest variant and the whole line of each key are all that its members
+   need: no pairs are formed.
+4. The earliest partner is looked up and the edit distance verified on the words, against
+   equal hashes of different words.
 
 Defined results: null and empty texts have no line to compare and stay as they are;
 rows that share a doc_id share their place, so equal lines at the same number in them
@@ -29,6 +32,8 @@ from traceframe.plans.scratch import materialize
 from traceframe.plans.sizing import bounded_broadcast
 
 MIN_WORDS = 5
+#: Keys of a variant with the place of its gap, of a variant without it, and of a whole line; the kind is in the two lowest bits.
+REPLACED, MISSING, WHOLE = 0, 1, 2
 
 
 def _words(line: Column) -> Column:
@@ -61,7 +66,7 @@ def _running(hashes: Column) -> Column:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """line_hash, place and key of the deletion variants of each line, and of the line itself.
+    """line_hash, place, key and kind of key of the deletion variants of each line, and of the line itself.
 
     ``lines`` has the words, and whether the line shares a first or a last half: a line that
     shares its first words only has the edit behind them.  A sequence of words is hashed as
@@ -72,14 +77,16 @@ def _variants(lines: DataFrame) -> DataFrame:
     half = F.floor((n - 1) / 2).cast("int")
     gaps = F.sequence(F.when(F.col("by_last"), 0).otherwise(half), F.when(F.col("by_first"), n - 1).otherwise(n - 1 - half))
     rest = F.transform(gaps, lambda i: F.struct(i.alias("i"), F.get("before", i).bitwiseXOR(F.get("behind", n - 1 - i)).alias("h")))
-    pair = F.transform("rest", lambda x: F.array(F.xxhash64(F.lit("replaced"), x["i"], x["h"]), x["h"]))
+    of = lambda key, kind: key.bitwiseAND(F.lit(-4).cast("bigint")).bitwiseOR(F.lit(kind).cast("bigint"))
+    pair = F.transform("rest", lambda x: F.array(of(F.xxhash64(F.lit("replaced"), x["i"], x["h"]), REPLACED), of(x["h"], MISSING)))
     keyed = (
         lines.withColumn("before", _running(F.transform("words", lambda w, j: F.xxhash64(w, j))))
         .withColumn("behind", _running(F.reverse(F.transform("words", lambda w, j: F.xxhash64(w, j - 1)))))
         .withColumn("rest", rest)
     )
-    whole = F.array(F.element_at("before", -1))
-    return keyed.select("line_hash", "place", F.explode_outer(F.array_distinct(F.concat(F.flatten(pair), whole))).alias("key"))
+    whole = F.array(of(F.element_at("before", -1), WHOLE))
+    every = keyed.select("line_hash", "place", F.explode_outer(F.array_distinct(F.concat(F.flatten(pair), whole))).alias("k"))
+    return every.select("line_hash", "place", F.col("k").bitwiseAND(F.lit(-4).cast("bigint")).alias("key"), F.col("k").bitwiseAND(F.lit(3).cast("bigint")).alias("kind"))
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -112,10 +119,13 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     earliest_line = again.groupBy("line_hash", "by_first", "by_last").agg(F.min_by("line", "place").alias("line"), F.min("place").alias("place"))
     candidates = materialize(earliest_line.withColumn("words", split).drop("line"), "candidates")
     variants = _variants(candidates)
-    met = materialize(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "keys")
+    held = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high"))
+    met = materialize(held.filter((F.col("n") > 1) & ((F.col("high") == REPLACED) | (F.col("low") < F.col("high")))).select("key"), "keys")
     meeting = materialize(variants.join(bounded_broadcast(met), "key", "left_semi"), "meeting")
-    first = meeting.groupBy("key").agg(F.min(F.struct("place", "line_hash")).alias("first"))
-    partner = meeting.join(first, "key").filter("first.line_hash <> line_hash and first.place < place")
+    own, is_whole = F.struct("place", "line_hash"), F.col("kind") == WHOLE
+    ends = meeting.groupBy("key").agg(F.min(F.when(~is_whole, own)).alias("variant"), F.min(F.when(is_whole, own)).alias("whole"))
+    first = F.when(F.col("kind") == MISSING, F.col("whole")).otherwise(F.col("variant"))
+    partner = meeting.join(ends, "key").withColumn("first", first).filter("first.line_hash <> line_hash and first.place < place")
     earliest = partner.groupBy("line_hash").agg(F.min("first").alias("first")).select("line_hash", F.col("first.place").alias("near"), F.col("first.line_hash").alias("of"))
     ours, theirs = candidates.select("line_hash", F.col("words").alias("a")), candidates.select(F.col("line_hash").alias("of"), F.col("words").alias("b"))
     checked = earliest.join(ours, "line_hash").join(theirs, "of").filter(within_one_edit(F.col("a"), F.col("b")))
