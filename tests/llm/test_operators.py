@@ -126,6 +126,18 @@ def test_secrets(docs):
     assert got[10].s == got[11].s == "" and secrets.scan(docs([])).count() == 0
 
 
+def test_secrets_behind_an_equals_sign(docs):
+    rng = random.Random(9)
+    token = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=64))
+    before = ["AWS_SECRET_ACCESS_KEY=", "see https://a.com/b?sig=", "export X=", "see "]
+    rows = [(10 * k + i, lead + token() + " end") for k, lead in enumerate(before) for i in range(10)]
+    rows.append((90, "name=version_2024_of_the_long_identifier_name_here"))
+    got = {r.doc_id: r.s for r in secrets.scan(docs(rows)).select("doc_id", secrets.joined(F.col("spans")).alias("s")).collect()}
+    for k, lead in enumerate(before):
+        assert sum(got[10 * k + i] == f"random:{len(lead)}:{len(lead) + 64}" for i in range(10)) >= 9
+    assert got[90] == ""
+
+
 def test_warc(spark):
     rows = [(1, "http://a.com", "x"), (2, "http://a.com", "x"), (3, None, None), (None, "b", "\r\n\r\nWARC/1.1"), (2, "http://a.com", "x"), (5, "http://a c", ""), (6, "http://e/é", "é")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha", F.lit("y"))

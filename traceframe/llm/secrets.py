@@ -36,7 +36,7 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ["assign", "access", "hex", "random"]
 
 MIN_TOKEN = 20
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{%d,}+" % MIN_TOKEN
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+" % MIN_TOKEN
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Encodings in the order they are tried: name, pattern of the whole token, alphabet.
 ENCODINGS = [
