@@ -218,6 +218,12 @@ def test_line_dedup_looks_past_variants_that_lack_different_words(docs, tmp_path
     assert compare(spark, str(tmp_path), line_dedup.op7_line_dedup, line_dedup.ORACLE) == ""
 
 
+def test_line_dedup_of_short_lines(docs):
+    rows = [(1, "one two\n中文没有空格\n\n a\tb\tc"), (2, "one two \n\n中文没有空格\none tow"), (3, "a\tb\tc\n\n")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(docs(rows), short_lines=True).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\none tow", 2), 3: ("\n", 1)}
+
+
 def test_quality(spark, docs):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     graded = quality.grades(labels)

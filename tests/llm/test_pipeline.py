@@ -67,3 +67,9 @@ def test_copies_and_leaks_go_and_clean_documents_stay(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {*range(20), 33, 34}
     assert quality.grades(spark.createDataFrame([(1, 0, 1), (2, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")).select("grade").collect()[0].grade == 0
+
+
+def test_short_lines_stand_once(stages):
+    texts = [r.text or "" for r in stages[2].orderBy("doc_id").collect()]
+    lines = [x.strip(" ") for t in texts for x in t.split("\n") if x.strip(" ")]
+    assert len(lines) == len(set(lines))

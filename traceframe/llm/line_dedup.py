@@ -2,7 +2,8 @@
 
 Lines are sequences of words (what single blanks separate, after trimming).  A line is
 removed if a line within MAX_EDITS = 1 word edits of it stands earlier in the corpus, in
-the order of (doc_id, line number); lines of fewer than MIN_WORDS words always stay.
+the order of (doc_id, line number).  Lines of fewer than MIN_WORDS words are compared for
+equality only, with ``short_lines``; without it they always stay.
 
 1. Equal lines meet by their hash; the earliest stays.
 2. Two different lines within one edit share the words before or after the edit, so at
@@ -40,12 +41,12 @@ def _words(line: Column) -> Column:
     return F.split(line, " ")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no and the trimmed line, for lines with enough words."""
+def _lines(docs: DataFrame, short_lines: bool = False) -> DataFrame:
+    """doc_id, text_hash, line_no and the trimmed line, for lines with enough words, or all that are not empty."""
     lines = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "raw"))
     line = lines.select("doc_id", "text_hash", "line_no", F.trim("raw").alias("line"))
     blanks = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
-    return line.filter(blanks >= MIN_WORDS - 1)
+    return line.filter(F.col("line") != "" if short_lines else blanks >= MIN_WORDS - 1)
 
 
 def _halves(words: Column) -> Column:
@@ -98,14 +99,15 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (longer - shorter <= 1) & (run(same) + run(back) >= longer - 1)
 
 
-def find_repeats(docs: DataFrame) -> DataFrame:
+def find_repeats(docs: DataFrame, *, short_lines: bool = False) -> DataFrame:
     """doc_id, text_hash, line_no and kind (``exact`` or ``near``) of the lines to remove.
 
     ``docs`` has doc_id and text.
     """
     place = F.struct("doc_id", "line_no")
     split = _words(F.col("line"))
-    lines = materialize(_lines(docs).select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("line_hash"), _halves(split).alias("halves")), "lines")
+    halves = F.when(F.size(split) >= MIN_WORDS, _halves(split)) if short_lines else _halves(split)
+    lines = materialize(_lines(docs, short_lines).select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("line_hash"), halves.alias("halves")), "lines")
     known = lines.groupBy("line_hash").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies"))
 
     halves = lines.select("line_hash", F.explode("halves").alias("h")).select("line_hash", "h.last", "h.half")
@@ -137,10 +139,10 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     return marked.select("doc_id", "text_hash", "line_no", kind.alias("kind")).filter("kind is not null")
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
     """``docs`` with the removed lines cut out of the text, and n_lines, n_exact and n_near beside it."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    marked = find_repeats(own).groupBy("doc_id", "text_hash").agg(
+    marked = find_repeats(own, short_lines=short_lines).groupBy("doc_id", "text_hash").agg(
         F.collect_set("line_no").alias("_cut"), F.sum(F.when(F.col("kind") == "exact", 1).otherwise(0)).alias("_exact"), F.countDistinct("line_no").alias("_all")
     )
     # Identical rows mark each line more than once; their number does not matter to the result.
