@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from traceframe.catalog import query
 from traceframe.functions import text as T
 from traceframe.library.common import fixture, table, values
+from traceframe.operators.search import CANDIDATES_FILTERED
 
 _FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
@@ -183,6 +184,13 @@ def f23(spark: SparkSession, d: str) -> DataFrame:
     return top.filter((F.lower("lang") == "en") & F.lower("source").startswith("src1")).select("doc_id")
 
 
+@query("f23_search_filters_all_candidates", "SELECT doc_id FROM (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 400) WHERE lower(lang) = 'en' AND lower(source) LIKE 'src1%'")
+def f23_all(spark: SparkSession, d: str) -> DataFrame:
+    """As f23, with the number of candidates that O01 asks for when a filter is set."""
+    top = table(spark, d, "documents").select("doc_id", "n_chars", "lang", "source").orderBy(F.desc("n_chars"), "doc_id").limit(CANDIDATES_FILTERED)
+    return top.filter((F.lower("lang") == "en") & F.lower("source").startswith("src1")).select("doc_id")
+
+
 @query("f24_default_value", "SELECT event_id, coalesce(json_extract_string(props, '$.k'), json_extract_string('{\"z\": \"0\"}', '$.k'), 'unset') AS value FROM events")
 def f24(spark: SparkSession, d: str) -> DataFrame:
     cells, defaults = F.from_json("props", "map<string,string>"), F.create_map(F.lit("z"), F.lit("0"))

@@ -102,6 +102,18 @@ def m11(spark: SparkSession, d: str) -> DataFrame:
     return m07(spark, d).join(docs, "doc_id", "left_semi").orderBy("rank").limit(5).select("doc_id", "score")
 
 
+_FILTERED = _FUSED.replace("rank <= 60", f"rank <= {R.CANDIDATES_FILTERED}")
+
+
+@query("m11_post_filter_all_candidates", f"WITH {_POST}, {_BM25}, {_KNN}, f AS ({_FILTERED}) SELECT doc_id, score FROM (SELECT doc_id, score, first FROM f JOIN documents USING (doc_id) WHERE lang = 'en' ORDER BY score DESC, first LIMIT 5)")
+def m11_all(spark: SparkSession, d: str) -> DataFrame:
+    """As m11, with the number of candidates that O01 asks for when a filter is set."""
+    n = R.CANDIDATES_FILTERED
+    docs = table(spark, d, "documents").filter("lang = 'en'").select("doc_id")
+    fused = R.fuse([(_keyword(spark, d, n), 0.5), (_vector(spark, d, n), 1.0)], ["q"], "doc_id")
+    return fused.join(docs, "doc_id", "left_semi").orderBy("rank").limit(5).select("doc_id", "score")
+
+
 @query("m12_rendered_hit", "SELECT doc_id, source || chr(10) || array_to_string(string_split(text, chr(10))[1:12], chr(10)) || CASE WHEN len(string_split(text, chr(10))) > 12 THEN chr(10) || '…' ELSE '' END AS shown FROM documents")
 def m12(spark: SparkSession, d: str) -> DataFrame:
     lines = F.split("text", "\n")
