@@ -50,6 +50,15 @@ def test_packing(docs):
         packing.pack(docs([]), path, longest=1000)
 
 
+def test_buckets_hold_equal_lengths(spark, docs):
+    packed = materialize(packing.pack(docs(ODD), public_path("byte_bpe_50k.json")), "packed")
+    path = scratch_path(spark, "buckets")
+    packing.write_buckets(packed, path)
+    back = spark.read.parquet(path)
+    assert back.filter("bucket <> length").count() == 0
+    assert sorted((r.sequence_id, r.length) for r in back.collect()) == sorted((r.sequence_id, r.length) for r in packed.collect())
+
+
 def test_token_files(spark, docs):
     file = public_path("word_bpe_49k.json")
     enc = TextEncoder(file)

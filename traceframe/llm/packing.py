@@ -3,7 +3,7 @@
 A document of n tokens becomes n // 2048 pieces of 2048 tokens and one piece for each
 binary digit of the rest, longest first.  Each piece is a sequence of its own whose
 length is a power of two, so no sequence crosses documents and none is padded; batches
-are formed of sequences with equal length (``write_buckets``).
+can be formed of sequences with equal length by ``write_buckets``, which no query calls.
 
 Defined results: a null text counts as empty and has the end id alone; repeated rows
 are packed once each; a null doc_id stays null; columns other than the id and the
