@@ -172,37 +172,79 @@ def _sets(rows):
     return out
 
 
-def test_near_dedup(docs):
-    rng = random.Random(4)
-    words = [f"w{i}" for i in range(400)]
-    rows = [(i, t) for i, t in ODD if i is not None and i != 6] + [(6, BASE)]
-    for g in range(12):
-        base = rng.choices(words, k=rng.randint(40, 200))
-        for k in range(25):
-            copy = list(base)
-            for _ in range(rng.randint(0, 5)):
-                copy[rng.randrange(len(copy))] = rng.choice(words)
-            rows.append((1000 + 100 * g + rng.randrange(10_000) * 10_000 + k, " ".join(copy)))
-    sets, parent = _sets(rows), {}
-    ids = sorted(sets)
-    parent = {i: i for i in ids}
+def _components(rows, similarity=85):
+    """Brute force: doc_id to (sizes of its sets, smallest doc_id reachable); texts of one id hang together."""
+    sets = [(i, s) for i, t in rows for s in [_sets([(i, t)])[i]]]
+    parent = {i: i for i, _ in sets}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for x, i in enumerate(ids):
-        for j in ids[:x]:
-            a, b = sets[i], sets[j]
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[:x]:
+            if i != j and a and b and 100 * len(a & b) >= similarity * len(a | b):
                 p, q = sorted((find(i), find(j)))
                 parent[q] = p
-    got = {r.doc_id: r for r in near_dedup.find_components(docs(rows, node=1, sig="x")).collect()}
-    assert {i: (len(sets[i]), find(i), find(i) == i) for i in ids} == {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()}
+    return {(i, len(s)): find(i) for i, s in sets}
+
+
+def _edited(rng, words, groups, copies, edits):
+    out = []
+    for g in range(groups):
+        base = rng.choices(words, k=rng.randint(40, 200))
+        for k in range(copies):
+            copy = list(base)
+            for _ in range(rng.randint(0, edits)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            out.append((1000 + 100 * g + rng.randrange(10_000) * 10_000 + k, " ".join(copy)))
+    return out
+
+
+def test_near_dedup(docs, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, t) for i, t in ODD if i is not None and i != 6] + [(6, BASE)] + _edited(rng, words, 12, 25, 5)
+    want = _components(rows)
+    result = lambda rows: {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dedup.find_components(docs(rows, node=1, sig="x")).collect()}
+    assert result(rows) == {key: (c, c == key[0]) for key, c in want.items()}
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 4)  # groups in many blocks
+    assert result(rows) == {key: (c, c == key[0]) for key, c in want.items()}
     assert near_dedup.find_components(docs([])).count() == 0
 
 
+def test_near_dedup_links_the_texts_of_one_id(docs):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (9, b), (9, b), (12, c), (7, c)]
+    got = {(r.doc_id, r.component_id) for r in near_dedup.find_components(docs(rows)).collect()}
+    assert got == {(1, 1), (5, 1), (9, 1), (7, 7), (12, 7)}
+
+
+def test_merge_block_against_all_pairs():
+    rng = np.random.default_rng(3)
+    base = np.sort(rng.integers(0, 2**63, 120, np.uint64))
+    grams = []
+    for i in range(60):
+        keep = base if i < 2 else base[rng.random(120) > rng.choice([0.02, 0.06, 0.1])]
+        grams.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, rng.integers(0, 6), np.uint64)])))
+    sig = np.stack([near_dedup.signature(g) for g in grams])
+    ids, n, own = np.arange(60), np.array([len(g) for g in grams]), np.zeros(60, np.int64)
+    for side in (np.zeros(60, int), np.arange(60) % 2):
+        links = near_dedup.merge_block(ids, ids // 3, n, own, sig, grams, side, near_dedup.MATCHES, 85)
+        label = {i: i // 3 for i in range(60)}
+
+        def joined(pairs, label=label):
+            own = dict(label)
+            for i, j in pairs:
+                own = {k: own[i] if v == own[j] else v for k, v in own.items()}
+            return {frozenset(k for k in own if own[k] == v) for v in own.values()}
+
+        both = len(set(side)) > 1
+        every = [(i, j) for i in range(60) for j in range(i) if near_dedup.similar(grams[i], grams[j], 85) and not (both and side[i] == side[j])]
+        assert joined(links) == joined(every) and len(links) < 60 and len(every) > len(links)
+
+
 def test_line_dedup_and_decontamination_on_odd_texts(spark, docs):
     lines = "\n".join(f"line {i} has five words and more" for i in range(3))
     rows = [*ODD, (20, lines), (21, lines), (22, "line 1 has six words and more\nshort one"), (23, None)]

@@ -10,19 +10,26 @@
    collisions are counted over the full signatures, pairs below MATCHES are skipped, the
    rest is confirmed on the full sets.  The number of pairs follows the postings, however
    long a list is.
-4. Lists whose nodes are not in one component after that are gone through once more, for
-   all their pairs between different components; those inside one component need no test.
+4. The lists of one central node are a group.  Groups whose nodes are not in one component
+   after that are merged once more, for their pairs between different components.  That
+   happens inside tasks, over blocks of at most BLOCK_NODES nodes, and no pair leaves a
+   task but the links that join two components there (fewer than it has nodes).  For each
+   node the merge skips partners in three steps: by size and by what each has alone; by
+   collisions, a quarter of the coordinates at a time, once those so far and those left
+   cannot reach MATCHES; and by component, as soon as an earlier link joined them.  What
+   is left is confirmed on the full sets.
 
 Before 3 and 4, the shingles that a set alone holds are counted.  They bound every
 similarity of that set from above, so edited copies that are too far from all others
-leave the lists, and pairs that cannot be similar enough are not formed.
+leave the lists, and pairs that cannot be similar enough are skipped.
 
 So no link between different components is lost but by the signature threshold: at the
 default similarity of 0.85, MATCHES lies five standard deviations below the mean.
 
 Defined results: texts without words (null ones too) have an empty set and are linked
-with nothing; texts of fewer than five words have one shingle; rows that share a doc_id
-are one node; rows with a null doc_id are linked with nothing and have no component.
+with nothing; texts of fewer than five words have one shingle; all texts of one doc_id
+are linked with each other; rows with a null doc_id are linked with nothing and have no
+component.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from traceframe.operators.graph import connected_components
@@ -42,6 +49,8 @@ from traceframe.plans.sizing import bounded_broadcast
 WORDS, COORDS = 5, 64
 #: Similarity in hundredths, and the coordinates that a pair has to share to be confirmed.
 SIMILARITY, MATCHES = 85, 40
+#: Nodes, and shingles of all of them, of one block (about); a task merges two blocks.
+BLOCK_NODES, BLOCK_SHINGLES = 1_024, 1 << 20
 
 
 def matches_for(similarity: int, coords: int = COORDS) -> int:
@@ -117,24 +126,24 @@ def confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, s
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                common = int((q[at] == p).sum())
-                keep.append(100 * common >= similarity * (len(p) + len(q) - common))
+                keep.append(similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)), similarity))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return full.select("a", "b", "ga", "gb").mapInArrow(compared, "a bigint, b bigint")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, words: int) -> DataFrame:
-    """node and the full set of its document, for the nodes given (a stored table)."""
+    """node and the full set of its text, for the nodes given (node, doc, set_hash; a stored table)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "grams"])
+            found = [shingles(t, words).tobytes() for t in batch.column(2).to_pylist()]
+            own = [xxhash.xxh3_128_digest(g) == h for g, h in zip(found, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "grams"]).filter(pa.array(own, pa.bool_()))
 
-    own = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).alias("text"))
-    return own.join(bounded_broadcast(nodes), "node", "left_semi").mapInArrow(hashed, "node bigint, grams binary")
+    own = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
+    texts = own.join(bounded_broadcast(nodes), "doc").select("node", "set_hash", "text").mapInArrow(hashed, "node bigint, grams binary")
+    return texts.groupBy("node").agg(F.first("grams").alias("grams"))  # rows that are repeated as a whole give one
 
 
 def linkable(sets: DataFrame, similarity: int) -> DataFrame:
@@ -154,14 +163,88 @@ def linkable(sets: DataFrame, similarity: int) -> DataFrame:
     return sized.filter(100 * (F.col("n") - F.col("own")) >= similarity * F.col("n"))
 
 
-def _may_link(similarity: int) -> Column:
-    """Can the sets of a and b be similar enough, by their sizes and what each has alone?
+def _may_link(similarity: int, na, oa, nb, ob, least, greatest):  # columns or arrays alike  # noqa: ANN001, ANN202
+    """Can two sets be similar enough, by their sizes and what each has alone?
 
     The intersection has nothing that one has alone, and the union has all of it.
     """
-    common = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
-    union = F.greatest(F.col("na") + F.col("ob"), F.col("nb") + F.col("oa"))
-    return 100 * common >= similarity * union
+    return 100 * least(na - oa, nb - ob) >= similarity * greatest(na + ob, nb + oa)
+
+
+class _Forest:
+    """Components that a task has seen joined."""
+
+    def __init__(self, labels: np.ndarray):
+        self.root = np.unique(labels, return_inverse=True)[1]  # of each row
+
+    def join(self, i: int, j: int) -> None:
+        self.root[self.root == self.root[j]] = self.root[i]
+
+
+def merge_block(
+    node: np.ndarray, component: np.ndarray, n: np.ndarray, own: np.ndarray, sig: np.ndarray, grams: list[np.ndarray], side: np.ndarray, matches: int, similarity: int
+) -> list[tuple[int, int]]:
+    """Links that join different components among the rows of a block, or of two (then only across ``side``)."""
+    order = np.argsort(n, kind="stable")
+    node, component, n, own, sig, side = node[order], component[order], n[order], own[order], sig[order], side[order]
+    grams = [grams[i] for i in order]
+    across, forest, out = len(np.unique(side)) > 1, _Forest(component), []
+    step = COORDS // 4
+    for i in range(len(node) - 1):
+        last = int(np.searchsorted(n, n[i] * 100 // similarity, "right"))
+        j = np.arange(i + 1, max(last, i + 1))
+        keep = (forest.root[j] != forest.root[i]) & _may_link(similarity, n[i], own[i], n[j], own[j], np.minimum, np.maximum)
+        if across:
+            keep &= side[j] != side[i]
+        j = j[keep]
+        hits = np.zeros(len(j), np.int64)
+        for lo in range(0, COORDS, step):
+            hits = hits + (sig[j, lo : lo + step] == sig[i, lo : lo + step]).sum(1)
+            left = hits + (COORDS - lo - step) >= matches
+            j, hits = j[left], hits[left]
+        for k in j[np.argsort(-hits, kind="stable")]:
+            if forest.root[k] != forest.root[i] and similar(grams[i], grams[k], similarity):
+                out.append((int(node[i]), int(node[k])))
+                forest.join(i, k)
+    return out
+
+
+def similar(p: np.ndarray, q: np.ndarray, similarity: int) -> bool:
+    """Are two ascending sets similar enough?"""
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    common = int((q[at] == p).sum())
+    return 100 * common >= similarity * (len(p) + len(q) - common)
+
+
+def merge_groups(groups: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, similarity: int) -> DataFrame:
+    """Links (a, b) that join different components within a group.
+
+    ``groups`` has first (the group), node, n, own, component and main (is it the component
+    of the group's central node, which needs no comparison within itself).  Blocks are
+    dealt by a hash within both parts; a row goes to one task for each block that its own
+    block has to meet.
+    """
+    sizes = groups.groupBy("first").agg(
+        *[F.coalesce(F.greatest(F.ceil(F.sum(F.when(who, 1)) / BLOCK_NODES), F.ceil(F.sum(F.when(who, F.col("n"))) / BLOCK_SHINGLES)), F.lit(0)).cast("int").alias(name) for name, who in (("mains", F.col("main")), ("others", ~F.col("main")))],
+        (F.count(F.lit(1)) <= BLOCK_NODES).alias("few"), (F.sum("n") <= BLOCK_SHINGLES).alias("small"),
+    )
+    dealt = groups.join(sizes, "first")
+    block = F.when(F.col("main"), F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
+    one = F.col("few") & F.col("small")
+    last = F.col("mains") + F.col("others") - 1
+    meets = F.when(one, F.array(F.lit(0))).otherwise(F.sequence(F.when(F.col("main"), F.col("mains")).otherwise(0), last))
+    tasks = dealt.withColumn("block", F.when(one, 0).otherwise(block)).withColumn("other", F.explode(meets))
+    tasks = tasks.select("first", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "own", "component")
+    full = tasks.join(nodes.select("node", "sig"), "node").join(sets, "node")
+
+    def merged(rows: pa.Table) -> pa.Table:
+        column = lambda name: rows.column(name).to_numpy()
+        sig = np.array(rows.column("sig").combine_chunks().flatten()).reshape(-1, COORDS)
+        grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("grams")]
+        found = merge_block(column("node"), column("component"), column("n"), column("own"), sig, grams, column("block"), matches, similarity)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    return full.groupBy("first", "i", "j").applyInArrow(merged, "a bigint, b bigint")
 
 
 def find_components(
@@ -171,36 +254,38 @@ def find_components(
     matches = matches_for(similarity)
     own = materialize(sketch(docs, id_col=id_col, text_col=text_col, words=words), "sketches")
     linked = own.filter("n_shingles > 0 and doc_id is not null")
-    nodes = materialize(linked.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.min_by("sig", "doc_id").alias("sig")), "nodes")
+    distinct = linked.groupBy("set_hash").agg(F.min("doc_id").alias("doc"), F.min_by("sig", "doc_id").alias("sig"))
+    nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written once, so the numbers stay
     posted = materialize(postings(nodes, matches), "postings")
-    sets = materialize(shingle_sets(docs, materialize(posted.select("node").distinct(), "posted"), id_col=id_col, text_col=text_col, words=words), "sets")
+    asked = materialize(nodes.join(posted.select("node").distinct(), "node").select("node", "doc", "set_hash"), "posted")
+    sets = materialize(shingle_sets(docs, asked, id_col=id_col, text_col=text_col, words=words), "sets")
     posted = materialize(posted.join(linkable(sets, similarity), "node"), "linkable")
 
-    a = lambda df, *more: df.select("pair", F.col("node").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"), *more)
-    b = lambda df, *more: df.select("pair", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"), *more)
-    first = F.min(F.struct("own", "node", "n"))  # the one with least of its own: in a group of edited copies, the text they come from
-    lists = posted.groupBy("pair").agg(first.alias("f"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("pair", "f.*")
-    to_first = a(lists).join(b(posted), "pair").filter((F.col("a") != F.col("b")) & _may_link(similarity)).select("a", "b").distinct()
-    links = materialize(confirm(to_first, nodes, sets, matches, similarity), "links")
+    least = F.min(F.struct("own", "node", "n"))  # the one with least of its own: in a group of edited copies, the text they come from
+    lists = posted.groupBy("pair").agg(least.alias("f"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("pair", F.col("f.node").alias("first"), F.col("f.n").alias("nf"), F.col("f.own").alias("of"))
+    led = materialize(posted.join(lists, "pair").select("first", "nf", "of", "node", "n", "own").distinct(), "led")
+    possible = _may_link(similarity, F.col("nf"), F.col("of"), F.col("n"), F.col("own"), F.least, F.greatest)
+    to_first = led.filter((F.col("first") != F.col("node")) & possible).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    members = linked.select("set_hash", "doc_id").distinct().join(nodes.select("set_hash", "node"), "set_hash").select("doc_id", "node")
+    shared_ids = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z")
+    same_id = shared_ids.join(members, "doc_id").filter("a <> node").select("a", F.col("node").alias("b"))
+    links = materialize(confirm(to_first, nodes, sets, matches, similarity).unionByName(same_id), "links")
     found = connected_components(links, "a", "b")
 
-    placed = posted.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("pair").agg(F.min(F.struct("own", "node"))["node"].alias("first"), F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("held")).filter("low <> high and held > 2")
-    rest = materialize(placed.join(mixed.select("pair", "first"), "pair").filter("node <> first").select("pair", "node", "n", "own", "component"), "rest")
-    if not rest.isEmpty():
-        # Each pair of nodes is formed in one of the lists that both are in.
-        keys = rest.groupBy("node").agg(F.collect_set("pair").alias("keys"))
-        rest = rest.join(keys, "node")
-        once = F.array_min(F.array_intersect("ka", "kb")) == F.col("pair")
-        left, right = a(rest, F.col("component").alias("ca"), F.col("keys").alias("ka")), b(rest, F.col("component").alias("cb"), F.col("keys").alias("kb"))
-        parted = left.join(right, "pair").filter(F.expr("a < b and ca <> cb") & _may_link(similarity) & once)
-        across = parted.select("a", "b").distinct()
-        more = materialize(confirm(across, nodes, sets, matches, similarity), "more_links")
+    # Only the central node is left out of its group, as it has met all others.
+    placed = led.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = placed.filter("first = node").select("first", F.col("component").alias("central"))
+    rest = materialize(placed.filter("first <> node").join(first, "first").withColumn("main", F.col("component") == F.col("central")), "rest")
+    mixed = rest.groupBy("first").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("first")
+    groups = materialize(rest.join(mixed, "first").select("first", "node", "n", "own", "component", "main"), "groups")
+    if not groups.isEmpty():
+        more = materialize(merge_groups(groups, nodes, sets, matches, similarity), "more_links")
         found = connected_components(links.unionByName(more), "a", "b")
 
-    members = linked.select("set_hash", "doc_id").distinct().join(nodes.select("set_hash", "node"), "set_hash").join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
-    least = materialize(members.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "members")
-    out = own.select("doc_id", "n_shingles").join(least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = nodes.select("node", "doc").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = named.join(named.groupBy("component").agg(F.min("doc").alias("component_id")), "component").select("node", "component_id")
+    by_doc = materialize(members.join(names, "node").groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "members")
+    out = own.select("doc_id", "n_shingles").join(by_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
