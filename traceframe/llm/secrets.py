@@ -1,21 +1,24 @@
 """Secrets in text: three patterns and a battery of randomness tests, with DataFrame functions only.
 
 Patterns give the base spans (``assign``, ``access``, ``hex``).  The battery looks at every
-other run of at least MIN_TOKEN token characters that mixes letters and digits.  Its
-encoding (hex, base32, base36, base62, base64) is inferred from its characters, and three
-tests are made over that alphabet, each against the null hypothesis that the token is
-*not* random by at least a fixed effect:
-
-* chi-squared: the counts of the alphabet's symbols are uniform but for PHI per character;
-* runs above and below the middle of the alphabet: their number differs from what chance
-  gives by RUNS per character;
-* serial correlation of neighbours: at least RHO.
-
-The token's p-value is the largest of the three (all have to show randomness).  Longer
-tokens give smaller values, as the effects add up over the characters.  The p-values are
-weighed by length (mean weight 1) and a Benjamini-Hochberg step at level FDR over all
-tokens of the table keeps the spans of kind ``random``.  The step works on a histogram of
-BINS bins, rounded to the safe side, so only counts are gathered.
+other run of at least MIN_TOKEN token characters that fits an encoding (hex, base32,
+base36, base62, base64, base64url), inferred from its characters.  UUIDs, which are random
+but no secret, are left out.  Three tests are made over the encoding's alphabet:
+
+* chi-squared: how far the counts of the symbols are from uniform, per character;
+* runs: how far the share of changes between the symbols that are frequent in text and
+  the other half of the alphabet is from 1/2;
+* serial correlation of neighbouring symbols, in the alphabet's own order.
+
+Under randomness each of the three has a known mean and spread, which shrinks with the
+length.  Under the background (names, paths, versions, numbers) it lies off by an effect
+that depends on the encoding and varies between tokens (BACKGROUND, fitted on made-up
+identifiers).  The logarithms of the three likelihood ratios are summed up.  The
+background reaches a sum x with a probability of about ``tail * exp(-x)``: the token's
+p-value.  Longer tokens reach higher sums.  The p-values are weighed by length (mean
+weight 1), and a Benjamini-Hochberg step at level FDR over all tokens of the table keeps
+the spans of kind ``random``.  The step works on a histogram of BINS bins, rounded to the
+safe side, so only counts are gathered.
 
 Defined results: null and empty texts have no span; spans count code points, ends are
 exclusive; rows repeated are scanned once each; other columns are not read.
@@ -26,95 +29,126 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from traceframe.functions.scans import let, running
 from traceframe.plans.scratch import materialize
 
 # The patterns of the base spans, in order, with the group whose length counts.
-ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_KEYWORD, _GIVEN = r"(password|passwd|secret|token|api_?key)", r"""["']?\x20*[:=]\x20*["']?"""
+ASSIGN = f"(?i:{_KEYWORD}){_GIVEN}([A-Za-z0-9+/_.=-]+)"
 ASSIGN_LENGTH = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ["assign", "access", "hex", "random"]
 
 MIN_TOKEN = 20
-TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+" % MIN_TOKEN
-_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: A whole run of token characters that is no keyword with a value behind it.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+(?!(?<=(?i:%s))%s[A-Za-z0-9+/_.=-])" % (MIN_TOKEN, _KEYWORD.replace("(", "(?:"), _GIVEN)
+#: Assignments are passed over as the base pattern passes over them, so tokens (group 3) never overlap one.
+OUTSIDE = f"{ASSIGN}|({TOKEN})"
+UUID = "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_FREQUENT = "etaoinshrdlcumwfgypbvkjxqz"  # letters from frequent to rare
 #: Encodings in the order they are tried: name, pattern of the whole token, alphabet.
 ENCODINGS = [
     ("hex", "^([0-9a-f]+|[0-9A-F]+)$", _DIGITS + "abcdef"),
     ("base32", "^[A-Z2-7]+$", _UPPER + "234567"),
     ("base36", "^([0-9a-z]+|[0-9A-Z]+)$", _DIGITS + _LOWER),
     ("base62", "^[0-9A-Za-z]+$", _DIGITS + _UPPER + _LOWER),
-    ("base64", "", _UPPER + _LOWER + _DIGITS + "+/_-"),
+    ("base64", "^[0-9A-Za-z+/]+$", _DIGITS + "+/" + _UPPER + _LOWER),
+    ("base64url", "^[0-9A-Za-z_-]+$", _DIGITS + "-_" + _UPPER + _LOWER),
 ]
-PHI, RUNS, RHO, FDR = 1.5, 0.25, 0.5, 0.05
+#: By encoding: mean and spread between tokens of the three effects of the background, and how often it reaches a sum of 0.
+BACKGROUND = {
+    "hex": (1.2, 0.8, 0.25, 0.12, 0.30, 0.20, 0.10),
+    "base32": (0.9, 0.4, 0.22, 0.08, 0.15, 0.10, 0.04),
+    "base36": (1.0, 0.4, 0.22, 0.08, 0.15, 0.10, 0.02),
+    "base62": (1.9, 0.7, 0.25, 0.08, 0.20, 0.12, 0.02),
+    "base64": (2.6, 0.7, 0.28, 0.06, 0.20, 0.12, 0.005),
+    "base64url": (2.8, 1.2, 0.30, 0.10, 0.20, 0.15, 0.02),
+}
+#: By encoding: the half of its alphabet that text uses most, letters of lower case first.
+FREQUENT = {name: "".join(c for c in _FREQUENT + _FREQUENT.upper() + alphabet[::-1] if c in alphabet)[: len(alphabet) // 2] for name, _, alphabet in ENCODINGS}
+FDR = 0.05
 BINS, BIN_STEP = 4096, 64.0
-
-
-def _phi(z: Column) -> Column:
-    """Standard normal distribution function, to about 1e-4."""
-    return 1.0 / (1.0 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
+_SPAN = "array<struct<start:int,kind:int,end:int,token:string>>"
 
 
 def _spans(text: Column, pattern: str, kind: int, keep: Column | None = None) -> Column:
     """(start, kind, end, token) of each match: what lies between matches gives the places."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    sizes = F.zip_with(between, F.transform(found, lambda m: F.length(m)), lambda b, m: F.struct(F.length(b).alias("gap"), F.coalesce(m, F.lit(0)).alias("size")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    walked = F.aggregate(
-        sizes, zero, lambda a, x: F.struct((a["at"] + x["gap"] + x["size"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["gap"])).alias("starts"))
-    )["starts"]
-    span = F.zip_with(
-        found, F.slice(walked, F.lit(1), F.size(found)),
-        lambda m, s: F.struct(s.alias("start"), F.lit(kind).alias("kind"), (s + F.length(m)).alias("end"), m.alias("token")),
-    )
+
+    def placed(found: Column) -> Column:
+        between = F.split(text, pattern, -1)
+        steps = F.flatten(F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.array(F.length(b), F.length(m))))
+        return let(running(steps, F.lit(0), lambda a, x: a + x), lambda at: F.zip_with(
+            found, F.transform(found, lambda _, i: F.get(at, 2 * i + 1)),
+            lambda m, s: F.struct(s.alias("start"), F.lit(kind).alias("kind"), (s + F.length(m)).alias("end"), m.alias("token")),
+        ))
+
+    span = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
     if keep is not None:
         span = F.transform(F.filter(F.arrays_zip(span.alias("s"), keep.alias("k")), lambda x: x["k"]), lambda x: x["s"])
-    return F.when(text.rlike(pattern), span).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,token:string>>"))
+    return F.when(text.rlike(pattern), span).otherwise(F.array().cast(_SPAN))
 
 
-def _p_value(token: Column, alphabet: Column) -> Column:
-    """Largest p-value of the three tests of one token."""
+def effects(token: Column, alphabet: Column, frequent: Column) -> Column:
+    """What the three tests find in a token: unevenness, runs and serial correlation, each 0 for perfect randomness."""
+    n, k = F.length(token).cast("double"), F.length(alphabet).cast("double")
+    counts = F.transform(F.split(alphabet, ""), lambda c: n - F.length(F.replace(token, c, F.lit(""))))
+    chi = k / n * F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c) - n
+    uneven = F.abs(chi - (k - 1)) / n
+
+    def neighbours(v: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(v, F.lit(1), F.size(v) - 1).alias("x"), F.slice(v, F.lit(2), F.size(v) - 1).alias("y"))
+        changes = F.size(F.filter(pairs, lambda p: p["x"]["often"] != p["y"]["often"]))
+        mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x["at"]) / n
+        square = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x["at"] - mean) * (x["at"] - mean))
+        lagged = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["x"]["at"] - mean) * (p["y"]["at"] - mean))
+        serial = F.when(square > 0, F.abs(lagged / square + 1 / n)).otherwise(1.0)
+        return F.struct(uneven.alias("uneven"), F.abs(changes / (n - 1) - 0.5).alias("runs"), serial.alias("serial"))
+
+    placed = lambda c: F.struct(F.position(c, alphabet).cast("double").alias("at"), (F.position(c, frequent) > 0).alias("often"))
+    return let(F.transform(F.split(token, ""), placed), neighbours)
+
+
+def _log_ratio(effect: Column, spread: Column, mean: Column, background: Column) -> Column:
+    """Logarithm of the likelihood ratio of two folded normal distributions, around 0 and around ``mean``."""
+    chance = F.log(2 / spread) - (effect / spread) * (effect / spread) / 2
+    near, far = ((effect - mean) / background) * ((effect - mean) / background) / -2, ((effect + mean) / background) * ((effect + mean) / background) / -2
+    return chance - (near + F.log1p(F.exp(far - near)) - F.log(background))
+
+
+def p_value(token: Column, encoding: Column) -> Column:
+    """How often the background of the encoding looks as random as this token."""
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), encoding)
+    alphabet = pick([a for _, _, a in ENCODINGS])
+    value = lambda i: pick([BACKGROUND[name][i] for name, _, _ in ENCODINGS])
     n, k = F.length(token).cast("double"), F.length(alphabet).cast("double")
-    symbols = F.split(alphabet, "")
-    squares = F.aggregate(symbols, F.lit(0.0), lambda a, c: a + F.pow((n - F.length(F.replace(token, c, F.lit("")))).cast("double"), F.lit(2.0)))
-    chi = k / n * squares - n
-    values = F.transform(F.split(token, ""), lambda c: F.position(c, alphabet).cast("double"))
-    uniform = _phi((chi - (k - 1) - n * PHI) / F.sqrt(2 * (k - 1) + 4 * n * PHI))
-
-    high = F.transform(values, lambda v: v > k / 2)
-    n1 = F.size(F.filter(high, lambda x: x)).cast("double")
-    n2 = n - n1
-    pairs = F.zip_with(F.slice(high, 1, F.size(high) - 1), F.slice(high, 2, F.size(high) - 1), lambda a, b: a != b)
-    runs = 1.0 + F.size(F.filter(pairs, lambda x: x))
-    expected = 1.0 + 2 * n1 * n2 / n
-    spread = F.sqrt(F.greatest(2 * n1 * n2 * (2 * n1 * n2 - n) / (n * n * (n - 1)), F.lit(0.01)))
-    even = 1.0 - _phi((RUNS * n - F.abs(runs - expected)) / spread)
-
-    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
-    around = F.transform(values, lambda v: v - mean)
-    total = F.aggregate(around, F.lit(0.0), lambda a, v: a + v * v)
-    lagged = F.aggregate(F.zip_with(F.slice(around, 1, F.size(around) - 1), F.slice(around, 2, F.size(around) - 1), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    serial = F.when(total > 0, 1.0 - _phi((RHO - F.abs(lagged / total)) * F.sqrt(n))).otherwise(1.0)
-    return F.greatest(uniform, even, serial)
-
-
-def _alphabet(token: Column) -> Column:
-    out = F.lit(ENCODINGS[-1][2])
-    for _, pattern, symbols in reversed(ENCODINGS[:-1]):
-        out = F.when(token.rlike(pattern), F.lit(symbols)).otherwise(out)
-    return out
+    chi, change, lag = F.sqrt(2 * (k - 1) * (n - 1) / n) / n, F.sqrt(0.25 / (n - 1)), 1 / F.sqrt(n)
+    wide = F.sqrt((2 * (k - 1) + 4 * n * value(0)) / (n * n) + value(1) * value(1))
+    with_spread = lambda s, i: F.sqrt(s * s + value(i) * value(i))
+
+    def combined(e: Column) -> Column:
+        total = (
+            _log_ratio(e["uneven"], chi, value(0), wide)
+            + _log_ratio(e["runs"], change, value(2), with_spread(change, 3))
+            + _log_ratio(e["serial"], lag, value(4), with_spread(lag, 5))
+        )
+        return F.least(F.lit(1.0), value(6) * F.exp(-F.greatest(total, F.lit(-50.0))))
+
+    return let(effects(token, alphabet, pick([FREQUENT[name] for name, _, _ in ENCODINGS])), combined)
 
 
 def _encoding(token: Column) -> Column:
-    out = F.lit(ENCODINGS[-1][0])
-    for name, pattern, _ in reversed(ENCODINGS[:-1]):
-        out = F.when(token.rlike(pattern), F.lit(name)).otherwise(out)
-    return out
+    """Place of the token's encoding, null if it fits none."""
+    out = F.lit(None).cast("int")
+    for i, (_, pattern, _) in reversed(list(enumerate(ENCODINGS))):
+        out = F.when(token.rlike(pattern), i).otherwise(out)
+    return F.when(~token.rlike(UUID), out)
 
 
-def _folded(token: Column) -> Column:
+def _folded(token: Column, encoding: Column) -> Column:
     """Encodings of one case are tested in lower case."""
-    return F.when(_encoding(token).isin("hex", "base36"), F.lower(token)).otherwise(token)
+    return F.when(encoding.isin([i for i, e in enumerate(ENCODINGS) if e[0] in ("hex", "base36")]), F.lower(token)).otherwise(token)
 
 
 def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,15 +156,16 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col), F.lit(""))
     second = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda g: F.length(g) >= ASSIGN_LENGTH)
     base = F.concat(_spans(text, ASSIGN, 0, second), _spans(text, ACCESS, 1), _spans(text, HEX, 2))
-    own = docs.select(F.col(id_col).alias("id"), base.alias("base"), _spans(text, TOKEN, 3).alias("tokens"))
-    outside = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    mixed = F.filter("tokens", lambda t: t["token"].rlike("[0-9]") & t["token"].rlike("[A-Za-z]") & outside(t))
+    free = F.transform(F.regexp_extract_all(text, F.lit(OUTSIDE), F.lit(3)), lambda g: g != "")
+    # Base spans of the other kinds consist of token characters, so one that meets a token lies inside it.
+    tokens = F.filter(_spans(text, OUTSIDE, 3, free), lambda t: ~t["token"].rlike(f"{ACCESS}|{HEX}") & _encoding(t["token"]).isNotNull())
+    own = docs.select(F.col(id_col).alias("id"), base.alias("base"), F.when(text.rlike(TOKEN), tokens).otherwise(F.array().cast(_SPAN)).alias("tokens"))
     tested = F.transform(
-        mixed,
-        lambda t: F.struct(
+        "tokens",
+        lambda t: let(_encoding(t["token"]), lambda e: F.struct(
             t["start"].alias("start"), t["kind"].alias("kind"), t["end"].alias("end"), (t["end"] - t["start"]).alias("n"),
-            _encoding(t["token"]).alias("encoding"), _p_value(_folded(t["token"]), _alphabet(t["token"])).alias("p"),
-        ),
+            F.get(F.array(*[F.lit(name) for name, _, _ in ENCODINGS]), e).alias("encoding"), let(_folded(t["token"], e), lambda x: p_value(x, e)).alias("p"),
+        )),
     )
     bare = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
     return own.select("id", bare.alias("base"), tested.alias("tested")).withColumnRenamed("id", id_col)
