@@ -287,24 +287,5 @@ def test_quality(spark, docs):
     assert quality.select(docs(ODD), blank).count() == len(ODD)
 
 
-def test_ann(spark):
-    rng = np.random.default_rng(8)
-    x = rng.integers(-4, 5, (600, 8)).astype(float)
-    x[(x == 0).all(1)] = 1.0
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(600 + i, x[0].tolist()) for i in range(60)]
-    bad = [(900, None), (901, [0.0] * 8), (902, [1.0] * 7), (903, [float("nan")] + [1.0] * 7), (904, [None] + [1.0] * 7)]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").withColumn("cell", F.lit(1))
-    got = {}
-    for r in ann.search(df, df.filter("vec_id % 20 = 0"), k=20).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    held = dict(rows)
-    assert sorted(got) == [i for i in held if i % 20 == 0]
-    for q, found in got.items():
-        want = sorted((-round(float(np.dot(held[q], v)), 9), i) for i, v in held.items() if i != q)[:20]
-        assert [(round(-s, 9), i) for _, i, s in sorted(found)] == [(s, i) for s, i in want]
-    assert list(ann.walk(np.array([0.0, 3.0]), np.array([1.0, 0.0]))) == [(0, 1), (0, 0), (1, 1), (1, 0)]
-    assert ann.search(df.filter("false"), df.filter("false")).count() == 0
-
-
 def test_digest():
     assert warc.digest(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ" and hashlib.sha1(b"").hexdigest().startswith("da39")
