@@ -133,7 +133,10 @@ def confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, s
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, words: int) -> DataFrame:
-    """node and the full set of its text, for the nodes given (node, doc, set_hash; a stored table)."""
+    """node and the full set of its text, for the nodes given (node, doc, set_hash; a stored table); stored.
+
+    Rows that are repeated as a whole give a set each, of which one is kept.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,8 +145,9 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "grams"]).filter(pa.array(own, pa.bool_()))
 
     own = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    texts = own.join(bounded_broadcast(nodes), "doc").select("node", "set_hash", "text").mapInArrow(hashed, "node bigint, grams binary")
-    return texts.groupBy("node").agg(F.first("grams").alias("grams"))  # rows that are repeated as a whole give one
+    texts = own.join(bounded_broadcast(nodes), "doc").select("node", "set_hash", "text")
+    sets = materialize(texts.mapInArrow(hashed, "node bigint, grams binary"), "sets")
+    return sets if sets.count() == nodes.count() else materialize(sets.groupBy("node").agg(F.first("grams").alias("grams")), "sets")
 
 
 def linkable(sets: DataFrame, similarity: int) -> DataFrame:
@@ -258,7 +262,7 @@ def find_components(
     nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written once, so the numbers stay
     posted = materialize(postings(nodes, matches), "postings")
     asked = materialize(nodes.join(posted.select("node").distinct(), "node").select("node", "doc", "set_hash"), "posted")
-    sets = materialize(shingle_sets(docs, asked, id_col=id_col, text_col=text_col, words=words), "sets")
+    sets = shingle_sets(docs, asked, id_col=id_col, text_col=text_col, words=words)
     posted = materialize(posted.join(linkable(sets, similarity), "node"), "linkable")
 
     least = F.min(F.struct("own", "node", "n"))  # the one with least of its own: in a group of edited copies, the text they come from
