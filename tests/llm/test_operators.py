@@ -250,7 +250,7 @@ def test_line_dedup_and_decontamination_on_odd_texts(spark, docs):
     rows = [*ODD, (20, lines), (21, lines), (22, "line 1 has six words and more\nshort one"), (23, None)]
     out = line_dedup.dedup_lines(docs(rows, line_no=1, place="x", key="k"))
     got = {r.doc_id: (r.text, r.n_removed) for r in out.collect()}
-    assert got[21] == ("", 3) and got[20][1] == 2 and got[22] == ("short one", 1) and got[1] == (None, 0) and got[7] == ("", 1)
+    assert got[21] == ("", 3) and got[20][1] == 2 and got[22] == ("short one", 1) and out.filter("doc_id = 6").count() == 1 and got[1] == (None, 0) and got[7] == ("", 1)
     assert out.columns[:8] == ["doc_id", "text", "lang", "source", "n_chars", "line_no", "place", "key"] and line_dedup.dedup_lines(docs([])).count() == 0
     items = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(20, 34))), (2, "no ID"), (3, None), (4, "")], "item_id long, text string")
     found = decontamination.decontaminate(docs(rows, items=1, h="x"), items)
@@ -259,20 +259,73 @@ def test_line_dedup_and_decontamination_on_odd_texts(spark, docs):
     assert found.count() == len(rows) and decontamination.decontaminate(docs([]), items).count() == 0
 
 
-def test_line_dedup_looks_past_variants_that_lack_different_words(docs, tmp_path, spark):
+def _edits_at_most_one(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
+
+
+def _deduped(rows):
+    """Brute force: text and number of removed lines by (doc_id, text)."""
+    kinds = lambda x: x.split(" ") if len(x.split(" ")) >= line_dedup.MIN_WORDS else list(x) if len(x) >= line_dedup.MIN_CHARS else None
+    seen, out = [], {}
+    for i, text in sorted(set(rows), key=lambda r: (r[0], r[1] or "")):
+        if not text:
+            out[i, text] = (text, 0)
+            continue
+        kept, gone = [], 0
+        for raw in text.split("\n"):
+            line = raw.strip(" ")
+            units = kinds(line)
+            words = len(line.split(" ")) >= line_dedup.MIN_WORDS
+            near = units is not None and any(w == words and u is not None and _edits_at_most_one(units, u) for _, u, w in seen)
+            if line and (near or any(line == x for x, _, _ in seen)):
+                gone += 1
+            else:
+                kept.append(raw)
+            if line:
+                seen.append((line, units, words))
+        out[i, text] = ("\n".join(kept), gone)
+    return out
+
+
+def test_line_dedup_against_brute_force(docs, tmp_path, spark):
     rng = random.Random(3)
-    lines = ["z b c d e f", "a b c d e f", "b c d e f g", "b c d e f h"]
-    texts = [*lines, *("\n".join(" ".join(rng.choices("xyz", k=rng.randint(4, 8))) for _ in range(4)) for _ in range(40))]
-    docs(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.n_removed for r in line_dedup.op7_line_dedup(spark, str(tmp_path)).filter("doc_id < 4").collect()}
-    assert got == {0: 0, 1: 1, 2: 0, 3: 1}
+    rows = list(enumerate(["z b c d e f", "a b c d e f", "b c d e f g", "b c d e f h"]))
+    for i in range(60):
+        lines = [" ".join(rng.choices("xyz", k=rng.randint(1, 8))) if rng.random() < 0.6 else "".join(rng.choices("ab ", k=rng.randint(0, 13))) for _ in range(4)]
+        rows.append((10 + i, "\n".join(lines)))
+    rows += [rows[5], rows[6], (100, "中文没有空格的一行文字"), (101, "中文没有空格的一个文字"), (102, ""), (102, ""), (103, None), (104, "} \n}")]
+    rows += [(105, "an old man\n"), (106, " an old man"), (107, "anold manxyz"), (108, "an oldd man\nan old men")]
+    made = docs(rows, line_no=1, place="x", key="k", _cut="c", cut="d", row="r", text_a=5, doc="z", lines="l")
+    got = {}
+    for r in line_dedup.dedup_lines(made).collect():
+        key = next(k for k in rows if k[0] == r.doc_id)
+        assert key not in got or key == (102, "")
+        got[key] = (r.text, r.n_removed)
+        assert (r.line_no, r._cut, r.cut, r.row, r.text_a, r.lines) == (1, "c", "d", "r", 5, "l")
+    assert got == _deduped(rows)
+    made.write.parquet(f"{tmp_path}/documents.parquet")
     assert compare(spark, str(tmp_path), line_dedup.op7_line_dedup, line_dedup.ORACLE) == ""
 
 
-def test_line_dedup_of_short_lines(docs):
-    rows = [(1, "one two\n中文没有空格\n\n a\tb\tc"), (2, "one two \n\n中文没有空格\none tow"), (3, "a\tb\tc\n\n")]
-    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(docs(rows), short_lines=True).collect()}
-    assert got == {1: (rows[0][1], 0), 2: ("\none tow", 2), 3: ("\n", 1)}
+def test_line_dedup_of_texts_that_share_an_id(docs):
+    one, two = "the first line of it\nthe shared line of both of them", "another line of the second\nthe shared line of both of them"
+    for rows in ([(1, one), (1, two)], [(None, one), (None, two)]):
+        got = sorted((r.text, r.n_removed) for r in line_dedup.dedup_lines(docs(rows)).collect())
+        assert sum(n for _, n in got) == 1 and "\n".join(t for t, _ in got).count("shared") == 1
+
+
+def test_line_dedup_of_very_long_lines(docs):
+    words = [f"w{i % 977 * i}" for i in range(60_000)]
+    changed, longer = list(words), list(words)
+    changed[100] = "zz"
+    longer.insert(40_000, "q")
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(longer)), (4, " ".join(reversed(words)))]
+    assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(docs(rows)).collect()} == {1: 0, 2: 1, 3: 1, 4: 0}
 
 
 def test_quality(spark, docs):
