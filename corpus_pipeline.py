@@ -27,8 +27,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand earlier in the corpus, but for a word if they are long, are cut; documents that had nothing else go."""
-    found = line_dedup.dedup_lines(docs, short_lines=True)
+    """Lines that stand earlier in the corpus, but for an edit, are cut; documents that had nothing else go, as do rows that are repeated."""
+    found = line_dedup.dedup_lines(docs)
     gone = (F.col("n_removed") > 0) & (F.trim(F.replace("text", F.lit("\n"), F.lit(""))) == "")
     kept = found.filter(~F.coalesce(gone, F.lit(False)))
     return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")).select(docs.columns)
