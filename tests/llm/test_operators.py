@@ -259,6 +259,33 @@ def test_line_dedup_and_decontamination_on_odd_texts(spark, docs):
     assert found.count() == len(rows) and decontamination.decontaminate(docs([]), items).count() == 0
 
 
+@pytest.mark.parametrize("listed", [10_000, 1])
+def test_decontamination_against_brute_force(spark, docs, monkeypatch, listed):
+    monkeypatch.setattr(decontamination, "FIRST_WORDS", listed)
+    rng = random.Random(12)
+    word = lambda: rng.choice(["a", "B", "c", "dd", "é"])
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 2, 3, 4, 7, 9, 10, 11, 14])))) for i in range(2, 40)] + [(1, None), (0, "..."), (None, "b b")]
+    rows = [(i, "; ".join(word() for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(70, items[0][1]), (70, items[0][1]), (71, None)]
+    split = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    want = set()
+    for i, text in rows:
+        words, hit, found = split(text), set(), set()
+        for item, t in items:
+            w = split(t)
+            n = min(len(w), 10)
+            for k in range(len(w) - n + 1 if w else 0):
+                for at in range(len(words) - n + 1):
+                    if words[at : at + n] == w[k : k + n]:
+                        hit |= set(range(at, at + n))
+                        found.add("" if item is None else str(item))
+        want.add((i, len(words), tuple(sorted(hit)), tuple(sorted(found))))
+    df, bench = docs(rows, row=1, row_a=2, h="x", needle=3), spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.decontaminate(df, bench).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.n_words, tuple(r.hit_words or []), tuple(r.items)) for r in got} == want
+    clean = decontamination.drop_contaminated(df, bench)
+    assert clean.columns == df.columns and sorted(r.doc_id for r in clean.collect()) == sorted(i for i, _, h, _ in want if not h)
+
+
 def _edits_at_most_one(a, b):
     if abs(len(a) - len(b)) > 1:
         return False

@@ -5,7 +5,7 @@ row the smallest hash is kept as a fingerprint.  Two texts that share K + W - 1
 words in a row share the fingerprint of that stretch, so the join of fingerprints finds
 every shared window.  Hits are extended to the whole windows around a fingerprint, whose
 words are compared through their 64-bit hashes.  Items of fewer words than WINDOW are one
-window each, looked up at every place of a text, length by length.
+window each, looked up in the same pass where their first words stand.
 
 Defined results: null and empty texts have no words and are clean; a word counts as hit
 once however many windows hold it; repeated rows get the same result each; rows with a
@@ -14,8 +14,6 @@ null item_id count as the item named by the empty string; other columns are not
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +24,9 @@ from traceframe.plans.sizing import bounded_broadcast
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]++"
 WINDOW, K = 10, 5
 W = WINDOW - K + 1
+#: First words of short items are listed in the plan up to this number; beyond it every place of a text counts as a beginning.
+FIRST_WORDS = 10_000
+ROW = ["row_a", "row_b"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -75,7 +76,7 @@ def _windows(first: Column, words: Column, length: int) -> Column:
 
 
 def _prints(hashed: DataFrame, *keys: str) -> DataFrame:
-    """``keys`` and each distinct fingerprint of the texts with at least WINDOW words.
+    """``keys``, ``h`` and ``prints``, the fingerprints of the texts with at least WINDOW words (none of others).
 
     ``hashed`` has the keys and ``h``.  Sliding hashes and minima over K = 5 and W = 6
     places are put together from those over 1, 2 and 4, a projection each, so that each is
@@ -85,62 +86,101 @@ def _prints(hashed: DataFrame, *keys: str) -> DataFrame:
     hash2 = lambda a, b: F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
     least = lambda a, b: F.zip_with(a, b, lambda x, y: F.least(x, y))
     two = hashed.select(*keys, "h", hash2("h", shift("h", 1)).alias("two"))
-    five = two.select(*keys, F.size("h").alias("n"), hash2(hash2("two", shift("two", 2)), shift("h", 4)).alias("five"))
-    pair = five.select(*keys, "n", least("five", shift("five", 1)).alias("pair"))
-    quad = pair.select(*keys, "n", "pair", least("pair", shift("pair", 2)).alias("quad"))
-    six = F.slice(least("quad", shift("pair", 4)), F.lit(1), F.greatest(F.col("n") - WINDOW + 1, F.lit(0)))
-    return quad.select(*keys, F.explode_outer(F.array_distinct(six)).alias("print"))
+    five = two.select(*keys, "h", hash2(hash2("two", shift("two", 2)), shift("h", 4)).alias("five"))
+    pair = five.select(*keys, "h", least("five", shift("five", 1)).alias("pair"))
+    quad = pair.select(*keys, "h", "pair", least("pair", shift("pair", 2)).alias("quad"))
+    six = F.slice(least("quad", shift("pair", 4)), F.lit(1), F.greatest(F.size("h") - WINDOW + 1, F.lit(0)))
+    return quad.select(*keys, "h", six.alias("prints"))
 
 
-def find_hits(docs: DataFrame, items: DataFrame, key: str) -> DataFrame:
-    """``key``, start, length and item_id of every occurrence of an item's window in a document.
+def _short_windows(firsts: list[int] | None, lengths: list[int]) -> Column:
+    """(start, length, window) of the places of ``h`` where a short item may begin: a hash for each length.
 
-    ``docs`` has the key and the text, ``items`` has item_id and ``h``, the word hashes.
-    Fingerprints single out the documents that share any; only in those are the stretches
-    of windows around shared fingerprints laid out and compared.  Item windows are stored
-    once; they are broadcast if few, and joined by shuffling if not.  Arrays are laid out
-    with outer explodes, as for an inner one the optimizer computes them twice.
+    ``firsts`` are the hashes of the first words of the short items, None if they are too many to list.
+    """
+    none = F.array().cast("array<struct<start:int,length:int,window:bigint>>")
+    if not lengths:
+        return none
+    places = _upto(F.size("h") - 1)
+    if firsts is not None:
+        places = F.filter(places, lambda i: F.get("h", i).isin(firsts))
+    return F.flatten(F.transform(places, lambda i: F.array(*[
+        F.struct(i.alias("start"), F.lit(n).alias("length"), F.xxhash64(F.lit(n), F.slice("h", i + 1, n)).alias("window")) for n in lengths
+    ])))
+
+
+def find_hits(docs: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, start, length and item_id of every occurrence of an item's window in a document.
+
+    ``docs`` has the keys and the text, ``items`` has item_id and ``h``, the word hashes.
+    One pass over the documents lays out their fingerprints, and the places where the first
+    word of a short item stands, and singles out the documents that share any; only in those
+    are the stretches of windows around shared fingerprints laid out and compared.  Item
+    windows are stored once; they are broadcast if few, and joined by shuffling if not.
+    Arrays are laid out with outer explodes, as for an inner one the optimizer computes them
+    twice.
     """
     held = materialize(items.filter(F.size("h") > 0), "items")
     long_items, short = held.filter(F.size("h") >= WINDOW), held.filter(F.size("h") < WINDOW)
-    prints = materialize(_prints(long_items).distinct(), "prints")
+    prints = materialize(_prints(long_items, "item_id").select(F.explode_outer("prints").alias("print")).distinct(), "prints")
     windows = long_items.select("item_id", F.explode_outer(_windows(F.lit(0), F.col("h"), WINDOW)).alias("w"))
     whole = materialize(windows.select("item_id", "w.window", F.col("w.words").alias("held")).distinct(), "windows")
+    size = F.size("h")
+    keyed = materialize(short.select("item_id", size.alias("length"), F.xxhash64(size, "h").alias("window"), F.col("h").alias("held")).distinct(), "short")
+    lengths = sorted(n for (n,) in keyed.select("length").distinct().collect())  # fewer than WINDOW values
+    firsts = [x for (x,) in keyed.select(F.get("held", 0)).distinct().limit(FIRST_WORDS + 1).collect()]
+    begins = _short_windows(firsts if len(firsts) <= FIRST_WORDS else None, lengths)
+    needles = materialize(prints.select(F.col("print").alias("needle")).unionByName(keyed.select(F.col("window").alias("needle"))).distinct(), "needles")
+
+    hashed = _prints(docs.select(*keys, word_hashes(F.col("text")).alias("h")), *keys)
+    offered = F.array_distinct(F.concat("prints", F.transform(begins, lambda x: x["window"])))
+    near = hashed.select(*keys, F.explode_outer(offered).alias("needle")).join(bounded_broadcast(needles), "needle", "left_semi").select(*keys).distinct()
+    again = docs.join(bounded_broadcast(materialize(near, "near")), keys, "left_semi").select(*keys, word_hashes(F.col("text")).alias("h"))
+    runs = _runs(again.filter(F.size("h") >= WINDOW)).select(*keys, F.explode_outer("runs").alias("r"))
+    around = runs.select(*keys, "r.print", "r.first", "r.words").join(bounded_broadcast(prints), "print", "left_semi")
+    found = around.select(*keys, F.explode_outer(_windows(F.col("first"), F.col("words"), WINDOW)).alias("w")).select(*keys, "w.*")
+    hits = found.join(bounded_broadcast(whole), "window").filter("words = held").select(*keys, "start", F.lit(WINDOW).alias("length"), "item_id")
+    begun = again.select(*keys, "h", F.explode_outer(begins).alias("w")).select(*keys, "w.*", F.slice("h", F.col("w.start") + 1, F.col("w.length")).alias("words"))
+    begun = begun.join(bounded_broadcast(keyed), ["length", "window"]).filter("words = held")
+    return hits.unionByName(begun.select(*keys, "start", "length", "item_id"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row, its id and text, and its 128-bit hash, which stands for it in joins."""
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return own.withColumns({ROW[0]: F.xxhash64("doc_id", "text"), ROW[1]: F.xxhash64(F.lit(1), "doc_id", "text")})
 
-    hashed = docs.select(key, word_hashes(F.col("text")).alias("h"))
-    near = materialize(_prints(hashed, key).join(bounded_broadcast(prints), "print", "left_semi").select(key).distinct(), "near")
-    again = docs.join(bounded_broadcast(near), key, "left_semi").select(key, word_hashes(F.col("text")).alias("h"))
-    runs = _runs(again.filter(F.size("h") >= WINDOW)).select(key, F.explode_outer("runs").alias("r"))
-    around = runs.select(key, "r.print", "r.first", "r.words").join(bounded_broadcast(prints), "print", "left_semi")
-    found = around.select(key, F.explode_outer(_windows(F.col("first"), F.col("words"), WINDOW)).alias("w")).select(key, "w.*")
-    parts = [found.join(bounded_broadcast(whole), "window").filter("words = held").select(key, "start", F.lit(WINDOW).alias("length"), "item_id")]
-    for (n,) in short.select(F.size("h")).distinct().collect():  # fewer than WINDOW values
-        keyed = materialize(short.filter(F.size("h") == n).select("item_id", F.xxhash64("h").alias("window"), F.col("h").alias("held")).distinct(), f"short{n}")
-        every = hashed.select(key, F.explode_outer(_windows(F.lit(0), F.col("h"), n)).alias("w")).select(key, "w.*")
-        parts.append(every.join(bounded_broadcast(keyed), "window").filter("words = held").select(key, "start", F.lit(n).alias("length"), "item_id"))
-    return reduce(DataFrame.unionByName, parts)
+
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item_id"), word_hashes(F.col(item_text_col)).alias("h"))
 
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """id, row_hash, n_words, n_hit, spans of hit words, items and contaminated, for every row."""
-    row = [F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_hash")]
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item_id"), word_hashes(F.col(item_text_col)).alias("h"))
-    hits = find_hits(docs.select(row[1], F.col(text_col).alias("text")), items, "row_hash")
+    """id, n_words, n_hit, hit_words (their places), items and contaminated, for every row."""
+    own = _keyed(docs, id_col, text_col)
+    hits = find_hits(own.select(*ROW, "text"), _items(benchmark, item_col, item_text_col), ROW)
     places = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1))))
-    by_row = hits.groupBy("row_hash").agg(F.collect_set(F.struct("start", "length")).alias("at"), F.array_sort(F.collect_set("item_id")).alias("items"))
-    found = by_row.select("row_hash", F.array_sort(places).alias("hit_words"), "items")
-    counted = docs.select(*row, F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("bigint").alias("n_words"))
-    joined = counted.join(found, "row_hash", "left")
-    none = F.array().cast("array<string>")
-    return joined.select(
-        F.col("doc_id").alias(id_col), "row_hash", "n_words",
+    by_row = hits.groupBy(*ROW).agg(F.collect_set(F.struct("start", "length")).alias("at"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    found = by_row.select(*ROW, F.array_sort(places).alias("hit_words"), "items")
+    counted = own.select("doc_id", *ROW, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("n_words"))
+    return counted.join(found, ROW, "left").select(
+        F.col("doc_id").alias(id_col), "n_words",
         F.coalesce(F.size(F.coalesce("hit_words", F.array().cast("array<int>"))), F.lit(0)).cast("bigint").alias("n_hit"),
-        "hit_words", F.coalesce("items", none).alias("items"), F.col("items").isNotNull().alias("contaminated"),
+        "hit_words", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("items").isNotNull().alias("contaminated"),
     )
 
 
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item, unchanged."""
+    own = _keyed(docs, id_col, text_col)
+    leaks = materialize(find_hits(own.select(*ROW, "text"), _items(benchmark, item_col, item_text_col), ROW).select(*ROW).distinct(), "leaks")
+    return own.join(bounded_broadcast(leaks), ROW, "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = decontaminate(docs, benchmark)
