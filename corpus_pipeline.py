@@ -43,10 +43,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = materialize(found.filter("contaminated").select("row_hash").distinct(), "leaks")
-    hashed = docs.withColumn("row_hash", F.xxhash64("doc_id", "text"))
-    return hashed.join(bounded_broadcast(leaks), "row_hash", "left_anti").select(docs.columns)
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
