@@ -1,6 +1,5 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeats and empty tables."""
 
-import hashlib
 import random
 import re
 import struct
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.compare import compare
 from tests.llm.conftest import BASE
-from traceframe.llm import ann, decontamination, language, line_dedup, near_dedup, packing, quality, registry, secrets, token_files, warc
+from traceframe.llm import ann, decontamination, language, line_dedup, near_dedup, packing, quality, registry, secrets, token_files
 from traceframe.llm.tokens import TextEncoder, public_path
 from traceframe.plans.scratch import materialize, scratch_path
 
@@ -55,7 +54,7 @@ def test_buckets_hold_equal_lengths(spark, docs):
     path = scratch_path(spark, "buckets")
     packing.write_buckets(packed, path)
     back = spark.read.parquet(path)
-    assert back.filter("bucket <> length").count() == 0
+    assert back.filter("length <> shiftleft(1, bucket)").count() == 0 and back.select("bucket").distinct().count() > 3
     assert sorted((r.sequence_id, r.length) for r in back.collect()) == sorted((r.sequence_id, r.length) for r in packed.collect())
 
 
@@ -147,23 +146,6 @@ def test_secrets_behind_an_equals_sign(docs):
     assert got[90] == ""
 
 
-def test_warc(spark):
-    rows = [(1, "http://a.com", "x"), (2, "http://a.com", "x"), (3, None, None), (None, "b", "\r\n\r\nWARC/1.1"), (2, "http://a.com", "x"), (5, "http://a c", ""), (6, "http://e/é", "é")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha", F.lit("y"))
-    path = scratch_path(spark, "a")
-    warc.write_warc(df, path)
-    got = warc.merge_runs(materialize(warc.read_runs(spark, path), "r")).collect()
-    assert [(r.url_key, r.timestamp) for r in got] == sorted((r.url_key, r.timestamp) for r in got) and len(got) == len(rows)
-    assert {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got} >= {(1, "revisit", 2, 1), (2, "response", None, 1), (3, "revisit", 5, 0), (5, "response", None, 0), (6, "response", None, 2)}
-    empty = scratch_path(spark, "a")
-    warc.write_warc(df.filter("false"), empty)
-    assert warc.merge_runs(materialize(warc.read_runs(spark, empty), "r")).count() == 0
-    rng = random.Random(2)
-    for _ in range(300):
-        runs = [sorted(rng.choices(range(20), k=rng.randint(0, 6))) for _ in range(rng.randint(0, 9))]
-        assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
-
-
 def _sets(rows):
     out = {}
     for i, t in rows:
@@ -365,7 +347,3 @@ def test_quality(spark, docs):
     assert quality.rate(docs(ODD, p_top=1), model).count() == len(ODD) and quality.select(docs([]), model).count() == 0
     blank = quality.train(docs([(1, "a")]), graded.filter("false"))
     assert quality.select(docs(ODD), blank).count() == len(ODD)
-
-
-def test_digest():
-    assert warc.digest(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ" and hashlib.sha1(b"").hexdigest().startswith("da39")

@@ -1,12 +1,14 @@
 """WARC archives of pages, and a global capture index merged from local runs.
 
 Writing.  Records with equal payloads have one full ``response`` (the largest page_id);
-the others are ``revisit`` records that name it.  Records are joined by blank lines, so
-Spark's text writer with that separator writes WARC 1.1 files, packed with gzip, to any
-store.  Offsets count unpacked bytes.
+the others are ``revisit`` records that name it.  A record is a gzip member of its own
+(several, if it has MEMBER_BYTES or more), so it is read by its offset and size alone.
+Spark's text writer writes the files to any store: a member of less than 16 MB ends in a
+zero byte, the highest of its size, and that byte is the writer's separator.  A task
+begins a new file when its records have FILE_BYTES.
 
-Reading.  Each archive file is parsed by its Content-Length headers and gives one run of
-index entries, sorted by (URL key, timestamp, page_id).
+Reading.  Each archive file is unpacked record by record and gives one run of index
+entries, sorted by (URL key, timestamp, page_id); offsets and sizes count packed bytes.
 
 Merging.  Entries are dealt out by ranges of that key; what a task gets are sorted pieces
 of runs, and a loser tree merges them, so the tasks in order hold the globally ordered
@@ -21,9 +23,9 @@ captures of their own; other columns are not read; an empty table writes no reco
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 from urllib.parse import urlsplit
@@ -35,8 +37,10 @@ from pyspark.sql import functions as F
 from traceframe.plans.scratch import materialize, scratch_path
 from traceframe.plans.sizing import bounded_broadcast
 
-#: Payloads under this many bytes are never revisits; about so many bytes and entries go to a file and a range.
+#: Payloads under this many bytes are never revisits; about so many packed bytes and entries go to a file and a range.
 MIN_BYTES, FILE_BYTES, RANGE_ROWS = 0, 24_000_000, 50_000
+#: Unpacked bytes of a gzip member: less than 2 ** 24, so that the last byte of its size is zero.
+MEMBER_BYTES = 1 << 23
 #: Without a capture time of its own, a page is captured so many seconds after this moment as its id says.
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 
@@ -121,28 +125,52 @@ class LoserTree:
 def write_warc(
     pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = MIN_BYTES
 ) -> None:
-    """Write the archives: ``part-*.txt.gz`` files that are WARC 1.1 when unpacked."""
+    """Write the archives: ``file=*/part-*.txt``, gzip files of one member a record that are WARC 1.1 when unpacked."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     own = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     keyed = own.withColumn("sha", F.sha1("payload"))
     # The largest id of each payload that repeats; if these are few, no payload is shuffled.
     repeated = keyed.groupBy("sha").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     firsts = bounded_broadcast(materialize(repeated, "repeated"))
-    total = own.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("payload")).alias("bytes")).first()
-    per_file = max(1, int(FILE_BYTES / (1_000 + (total.bytes or 0) / max(total.n, 1))))
     marked = keyed.join(firsts, "sha", "left").select(
         "page_id", "url", "payload",
         F.when((F.length("payload") >= min_bytes) & ~F.coalesce(F.col("original") == F.col("page_id"), F.col("original").isNull()), F.col("original")).alias("refers_to"),
     )
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
-                part = batch.slice(lo, 200)
-                yield pa.RecordBatch.from_arrays([pa.array([_record(r) for r in part.to_pylist()], pa.binary())], names=["record"])
-
-    written = marked.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value"))
-    written.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+                files, packed = [], []
+                for r in batch.slice(lo, 200).to_pylist():
+                    packed.append(pack_record(_record(r)))
+                    files.append(written // FILE_BYTES)
+                    written += len(packed[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), pa.array([x[:-1] for x in packed], pa.binary())], names=["file", "record"])
+
+    written = marked.mapInArrow(records, "file int, record binary").select("file", F.col("record").cast("string").alias("value"))
+    written.write.partitionBy("file").option("lineSep", "\0").text(path)
+
+
+def pack_record(record: bytes) -> bytes:
+    """The record as gzip members; the last byte is zero."""
+    out = []
+    for lo in range(0, len(record), MEMBER_BYTES):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out.append(packer.compress(record[lo : lo + MEMBER_BYTES]) + packer.flush())
+    return b"".join(out)
+
+
+def unpack_member(data: bytes | memoryview, at: int) -> tuple[bytes, int]:
+    """The gzip member that begins at a byte, unpacked, and the byte after it."""
+    unpacker, out = zlib.decompressobj(31), []
+    while not unpacker.eof:
+        part = data[at : at + 65_536]
+        if not len(part):
+            raise ValueError("a record is cut off")
+        out.append(unpacker.decompress(part))
+        at += len(part)
+    return b"".join(out), at - len(unpacker.unused_data)
 
 
 def _record(r: dict) -> bytes:
@@ -163,22 +191,32 @@ def _record(r: dict) -> bytes:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{r['refers_to']}>"]
         payload = b""
     lines.append(f"Content-Length: {len(payload)}")
-    return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + payload
-
-
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], int, int, bytes]]:
-    """Headers, offset, size and payload of each record of an archive."""
+    return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + payload + b"\r\n\r\n"
+
+
+def read_record(data: bytes | memoryview, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """Headers and payload of the record that begins at a byte of a packed archive, and the byte after it."""
+    record, end = unpack_member(data, at)
+    while True:
+        head = _HEADER.match(record)
+        if head:
+            fields = dict(x.split(": ", 1) for x in head[1].decode("utf-8", "surrogatepass").split("\r\n"))
+            stop = head.end() + int(fields["Content-Length"])
+            if record[stop : stop + 4] == b"\r\n\r\n":
+                return fields, record[head.end() : stop], end
+        if end >= len(data):
+            raise ValueError(f"no whole WARC record at byte {at}")
+        more, end = unpack_member(data, end)
+        record += more
+
+
+def parse_warc(data: bytes | memoryview) -> Iterator[tuple[dict[str, str], int, int, bytes]]:
+    """Headers, offset, size and payload of each record of a packed archive."""
     at = 0
     while at < len(data):
-        head = _HEADER.match(data, at)
-        if not head:
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = dict(x.split(": ", 1) for x in head[1].decode("utf-8", "surrogatepass").split("\r\n"))
-        end = head.end() + int(fields["Content-Length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield fields, at, end + 4 - at, data[head.end() : end]
-        at = end + 4
+        fields, payload, end = read_record(data, at)
+        yield fields, at, end - at, payload
+        at = end
 
 
 def _entry(fields: dict[str, str], offset: int, size: int, payload: bytes, archive: str) -> tuple:
@@ -199,8 +237,8 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                archive = name.rsplit("/", 1)[-1]
-                found = sorted((_entry(*r, archive) for r in parse_warc(gzip.decompress(data.as_buffer()))), key=_key)
+                archive = "/".join(name.rsplit("/", 2)[1:])
+                found = sorted((_entry(*r, archive) for r in parse_warc(memoryview(data.as_buffer()))), key=_key)
                 for lo in range(0, len(found), 5_000):
                     yield _batch(found[lo : lo + 5_000])
 
@@ -251,7 +289,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archives")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     index = merge_runs(materialize(read_runs(spark, path), "runs"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "archive", "record_offset")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "archive", "record_offset", "record_bytes")
 
 
 QUERIES = {"op5_warc": op5_warc}
