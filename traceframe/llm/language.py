@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 #: About so many labelled rows of each language are learned from, chosen by a hash of the id.
 SAMPLE_PER_LANG = 2_000
-#: Hash buckets of grams, languages at most, penalty of a change, least share of a script.
-BUCKETS, MAX_LANGS, SWITCH, MIN_SCRIPT = 1 << 16, 400, 12.0, 0.001
-#: Code points scored at a time, and characters of the texts in one Viterbi run.
-CHUNK, GROUP = 1_000_000, 8_000_000
+#: Hash buckets of grams, penalty of a change, least share of a script.
+BUCKETS, SWITCH, MIN_SCRIPT = 1 << 16, 12.0, 0.001
+#: Code points scored at a time, and characters of the texts in one Viterbi run, each times the number of languages.
+CHUNK, GROUP = 4_000_000, 32_000_000
 
 # First code points of the Unicode ranges that tell scripts apart.
 SCRIPTS = [
@@ -101,7 +101,7 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points, np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _groups(texts: list[str], most: int = GROUP) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts that have about so many characters together."""
     lo, size = 0, 0
     for i, t in enumerate(texts):
@@ -116,16 +116,18 @@ def _groups(texts: list[str], most: int = GROUP) -> Iterator[tuple[int, int]]:
 def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from rows with a text and a label: about SAMPLE_PER_LANG rows of each language.
 
-    Only counts reach the driver: at most languages x buckets rows.
+    Every label is a language, however rare, if its texts hold a letter.  Only counts reach
+    the driver: at most languages x buckets rows; the model takes 256 KB a language.
     """
     own = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = own.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    sizes = own.filter("lang is not null").groupBy("lang").count().collect()
     langs = sorted(r.lang for r in sizes)
+    number = {lang: k for k, lang in enumerate(langs)}
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(_NAMES), 0), bool))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, SAMPLE_PER_LANG / r["count"]) * (1 << 30))])
+    shares = labelled.sparkSession.createDataFrame([(r.lang, min(1.0, SAMPLE_PER_LANG / r["count"]) * (1 << 30)) for r in sizes], "lang string, share double")
     draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30))
-    sample = own.filter(F.col("text").isNotNull() & (draw < share[F.col("lang")]))
+    sample = own.filter("text is not null").join(F.broadcast(shares), "lang").filter(draw < F.col("share"))  # a row for each language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, scripts = np.zeros((len(langs), BUCKETS), np.int64), np.zeros((len(langs), len(_NAMES)), np.int64)
@@ -133,7 +135,7 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             for lang, text in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True):
                 starts, ends, low = _words(_joined([text])[0])
                 if len(starts):
-                    k, inside = langs.index(lang), low > 0
+                    k, inside = number[lang], low > 0
                     inside[1:] |= inside[:-1].copy()
                     for g in _grams(low):
                         grams[k] += np.bincount(g[inside], minlength=BUCKETS)
@@ -147,7 +149,11 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     tables = {"gram": np.zeros((len(langs), BUCKETS)), "script": np.zeros((len(langs), len(_NAMES)))}
     for kind, rows in found.groupby("kind"):
         tables[kind][rows.k.to_numpy(), rows.j.to_numpy()] = rows.n.to_numpy()
-    gram, script = tables["gram"] + 0.5, tables["script"]
+    lettered = tables["script"].sum(1) > 0
+    langs = [lang for lang, has in zip(langs, lettered, strict=True) if has]
+    gram, script = tables["gram"][lettered] + 0.5, tables["script"][lettered]
+    if not langs:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(_NAMES), 0), bool))
     logs = np.log(gram / gram.sum(1, keepdims=True)).T
     allowed = (script / np.maximum(script.sum(1, keepdims=True), 1) >= MIN_SCRIPT).T
     return Model(langs, np.ascontiguousarray(logs - logs.mean(1, keepdims=True), np.float32), allowed)
@@ -156,9 +162,9 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 def _scores(model: Model, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Score of each word for each language; a word takes the blank after it along."""
     out = np.empty((len(starts), len(model.langs)), np.float32)
-    lo = 0
+    lo, size = 0, max(1, CHUNK // len(model.langs))
     while lo < len(starts):
-        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + CHUNK)))
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + size)))
         own = low[starts[lo] : ends[hi - 1] + 1]
         per = np.zeros((len(own) + 1, len(model.langs)), np.float32)
         for g in _grams(own):
@@ -202,7 +208,7 @@ def label_texts(model: Model, texts: list[str]) -> list[tuple[str, float, list[t
     if not model.langs:
         return [("und", 0.0, []) for _ in texts]
     out = []
-    for lo, hi in _groups(texts):
+    for lo, hi in _groups(texts, max(1, GROUP // len(model.langs))):
         points, begins = _joined(texts[lo:hi])
         starts, ends, low = _words(points)
         doc = np.searchsorted(begins, starts, "right") - 1

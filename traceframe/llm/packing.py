@@ -2,8 +2,9 @@
 
 A document of n tokens becomes n // 2048 pieces of 2048 tokens and one piece for each
 binary digit of the rest, longest first.  Each piece is a sequence of its own whose
-length is a power of two, so no sequence crosses documents and none is padded; batches
-can be formed of sequences with equal length by ``write_buckets``, which no query calls.
+length is a power of two, so no sequence crosses documents and none is padded.  Sequences
+of equal length are one bucket, named by the exponent: ``write_buckets`` lays them out in
+a folder each, from which batches of one shape are read.
 
 Defined results: a null text counts as empty and has the end id alone; repeated rows
 are packed once each; a null doc_id stays null; columns other than the id and the
@@ -25,7 +26,7 @@ from traceframe.llm.tokens import encoder, public_path
 MAX_LENGTH, END_ID = 2048, 1
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids binary, ids_crc32 bigint, "
-    "doc_tokens bigint, sequence_id bigint, offset bigint"
+    "doc_tokens bigint, sequence_id bigint, offset bigint, bucket int"
 )
 
 
@@ -56,7 +57,7 @@ def pack(
         raise ValueError("longest must be a power of two")
     schema = pa.schema(
         [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
-         ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
+         ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("bucket", pa.int32())]
     )
     end = end_id.to_bytes(4, "little")
 
@@ -71,7 +72,7 @@ def pack(
                     total, at = len(data) // 4, 0
                     for n in piece_lengths(total, longest):
                         part = data[4 * at : 4 * (at + n)]
-                        rows.append((doc, at, n, part, zlib.crc32(part), total, sequence, 0))
+                        rows.append((doc, at, n, part, zlib.crc32(part), total, sequence, 0, n.bit_length() - 1))
                         sequence += 1
                         at += n
                 yield pa.RecordBatch.from_arrays(
@@ -85,8 +86,8 @@ def pack(
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
-    """Write the sequences in one folder for each length."""
-    packed.withColumn("bucket", F.col("length")).write.partitionBy("bucket").parquet(path)
+    """Write the sequences in one folder for each bucket, that is for each length."""
+    packed.write.partitionBy("bucket").parquet(path)
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,17 +114,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
     w, cut, gap = np.zeros(len(kept)), 0.0, np.zeros(top - 1)
     sums = [np.full(len(kept), 1e-6), 1e-6, np.full(top - 1, 1e-6)]
     for _ in range(STEPS):
-        score = np.bincount(owner, w[column], minlength=len(rows))
-        theta = np.concatenate([[-np.inf], cut + np.concatenate([[0.0], np.cumsum(np.exp(gap))]), [np.inf]])
-        low, high = _sigmoid(theta[grades] - score), _sigmoid(theta[grades + 1] - score)
-        d_low, d_high = low * (1 - low), high * (1 - high)
-        p = np.maximum(high - low, 1e-12)
-        by_score = (d_high - d_low) / p / len(rows)  # of the negative log likelihood
-        by_theta = np.zeros(top + 2)
-        np.add.at(by_theta, grades + 1, -d_high / p / len(rows))
-        np.add.at(by_theta, grades, d_low / p / len(rows))
-        inner = by_theta[1:-1]
-        grads = [np.bincount(column, by_score[owner], minlength=len(kept)) + RIDGE * w / len(rows), inner.sum(), np.exp(gap) * np.cumsum(inner[:0:-1])[::-1]]
+        _, grads = objective(w, cut, gap, column, owner, grades)
         for i, g in enumerate(grads):
             sums[i] = sums[i] + g * g
         w = w - RATE * grads[0] / np.sqrt(sums[0])
@@ -132,7 +122,32 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
         gap = gap - RATE * grads[2] / np.sqrt(sums[2])
     weights = np.zeros(BUCKETS)
     weights[kept] = w
-    return Model(weights, cut + np.concatenate([[0.0], np.cumsum(np.exp(gap))]))
+    return Model(weights, _ordered(cut, gap))
+
+
+def _ordered(cut: float, gap: np.ndarray) -> np.ndarray:
+    """Thresholds, each above the one before by exp(gap)."""
+    return cut + np.concatenate([[0.0], np.cumsum(np.exp(gap))])
+
+
+def objective(w: np.ndarray, cut: float, gap: np.ndarray, column: np.ndarray, owner: np.ndarray, grades: np.ndarray) -> tuple[float, list]:
+    """Mean negative log likelihood with a ridge, and its gradient by w, cut and gap.
+
+    Row ``owner[i]`` has the feature ``column[i]``.
+    """
+    rows = len(grades)
+    score = np.bincount(owner, w[column], minlength=rows)
+    theta = np.concatenate([[-np.inf], _ordered(cut, gap), [np.inf]])
+    low, high = _sigmoid(theta[grades] - score), _sigmoid(theta[grades + 1] - score)
+    d_low, d_high = low * (1 - low), high * (1 - high)
+    p = np.maximum(high - low, 1e-12)
+    by_score = (d_high - d_low) / p / rows
+    by_theta = np.zeros(len(theta))
+    np.add.at(by_theta, grades + 1, -d_high / p / rows)
+    np.add.at(by_theta, grades, d_low / p / rows)
+    inner = by_theta[1:-1]
+    loss = -np.log(p).mean() + RIDGE * (w**2).sum() / 2 / rows
+    return float(loss), [np.bincount(column, by_score[owner], minlength=len(w)) + RIDGE * w / rows, inner.sum(), np.exp(gap) * np.cumsum(inner[:0:-1])[::-1]]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

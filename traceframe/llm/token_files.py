@@ -33,10 +33,11 @@ from pyspark.sql import functions as F
 
 from traceframe.llm.tokens import encoder, public_path
 from traceframe.plans.scratch import materialize, scratch_path
+from traceframe.plans.sizing import bounded_broadcast
 
 END_ID = 2
-#: The dictionary is trained on about so many documents, chosen by a hash of the id.
-SAMPLE_DOCS, DICT_BYTES, LEVEL = 1_000, 65_536, 3
+#: The dictionary is trained on about so many documents, chosen by a hash of the id, and on so many bytes of each: at most 16 MB.
+SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES, LEVEL = 1_000, 8_192, 65_536, 3
 BLOCK_DOCS, BLOCK_BYTES = 512, 4_000_000
 BLOCKS = (
     "shard int, block int, first_id bigint, last_id bigint, rel_start bigint, doc_ids array<bigint>, "
@@ -61,13 +62,12 @@ def train_dictionary(docs: DataFrame, tokenizer: str, width: int, end: bytes) ->
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            found = [_narrow(x + end, width) for x in enc.encode(batch.column(1).to_pylist())]
+            found = [_narrow(x + end, width)[:SAMPLE_BYTES] for x in enc.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["data"])
 
     rows = _sampled(docs).mapInArrow(ids, "data binary").collect()
-    samples = [bytes(r.data)[lo : lo + 65_536] for r in rows for lo in range(0, len(r.data), 65_536)]
     try:
-        return zstandard.train_dictionary(DICT_BYTES, sorted(samples)).as_bytes()
+        return zstandard.train_dictionary(DICT_BYTES, sorted(bytes(r.data) for r in rows)).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -153,7 +153,7 @@ def read_tokens(spark: SparkSession, path: str, doc_id: int | None = None) -> Da
     starts = shards.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("shard_start"))
     if doc_id is not None:
         blocks = blocks.filter(F.lit(doc_id).between(F.col("first_id"), F.col("last_id")))
-    placed = blocks.join(F.broadcast(starts), "shard").select(
+    placed = blocks.join(bounded_broadcast(materialize(starts, "starts")), "shard").select(
         (F.col("shard_start") + F.col("rel_start")).alias("start"), "doc_ids", "n_tokens", "offsets", "payload", "dict_hash"
     )
 
