@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from traceframe.functions import kleene as K
-from traceframe.functions.lines import statement_id
 from traceframe.functions.text import module_matches, query_terms, shorten, unquoted
-from traceframe.operators import lineage, search, settings, uses
+from traceframe.operators import lineage, search, settings, source, uses
+from traceframe.operators.chunks import file_chunks
 from traceframe.plans.shipping import ship
 from traceframe.sources import readers, snapshot
 
@@ -36,17 +36,17 @@ def build_snapshot(
     """Read the files below ``root`` (or take ``files``: path, text), derive all tables, write and publish them."""
     ship(spark)
     files = readers.source_files(spark, root, extra=["main.cfg"]) if files is None else files
-    chunks = uses.file_chunks(files)
+    state = source.line_state(files)
+    chunks = file_chunks(files, state)
     ids = F.xxhash64("path", "line_start", "kind")
     header = F.concat_ws("\n", F.concat_ws(", ", "path", F.concat(F.lit("lines "), "line_start", F.lit("-"), "line_end")), F.concat(F.col("kind"), F.lit(" "), F.col("name")))
     chunks = snapshot.keyed(chunks.withColumn("id", ids).withColumn("header", header), model)
-    symbols, switches = uses.declared_symbols(files), uses.switch_rows(files)
-    used = uses.where_used(files, symbols, switches.select("name"))
-    ends = statement_id(uses.line_state(files), "path", F.contains("line", F.lit(";")) & ~F.col("comment"))
-    used = used.join(ends.select("path", F.col("n").alias("line"), "statement"), ["path", "line"])
-    texts = used.select(F.explode(F.concat("conditions", "guards")).alias("text")).union(uses.abort_rows(files).select(F.explode("conditions")))
+    symbols, switches, aborts = uses.declared_symbols(state), source.switches(state), source.aborts(state)
+    used = uses.where_used(state, symbols, switches.select("name"))
+    used = used.join(state.select("path", F.col("n").alias("line"), "statement"), ["path", "line"])
+    texts = used.select(F.explode(F.concat("conditions", "guards")).alias("text")).union(aborts.select(F.explode("conditions"))).union(chunks.select(F.explode("conditions")))
     tables = {
-        "chunks": chunks, "symbols": symbols, "switches": switches, "symbol_uses": used, "preconditions": uses.abort_rows(files), "flags": uses.flag_rows(files),
+        "chunks": chunks, "symbols": symbols, "switches": switches, "symbol_uses": used, "preconditions": aborts, "flags": uses.flag_rows(state),
         "conditions": K.parsed(texts), "postings": search.postings(chunks, "id", {"header": 3.0, "text": 1.0}),
     }
     if scenarios is not None:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from traceframe.catalog import query
 from traceframe.library.common import fixture, table, values
+from traceframe.operators import chunks as C
 from traceframe.operators import lineage as L
+from traceframe.operators import source as S
 from traceframe.operators import sweeps
 from traceframe.operators import uses as U
 from traceframe.sources import readers as R
@@ -26,35 +28,39 @@ def _files(spark: SparkSession) -> DataFrame:
     return fixture(spark, "path string, text string", FILES)
 
 
+def _state(spark: SparkSession) -> DataFrame:
+    return S.line_state(_files(spark))
+
+
 def _uses(spark: SparkSession) -> DataFrame:
-    files = _files(spark)
-    return U.where_used(files, U.declared_symbols(files), U.switch_rows(files).select("name"))
+    state = _state(spark)
+    return U.where_used(state, U.declared_symbols(state), S.switches(state).select("name"))
 
 
 @query("c06_file_chunks")
 def c06(spark: SparkSession, d: str) -> DataFrame:
-    return U.file_chunks(_files(spark))
+    return C.file_chunks(_files(spark))
 
 
 @query("l09_line_conditions")
 def l09(spark: SparkSession, d: str) -> DataFrame:
-    return U.line_state(_files(spark)).select("path", "n", "masked", "conditions", "guards", "declared")
+    return _state(spark).select("path", "n", "masked", "conditions", "guards", "declared")
 
 
 @query("l18_declared_symbols", "SELECT * FROM (VALUES ('p_a', 'parameter', 't', 2), ('p_m', 'parameter', 't', 3), ('p_z', 'parameter', 't', 5), ('q_x', 'equation', 't', 6)) t(name, kind, domain, line)")
 def l18(spark: SparkSession, d: str) -> DataFrame:
-    return U.declared_symbols(_files(spark)).select("name", "kind", "domain", "line")
+    return U.declared_symbols(_state(spark)).select("name", "kind", "domain", "line")
 
 
 @query("l20_aborts")
 def l20(spark: SparkSession, d: str) -> DataFrame:
     text = "$ifthen %x% == 'a'\n$abort 'bad x'\n$endif\nif(cm_y eq 1,\nabort \"no y\";\n);\n"
-    return U.abort_rows(fixture(spark, "path string, text string", [("core/a.gms", text)]))
+    return S.aborts(S.line_state(fixture(spark, "path string, text string", [("core/a.gms", text)])))
 
 
 @query("c07_switches", "SELECT * FROM (VALUES ('cm_x', '1', '1|2', 1), ('cm_y', 'on', '', 2)) t(name, value, allowed, line)")
 def c07(spark: SparkSession, d: str) -> DataFrame:
-    return U.switch_rows(_files(spark)).select("name", "value", "allowed", "line")
+    return S.switches(_state(spark)).select("name", "value", "allowed", "line")
 
 
 _USES = [
@@ -75,7 +81,7 @@ def t01(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t03_flags")
 def t03(spark: SparkSession, d: str) -> DataFrame:
-    return U.flag_rows(fixture(spark, "path string, text string", [("core/a.gms", '$ifthen "%s%" == "b"\n$setglobal cm_flag "YES"\n$endif\n'), ("standalone/x.gms", "$setglobal no 1\n")]))
+    return U.flag_rows(S.line_state(fixture(spark, "path string, text string", [("core/a.gms", '$ifthen "%s%" == "b"\n$setglobal cm_flag "YES"\n$endif\n'), ("standalone/x.gms", "$setglobal no 1\n")])))
 
 
 _STATEMENTS = """stm AS (SELECT l_orderkey AS statement, 'orders' AS path, l_linenumber AS line, 'p' || (l_partkey % 50) AS name, CASE WHEN l_linenumber = 1 THEN 'assigned' ELSE 'read' END AS role FROM lineitem)"""

@@ -1,85 +1,31 @@
-"""Files to typed tables: lines with their state, chunks, symbols, where-used facts.
-
-One pass over the files, each row by itself (``mapInPandas``), emits tagged rows; what
-follows is joins.  Files are rows (path, text), so no file is shuffled.
-"""
+"""Files to typed tables: symbols, where-used facts, aborts, flags; built on the state of the lines."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceframe.functions.text import identifiers, path_part
-from traceframe.plans import chunks as C
-from traceframe.plans import source as S
-
-MAX_SNIPPET = S.SNIPPET
-
-
-def _per_file(files: DataFrame, rows: object, schema: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(p, *r) for p, t in zip(b["path"], b["text"], strict=True) for r in rows(p, _lines(t))]
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
-
-    return files.select("path", "text").filter("text is not null").mapInPandas(run, schema)
-
-
-def _lines(text: str) -> list[str]:
-    return text.replace("\r\n", "\n").removesuffix("\n").split("\n")
-
-
-def line_state(files: DataFrame) -> DataFrame:
-    """path, n, line, comment, masked, conditions, guards, declared (line of a declaration's start) of every line."""
-
-    def rows(path: str, lines: list[str]) -> list[tuple]:
-        code = path.endswith(".gms")
-        if not code:
-            return [(i, x, x.lstrip().startswith("#"), False, [], [], None) for i, x in enumerate(lines, 1)]
-        mask, cond, guard = S.text_blocks(lines), S.line_conditions(lines, True), S.if_guards(lines)
-        start: dict[int, int] = {n: s for s, e in S.declared_ranges(lines) for n in range(s, e + 1)}
-        return [(i, x, S.is_comment(x), mask[i - 1], cond[i - 1], guard[i - 1], start.get(i)) for i, x in enumerate(lines, 1)]
-
-    return _per_file(files, rows, "path string, n int, line string, comment boolean, masked boolean, conditions array<string>, guards array<string>, declared int")
-
+from traceframe.operators import source as S
 
-def file_chunks(files: DataFrame) -> DataFrame:
-    """Chunks of every file, with module, realization and phase of its path."""
-    found = _per_file(files, lambda p, x: [tuple(c) for c in C.file_chunks(p, "\n".join(x))], "path string, kind string, name string, line_start int, line_end int, text string")
-    return found.select("*", *[path_part(F.col("path"), k).alias(k) for k in ("module", "realization", "phase")])
+MAX_SNIPPET = 200
 
 
-def declared_symbols(files: DataFrame) -> DataFrame:
-    found = _per_file(files.filter("path like '%.gms'"), lambda p, x: [tuple(s) for s in S.symbols(x)], "path string, name string, kind string, domain string, description string, line int")
+def declared_symbols(state: DataFrame) -> DataFrame:
+    """Declared symbols with kind, domain, description, place and whether they come with data."""
+    found = S.declared_entries(state, S.bracket_rows(state))
     return found.select("*", *[path_part(F.col("path"), k).alias(k) for k in ("module", "realization")])
 
 
-def equations(files: DataFrame) -> DataFrame:
-    return _per_file(files.filter("path like '%.gms'"), lambda p, x: S.equation_heads(x), "path string, s int, e int, equation string")
-
-
-def switch_rows(files: DataFrame) -> DataFrame:
-    found = _per_file(files.filter("path like '%.gms'"), lambda p, x: C.switches(x), "path string, name string, value string, allowed string, line int")
-    return found
-
-
-def abort_rows(files: DataFrame) -> DataFrame:
-    return _per_file(files.filter("path like '%.gms'"), lambda p, x: [tuple(a) for a in S.aborts(x)], "path string, line int, kind string, conditions array<string>, message string")
-
-
-def flag_rows(files: DataFrame, main: str = "main.gms") -> DataFrame:
+def flag_rows(state: DataFrame, main: str = "main.gms") -> DataFrame:
     """Compile-time variables that files other than the main one define: path, line, name, value, conditions."""
-    state = line_state(files.filter((F.col("path") != main) & ~F.contains("path", F.lit("standalone/"))))
     pattern = r"(?i)\$\s*set(?:global|local)?\s+(\w+)\s*(.*?)\s*$"
-    return state.filter(~F.col("comment") & ~F.col("masked") & F.col("line").rlike(pattern)).select(
-        "path", F.col("n").alias("line"), F.lower(F.regexp_extract("line", pattern, 1)).alias("name"), F.regexp_replace(F.regexp_extract("line", pattern, 2), "^[\"']|[\"']$", "").alias("value"), "conditions"
-    )
+    own = state.filter((F.col("path") != main) & ~F.contains("path", F.lit("standalone/")) & F.col("live") & F.col("line").rlike(pattern))
+    value = F.regexp_replace(F.regexp_extract("line", pattern, 2), "^[\"']|[\"']$", "")
+    return own.select("path", F.col("n").alias("line"), F.lower(F.regexp_extract("line", pattern, 1)).alias("name"), value.alias("value"), "conditions")
 
 
-def where_used(files: DataFrame, symbols: DataFrame, switches: DataFrame) -> DataFrame:
+def where_used(state: DataFrame, symbols: DataFrame, switches: DataFrame) -> DataFrame:
     """One row for each (name, code line): role, equation around it, conditions, guards and snippet.
 
     Names are those declared (sets left out) or switches, looked up with their case.  In a
@@ -87,53 +33,23 @@ def where_used(files: DataFrame, symbols: DataFrame, switches: DataFrame) -> Dat
     it is read, else declared.  In an equation the role is ``equation``; R files only read.
     """
     names = symbols.filter("kind not like '%set%'").select("name").union(switches.select("name")).distinct()
-    state = line_state(files).filter(~F.col("comment") & ~F.col("masked"))
+    live = state.filter((F.col("gms") | F.lower("path").endswith(".r")) & ~F.col("comment") & ~F.col("masked"))
     code = F.substring_index("line", "!!", 1)
     bare = F.when(F.col("declared").isNotNull(), F.regexp_replace(code, "\"[^\"]*\"|'[^']*'", "")).otherwise(code)
-    tokens = state.select("path", "n", F.posexplode(identifiers(bare)).alias("place", "name"))
+    tokens = live.select("path", "n", "line", "gms", "conditions", "guards", "declared", "assigned", "loads", F.posexplode(identifiers(bare)).alias("place", "name"))
     known = tokens.join(names, "name", "left_semi")
-    within = known.join(equations(files), "path").filter(F.col("n").between(F.col("s"), F.col("e"))).groupBy("path", "n").agg(F.min_by("equation", "s").alias("equation"))
-    roles = _roles(files, known)
+    spans = S.equations(state)
+    within = known.select("path", "n").distinct().join(spans, "path").filter("n between s and e").groupBy("path", "n").agg(F.min_by("equation", "s").alias("equation"))
+    declares = symbols.groupBy("path", F.col("line").alias("n"), "name").agg(F.max("has_data").alias("has_data"))
+    in_declaration = F.when(F.col("has_data"), "assigned").when(F.col("has_data").isNull(), "read").otherwise("declared")
+    role = F.when(F.col("loads") | F.array_contains("assigned", F.lower("name")), "assigned").otherwise("read")
     return (
-        known.join(state.select("path", "n", "line", "conditions", "guards", "declared"), ["path", "n"])
-        .join(within, ["path", "n"], "left")
-        .join(roles, ["path", "n", "name"], "left")
+        known.join(within, ["path", "n"], "left")
+        .join(declares, ["path", "n", "name"], "left")
         .select(
             "name", "path", F.col("n").alias("line"), "place", *[path_part(F.col("path"), k).alias(k) for k in ("module", "realization", "phase")],
             F.col("equation").alias("context"), F.left(F.trim("line"), F.lit(MAX_SNIPPET)).alias("snippet"),
-            F.when(F.lower("path").endswith(".r"), "read").when(F.col("declared").isNotNull(), F.col("in_declaration")).when(F.col("equation").isNotNull(), "equation").otherwise(F.col("role")).alias("role"),
+            F.when(~F.col("gms"), "read").when(F.col("declared").isNotNull(), in_declaration).when(F.col("equation").isNotNull(), "equation").otherwise(role).alias("role"),
             "conditions", "guards",
         )
     )
-
-
-def _roles(files: DataFrame, known: DataFrame) -> DataFrame:
-    """path, n, name, role and in_declaration of the names met, file by file."""
-    met = known.groupBy("path").agg(F.collect_list(F.struct("n", "name")).alias("met"))
-    joined = files.join(met, "path").select("path", "text", "met")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for path, text, met_here in zip(b["path"], b["text"], b["met"], strict=True):
-                lines = _lines(text)
-                with_data = _declared_data(lines) if path.endswith(".gms") else {}
-                for m in met_here:
-                    n, name = m["n"], m["name"]
-                    out.append((path, n, name, S.multi_line_role(lines, n - 1, name), with_data.get((n, name), "read")))
-            yield pd.DataFrame(out, columns=["path", "n", "name", "role", "in_declaration"])
-
-    return joined.mapInPandas(run, "path string, n int, name string, role string, in_declaration string").distinct()
-
-
-def _declared_data(lines: list[str]) -> dict[tuple[int, str], str]:
-    """Role of the symbols on the lines that declare them: assigned if they come with data."""
-    out = {}
-    ends = {s: e for s, e in S.declared_ranges(lines)}
-    for s, e in ends.items():
-        table = S.declaration(lines[s - 1])[0].startswith("table")
-        for x in S.symbols(lines[s - 1 : e]):
-            n = s + x.line - 1
-            data = table or "/" in S.code_part(lines[n - 1]).split(x.name, 1)[-1]
-            out[n, x.name] = "assigned" if data else "declared"
-    return out
