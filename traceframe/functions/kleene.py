@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,31 @@ def evaluate(steps: Column, settings: Column, compiled: Column | None = None) ->
     return F.element_at(F.aggregate(steps, empty, step), -1)
 
 
+def expression(text: str, settings: Column, compiled: Column | None = None) -> Column:
+    """Value of one condition as a column of its own: for few texts over many rows there is nothing to interpret."""
+    from traceframe.plans.conditions import parse
+
+    compiled = settings if compiled is None else compiled
+    stack: list[Column] = []
+    for s in parse(text):
+        if s.op in ("and", "or"):
+            last, stack = stack[-s.n :], stack[: -s.n]
+            stack.append(reduce(lambda a, b: a & b, last) if s.op == "and" else reduce(lambda a, b: a | b, last))
+        elif s.op == "not":
+            stack.append(~stack.pop())
+        else:
+            fields = {k: F.lit(v).cast("string") for k, v in s._asdict().items()}
+            stack.append(leaf_value(F.struct(*[v.alias(k) for k, v in fields.items()]), settings, compiled))
+    return stack[0]
+
+
+def reach(rows: DataFrame, settings: str, conditions: dict[str, str]) -> DataFrame:
+    """name, holds, undecided and configs of each condition (a short list) over the settings of all rows, in one pass."""
+    valued = rows.select(*[expression(text, F.col(settings)).alias(f"c{i}") for i, text in enumerate(conditions.values())])
+    each = [F.struct(F.lit(name).alias("name"), F.count_if(f"c{i}").alias("holds"), F.count_if(F.col(f"c{i}").isNull()).alias("undecided"), F.count(F.lit(1)).alias("configs")) for i, name in enumerate(conditions)]
+    return valued.agg(F.array(*each).alias("all")).select(F.explode("all").alias("x")).select("x.*")
+
+
 def tests_setting(steps: Column, settings: Column) -> Column:
     """Does any operand test a known setting, also inside a text that could not be read?"""
     known = lambda n: F.coalesce(F.map_contains_key(settings, n), F.lit(False))

@@ -13,9 +13,9 @@ from traceframe.operators import packing as P
 
 CODE = [
     (1, 'p_x = 1; !! "a;b" is not code'), (2, 'display "a;b";'), (3, "parameter"), (4, "positive variables vm_x(t)"), (5, "Scalars"), (6, "sets_x(t) = yes;"),
-    (7, "* parameter in a comment"), (8, "set_x(t) = 1;"), (9, "p_s = 'it is !! here'; !! tail"), (10, '$ifthen "%a_b%" == "x"  + p_a(t)'), (11, "$ifthen %o% == 'nash'"),
+    (7, "* parameter in a comment"), (8, "set_x(t) = 1;"), (9, "p_s = 'it is !! here'; !! tail"), (10, '$ifthen "%a_b%" == "x"  + p_a(t)'), (11, "$ifthen %o% == 'quick'"),
 ]
-PATHS = [("modules/33_carbonRemoval/portfolio/equations.gms",), ("core/bounds.gms",), ("main.gms",), ("modules/29_CES_parameters/load/sets.gms",), ("scripts/a.R",)]
+PATHS = [("modules/12_storage/tank/equations.gms",), ("core/bounds.gms",), ("main.gms",), ("modules/14_Fuel_mix/load/sets.gms",), ("scripts/a.R",)]
 EQUATIONS = [(1, "* head\nq_x(t)$(cm_x eq 2)..\n v_x =e= 1;"), (2, "q_y(t,r).. v_y =g= 0;")]
 
 #: A document line that starts so stands for a comment; these open and close a text block; a full stop ends a statement.

@@ -80,7 +80,7 @@ def f11(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", T.identifiers(F.col("text")).alias("names"))
 
 
-QUERIES = [(1, "why is cm_emiscen 9 in vm_cap(t)"), (2, "no names here"), (3, "p_a_b and x_ y")]
+QUERIES = [(1, "why is k_level 9 in v_stock(t)"), (2, "no names here"), (3, "p_a_b and x_ y")]
 
 
 @query("f12_prefixed_identifiers", f"WITH {values('t', 'id, text', QUERIES)} SELECT id, regexp_extract_all(text, '[A-Za-z]\\w*_\\w+') AS names FROM t")
@@ -112,7 +112,7 @@ def f14(spark: SparkSession, d: str) -> DataFrame:
     return fixture(spark, "id int, l string, op string, r string", COMPARISONS).select("id", T.unquoted(F.col("l")).alias("bare"))
 
 
-MODULES = [("29_CES_parameters", w) for w in ("29", "CES_parameters", "29_ces_parameters", "9", "ces")] + [("02_welfare", w) for w in ("2", "02", "welfare ", "1")]
+MODULES = [("14_Fuel_mix", w) for w in ("14", "Fuel_mix", "14_fuel_mix", "4", "fuel")] + [("03_trade", w) for w in ("3", "03", "trade ", "1")]
 
 
 @query(
@@ -134,7 +134,7 @@ def f17(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("source").agg(F.count_if(~F.contains("source", F.lit("1"))).alias("counted"), F.count(F.lit(1)).alias("n"))
 
 
-STATED = [(1, "`25 %`", "0.25"), (2, "1.5", "1.5"), (3, "Nash.", "nash"), (4, "5", "6"), (5, "25", "0.25"), (6, "0.3", "1.3"), (7, "function", "functionalForm"), (8, "x", "y")]
+STATED = [(1, "`25 %`", "0.25"), (2, "1.5", "1.5"), (3, "Quick.", "quick"), (4, "5", "6"), (5, "25", "0.25"), (6, "0.3", "1.3"), (7, "table", "tableOfRates"), (8, "x", "y")]
 _NV = """CASE WHEN v IS NOT NULL THEN v::VARCHAR ELSE lower(bare) END"""
 
 

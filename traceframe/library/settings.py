@@ -10,13 +10,12 @@ from traceframe.functions import kleene as K
 from traceframe.library.common import fixture, table, values
 from traceframe.operators import settings as S
 
-SWITCHES = [("cm_LTSstartYr", "2030", "main.gms", 1), ("carbonRemoval", "portfolio", "main.gms", 2), ("cm_x", '"on"', "main.gms", 3), ("CM_X", "off", "main.gms", 9)]
+SWITCHES = [("k_FirstYear", "1990", "main.gms", 4), ("storage", "'tank'", "main.gms", 7), ("k_on", '"yes"', "main.gms", 8), ("K_On", "no", "main.gms", 12), ("k_rate", "0.5", "main.gms", 15)]
 ROWS = [
-    ("S1", "config/scenario_config.csv", 2, {"cm_LTSstartYr ": "2050", "CarbonRemoval": "off", "regionmapping": "H12"}),
-    ("S1", "config/scenario_config_A.csv", 5, {"cm_x": "off"}),
-    ("M1", "config/side/scenario_config_X.csv", 3, {"c56_prices": "R2M41"}),
+    ("Base", "config/main_runs.csv", 3, {"storage": "", " k_firstyear": "'2010'", "Storage ": "none", "grid": "G4"}),
+    ("base", "config/other_runs.csv", 1, {"k_rate": "0.9"}),
+    ("Side", "config/side/runs.csv", 2, {"k_rate": "0.1"}),
 ]
-_DEFAULTS = "cm_ltsstartyr=2030,carbonremoval=portfolio,cm_x=on"
 
 
 def _defaults(spark: SparkSession) -> DataFrame:
@@ -28,29 +27,60 @@ def g01(spark: SparkSession, d: str) -> DataFrame:
     return _defaults(spark).select(F.explode("settings").alias("key", "value"))
 
 
-@query("g02_scenario_override", "SELECT * FROM (VALUES ('cm_ltsstartyr', '2050'), ('carbonremoval', 'off'), ('cm_x', 'on')) t(key, value)")
+_CELLS = [(n, p, line, k, v) for n, p, line, cells in ROWS for k, v in cells.items()]
+
+
+@query(
+    "g02_scenario_override",
+    f"""WITH {values('t', 'name, value, path, line', SWITCHES)}, {values('c', 'name, path, line, key, cell', _CELLS)},
+    base AS (SELECT lower(name) AS key, arg_min(trim(value, '"'' '), line) AS value FROM t GROUP BY 1),
+    row AS (SELECT path, line FROM c WHERE lower(name) = 'base' AND NOT contains(path, '/side/') ORDER BY path, line LIMIT 1),
+    own AS (SELECT lower(trim(key)) AS key, trim(cell, '"'' ') AS cell FROM c JOIN row USING (path, line) WHERE trim(cell) <> '')
+    SELECT key, coalesce(cell, value) AS value FROM base LEFT JOIN own USING (key)""",
+)
 def g02(spark: SparkSession, d: str) -> DataFrame:
     rows = fixture(spark, "name string, path string, line int, cells map<string,string>", ROWS)
-    row = S.pick_scenario(rows, "s1", F.contains("path", F.lit("/side/"))).select(S.normal_cells(F.col("cells")).alias("cells"))
+    row = S.pick_scenario(rows, "BASE", F.contains("path", F.lit("/side/"))).select(S.normal_cells(F.col("cells")).alias("cells"))
     held = _defaults(spark).join(F.broadcast(row)).select(S.override(F.col("settings"), F.col("cells")).alias("s"))
     return held.select(F.explode("s").alias("key", "value"))
 
 
-FLAGS = [("cm_flag", "main/a.gms", 1, "YES", '"%cm_scen%" == "bal"'), ("cm_flag2", "main/a.gms", 2, "YES", '"%cm_scen%" == "ens"'), ("f3", "b.gms", 1, "1", ""), ("f3", "b.gms", 4, "2", "cm_other eq 'x'"), ("f4", "b.gms", 5, "v", 'exist "./x"'), ("f5", "b.gms", 6, "%cm_scen%", "")]
+FLAGS = [
+    ("k_fast", "core/a.gms", 1, "1", '"%k_mode%" == "one"'), ("k_slow", "core/a.gms", 2, "1", '"%k_mode%" == "two"'), ("K_last", "core/b.gms", 1, "first", ""), ("k_last", "core/b.gms", 4, "second", "k_other eq 'x'"),
+    ("k_last", "core/b.gms", 6, "third", "k_other eq 'y'"), ("k_file", "core/b.gms", 8, "v", 'exist "./x"'), ("k_text", "core/b.gms", 9, "%k_mode%", ""),
+]
+#: What each line's condition is in SQL, under k_mode = one and k_other = y.
+_HOLDS = ["'one' = 'one'", "'one' = 'two'", "true", "'y' = 'x'", "'y' = 'y'", "CAST(NULL AS BOOLEAN)", "true"]
 
 
-@query("g04_compile_time_flags", "SELECT * FROM (VALUES ('cm_flag', 'YES'), ('f3', '1'), ('f4', NULL), ('f5', NULL)) t(name, value)")
+@query(
+    "g04_compile_time_flags",
+    f"""WITH t AS (SELECT * FROM (VALUES {', '.join(f"('{n.lower()}', '{p}', {line}, '{v}', {h})" for (n, p, line, v, _), h in zip(FLAGS, _HOLDS, strict=True))}) x(name, path, line, value, holds)),
+    b AS (SELECT name, bool_or(holds IS NULL) AS open, coalesce(bool_or(holds), false) AS met, arg_max(value, (path, line)) FILTER (holds) AS value FROM t GROUP BY 1)
+    SELECT name, CASE WHEN NOT open AND NOT contains(value, '%') THEN value END AS value FROM b WHERE open OR met""",
+)
 def g04(spark: SparkSession, d: str) -> DataFrame:
     flags = fixture(spark, "name string, path string, line int, value string, text string", FLAGS)
     parsed = flags.join(K.parsed(flags.filter("text <> ''")), "text", "left").withColumn("steps", F.coalesce("steps", F.expr("filter(array(named_struct('op','a','name','a','cmp','a','value','a','mode','a','n',1)), x -> false)")))
-    held = F.create_map(F.lit("cm_scen"), F.lit("bal"), F.lit("cm_other"), F.lit("y"))
+    held = F.create_map(F.lit("k_mode"), F.lit("one"), F.lit("k_other"), F.lit("y"))
     return S.compile_environment(parsed, held)
 
 
+#: Conditions of uses, what they are in SQL under the defaults, and whether they test a setting.
+TESTS_OF_USES = {
+    "k_on eq 'yes'": ("'yes' = 'yes'", True), "k_FirstYear gt 2005": ("1990 > 2005", True), 'exist "./x.inc"': ("CAST(NULL AS BOOLEAN)", False), "ord(t) gt 1": ("CAST(NULL AS BOOLEAN)", False),
+    "k_firstyear gt 1980 and ord(t) gt 1": ("1990 > 1980 AND CAST(NULL AS BOOLEAN)", True),
+}
 USES = [
-    (1, "33_carbonRemoval", "portfolio", [("ifthen", "cm_x eq 'on'")]), (2, "33_carbonRemoval", "off", []), (3, None, None, [("guard", "cm_LTSstartYr gt 2040")]),
-    (4, None, None, [("ifthen", 'exist "./x.inc"'), ("guard", "ord(t) gt 1")]), (5, None, None, [("guard", "cm_ltsstartyr gt 2000 and ord(t) gt 1")]), (6, "02_welfare", "x", []),
+    (1, "12_storage", "tank", [("ifthen", "k_on eq 'yes'")]), (2, "12_storage", "none", [("guard", "k_on eq 'yes'")]), (3, None, None, [("guard", "k_FirstYear gt 2005")]),
+    (4, None, None, [("ifthen", 'exist "./x.inc"'), ("guard", "ord(t) gt 1")]), (5, None, None, [("guard", "k_firstyear gt 1980 and ord(t) gt 1")]), (6, "03_trade", "free", []),
+    (7, "12_storage", "none", [("ifthen", "k_FirstYear gt 2005"), ("guard", "ord(t) gt 1")]),
 ]
+_OFF = "lower(realization) <> 'tank' AND module = '12_storage'"
+_REASONS = f"""{values('u', 'use_id, module, realization', [u[:3] for u in USES])}, {values('e', 'use_id, place, kind, text', [(u[0], i + 1, k, t) for u in USES for i, (k, t) in enumerate(u[3])])},
+  v AS (SELECT * FROM (VALUES {', '.join(f"({chr(39)}{t.replace(chr(39), chr(39) * 2)}{chr(39)}, {sql}, {own})" for t, (sql, own) in TESTS_OF_USES.items())}) x(text, v, own)),
+  r AS (SELECT use_id, 0 AS place, realization || ' is not selected' AS text, true AS off FROM u WHERE {_OFF}
+    UNION ALL SELECT use_id, place, text, coalesce(NOT v, false) FROM e JOIN v USING (text) WHERE v IS NOT TRUE AND (kind = 'ifthen' OR v IS FALSE OR own))"""
 
 
 def _uses(spark: SparkSession) -> DataFrame:
@@ -63,12 +93,16 @@ def _uses(spark: SparkSession) -> DataFrame:
     return joined.select("use_id", "module", "realization", "settings", F.coalesce("tests", none).alias("tests"))
 
 
-@query("g08_reasons", "SELECT * FROM (VALUES (2, 0, 'off is not selected', true), (3, 1, 'cm_LTSstartYr gt 2040', true), (4, 1, 'exist \"./x.inc\"', false), (5, 1, 'cm_ltsstartyr gt 2000 and ord(t) gt 1', false)) t(use_id, place, text, off)")
+@query("g08_reasons", f"WITH {_REASONS} SELECT use_id, place, text, off FROM r")
 def g08(spark: SparkSession, d: str) -> DataFrame:
     return S.reasons(_uses(spark))
 
 
-@query("g09_marks", "SELECT * FROM (VALUES (1, '✓', 0), (2, '⚠', 2), (3, '⚠', 2), (4, '?', 1), (5, '?', 1), (6, '✓', 0)) t(use_id, mark, rank)")
+@query(
+    "g09_marks",
+    f"""WITH {_REASONS}, b AS (SELECT use_id, max(CASE WHEN off THEN 2 ELSE 1 END) AS rank FROM r GROUP BY 1)
+    SELECT u.use_id, ['✓', '?', '⚠'][coalesce(rank, 0) + 1] AS mark, coalesce(rank, 0) AS rank FROM u LEFT JOIN b USING (use_id)""",
+)
 def g09(spark: SparkSession, d: str) -> DataFrame:
     uses = _uses(spark)
     return S.marks(uses, S.reasons(uses)).select("use_id", "mark", "rank")
@@ -89,8 +123,8 @@ def g07(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", S.is_selected(F.lit("03_kind"), realization, held).alias("selected"))
 
 
-TESTS = [("cm_a", "2"), ("cm_a", "9"), ("carbonremoval", "gone"), ("carbonremoval", "off"), ("cm_new", "1"), ("vm_x", "1")]
-DECLARED = [("cm_a", "main", "1|2"), ("cm_a", "declared", ""), ("carbonremoval", "setglobal", "off|portfolio"), ("vm_x", "declared", "")]
+TESTS = [("cm_a", "2"), ("cm_a", "9"), ("storage", "gone"), ("storage", "none"), ("cm_new", "1"), ("vm_x", "1")]
+DECLARED = [("cm_a", "main", "1|2"), ("cm_a", "declared", ""), ("storage", "setglobal", "none|tank"), ("vm_x", "declared", "")]
 
 
 @query(

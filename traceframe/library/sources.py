@@ -17,7 +17,7 @@ from traceframe.sources import readers as R
 FILES = [
     ("core/presolve.gms", "p_z(t) = p_m(t) * p_a(t) + cm_x;\n* p_m in a comment\n$onText\np_a(t) = p_m(t);\n$offText\nif(cm_x eq 1,\n  p_a(t) = 1;\n);\n"),
     ("core/declarations.gms", 'parameters\n  p_a(t) "with data" / 2020 1 /\n  p_m(t) "without"\n;\nparameter p_z(t) "switch carrier" / %cm_x% /;\nequations q_x(t) "balance";\n'),
-    ("modules/33_carbonRemoval/portfolio/equations.gms", '$ifthen "%cm_y%" == "on"\nq_x(t)$(cm_x eq 2)..\n  p_z(t) =e= p_a(t);\n$endif\n'),
+    ("modules/12_storage/tank/equations.gms", '$ifthen "%cm_y%" == "on"\nq_x(t)$(cm_x eq 2)..\n  p_z(t) =e= p_a(t);\n$endif\n'),
     ("main.gms", "cm_x = 1; !! def = 1 !! regexp = 1|2\n$setglobal cm_y on\n"),
     ("scripts/plot.R", "# about\nf <- function(p_a) {\n  p_a\n}\n"),
     ("README.md", "intro\n# Use\ntext\n## More\nend\n"),
@@ -67,9 +67,9 @@ _USES = [
     ("p_z", "core/presolve.gms", 1, "assigned"), ("p_m", "core/presolve.gms", 1, "read"), ("p_a", "core/presolve.gms", 1, "read"), ("cm_x", "core/presolve.gms", 1, "read"),
     ("cm_x", "core/presolve.gms", 6, "read"), ("p_a", "core/presolve.gms", 7, "assigned"), ("p_a", "core/declarations.gms", 2, "assigned"), ("p_m", "core/declarations.gms", 3, "declared"),
     ("p_z", "core/declarations.gms", 5, "assigned"), ("cm_x", "core/declarations.gms", 5, "read"), ("q_x", "core/declarations.gms", 6, "declared"),
-    ("q_x", "modules/33_carbonRemoval/portfolio/equations.gms", 2, "equation"), ("cm_x", "modules/33_carbonRemoval/portfolio/equations.gms", 2, "equation"),
-    ("p_z", "modules/33_carbonRemoval/portfolio/equations.gms", 3, "equation"), ("p_a", "modules/33_carbonRemoval/portfolio/equations.gms", 3, "equation"),
-    ("cm_y", "modules/33_carbonRemoval/portfolio/equations.gms", 1, "read"), ("cm_x", "main.gms", 1, "assigned"), ("cm_y", "main.gms", 2, "read"),
+    ("q_x", "modules/12_storage/tank/equations.gms", 2, "equation"), ("cm_x", "modules/12_storage/tank/equations.gms", 2, "equation"),
+    ("p_z", "modules/12_storage/tank/equations.gms", 3, "equation"), ("p_a", "modules/12_storage/tank/equations.gms", 3, "equation"),
+    ("cm_y", "modules/12_storage/tank/equations.gms", 1, "read"), ("cm_x", "main.gms", 1, "assigned"), ("cm_y", "main.gms", 2, "read"),
     ("p_a", "scripts/plot.R", 2, "read"), ("p_a", "scripts/plot.R", 3, "read"),
 ]
 
@@ -107,7 +107,7 @@ def t07(spark: SparkSession, d: str) -> DataFrame:
     return L.feeds_into(_statements(spark, d), "p7")
 
 
-@query("t08_in_equations", "SELECT * FROM (VALUES ('modules/33_carbonRemoval/portfolio/equations.gms', 'q_x', ['cm_x', 'q_x', 'p_a'])) t(path, equation, members)")
+@query("t08_in_equations", "SELECT * FROM (VALUES ('modules/12_storage/tank/equations.gms', 'q_x', ['cm_x', 'q_x', 'p_a'])) t(path, equation, members)")
 def t08(spark: SparkSession, d: str) -> DataFrame:
     return L.in_equations(_uses(spark), "p_z")
 
@@ -131,7 +131,7 @@ def t10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t22_close_names")
 def t22(spark: SparkSession, d: str) -> DataFrame:
-    return sweeps.close_names(fixture(spark, "name string", [("cm_emiscn",), ("vm_capp",), ("zz",)]), ["cm_emiscen", "cm_startyear", "vm_cap"])
+    return sweeps.close_names(fixture(spark, "name string", [("k_levl",), ("v_stokc",), ("zz",)]), ["k_level", "k_year", "v_stock"])
 
 
 _COUPLING = """own AS (SELECT p_partkey AS symbol, p_partkey % 12 AS owner FROM part), use AS (SELECT l_partkey AS symbol, l_suppkey % 12 AS user, l_returnflag AS phase, CASE WHEN l_linestatus = 'O' THEN 'assigned' ELSE 'read' END AS role FROM lineitem WHERE l_quantity > 48),

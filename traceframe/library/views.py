@@ -10,10 +10,10 @@ from traceframe.library.common import fixture, values
 from traceframe.operators import sweeps
 
 PROSE = [
-    ("README.md", 1, "The switch cm_rate has the default 5% and more."), ("README.md", 2, "cm_years: default is 2030."), ("doc.md", 3, "see modules/02_welfare/x/sets.gms and 02_welfare/x/sets.gms"),
-    ("doc.md", 4, "look at core/gone.gms"), ("doc.md", 5, "set welfare = utilitarian"), ("doc.md", 6, "set welfare = x, other = y"), ("doc.md", 7, "cm_rate, default: 0.05"),
+    ("README.md", 1, "The switch cm_rate has the default 5% and more."), ("README.md", 2, "cm_years: default is 2030."), ("doc.md", 3, "see modules/03_trade/x/sets.gms and 03_trade/x/sets.gms"),
+    ("doc.md", 4, "look at core/gone.gms"), ("doc.md", 5, "set trade = free"), ("doc.md", 6, "set trade = x, other = y"), ("doc.md", 7, "cm_rate, default: 0.05"),
 ]
-SETTINGS, PATHS, KNOWN = [("cm_rate", "0.05"), ("cm_years", "2025")], [("modules/02_welfare/x/sets.gms",), ("main.gms",)], [("02_welfare", "x"), ("02_welfare", "z"), ("03_land", "a")]
+SETTINGS, PATHS, KNOWN = [("cm_rate", "0.05"), ("cm_years", "2025")], [("modules/03_trade/x/sets.gms",), ("main.gms",)], [("03_trade", "x"), ("03_trade", "z"), ("04_land", "a")]
 
 
 def _prose(spark: SparkSession) -> DataFrame:
@@ -55,7 +55,7 @@ def t26(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2]).distinct()
 
 
-MESSAGES = [(1, "02_welfare", "x", "only works with z"), (2, "02_welfare", "x", "x needs a"), (3, "03_land", "a", "z is fine here")]
+MESSAGES = [(1, "03_trade", "x", "only works with z"), (2, "03_trade", "x", "x needs a"), (3, "04_land", "a", "z is fine here")]
 
 
 @query("t20_message_issues", f"WITH {values('a', 'id, module, realization, message', MESSAGES)}, {values('k', 'module, realization', KNOWN)}, w AS (SELECT DISTINCT id, module, realization, unnest(regexp_extract_all(message, '[A-Za-z]\\w*')) AS named FROM a) SELECT id, named FROM w JOIN k ON k.module = w.module AND k.realization = named WHERE named <> w.realization")
@@ -63,7 +63,7 @@ def t20(spark: SparkSession, d: str) -> DataFrame:
     return sweeps.message_issues(fixture(spark, "id int, module string, realization string, message string", MESSAGES), _known(spark))
 
 
-STEERED = [("02_welfare", "x", "cm_a", "read"), ("02_welfare", "x", "cm_a", "compile"), ("02_welfare", "z", "cm_a", "guard"), ("02_welfare", "z", "cm_b", "read"), ("03_land", "a", "cm_a", "read"), ("03_land", "off", "cm_a", "read")]
+STEERED = [("03_trade", "x", "cm_a", "read"), ("03_trade", "x", "cm_a", "compile"), ("03_trade", "z", "cm_a", "guard"), ("03_trade", "z", "cm_b", "read"), ("04_land", "a", "cm_a", "read"), ("04_land", "off", "cm_a", "read")]
 
 
 @query(
