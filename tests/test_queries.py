@@ -20,8 +20,3 @@ def test_query(spark, con, name):
         assert compare(spark, SF, query, sql, con) == ""
     else:
         assert query(spark, SF).count() >= 0
-
-
-def test_filters_see_hits_beyond_the_plain_candidates(spark):
-    found = {n: {r.doc_id for r in catalog.queries()[n](spark, SF).collect()} for n in ("f23_search_filters", "f23_search_filters_all_candidates")}
-    assert found["f23_search_filters"] < found["f23_search_filters_all_candidates"]

@@ -14,6 +14,7 @@ from traceframe.functions import kleene as K
 from traceframe.functions.text import module_matches, query_terms, shorten, unquoted
 from traceframe.operators import lineage, search, settings, source, uses
 from traceframe.operators.chunks import file_chunks
+from traceframe.plans.scratch import materialize
 from traceframe.plans.shipping import ship
 from traceframe.sources import readers, snapshot
 
@@ -45,9 +46,10 @@ def build_snapshot(
     used = uses.where_used(state, symbols, switches.select("name"))
     used = used.join(state.select("path", F.col("n").alias("line"), "statement"), ["path", "line"])
     texts = used.select(F.explode(F.concat("conditions", "guards")).alias("text")).union(aborts.select(F.explode("conditions"))).union(chunks.select(F.explode("conditions")))
+    posted = materialize(search.postings(chunks, "id", {"header": 3.0, "text": 1.0}).repartitionByRange("term").sortWithinPartitions("term"), "postings")
     tables = {
         "chunks": chunks, "symbols": symbols, "switches": switches, "symbol_uses": used, "preconditions": aborts, "flags": uses.flag_rows(state),
-        "conditions": K.parsed(texts), "postings": search.postings(chunks, "id", {"header": 3.0, "text": 1.0}),
+        "conditions": K.parsed(texts), "postings": posted, "index_stats": search.index_stats(posted, "id"),
     }
     if scenarios is not None:
         tables["scenarios"] = settings.inherit(scenarios)
@@ -96,10 +98,11 @@ class Engine:
         known = names.join(self.table("symbols").select("name").union(self.table("switches").select("name")).distinct(), "name", "left_semi")
         exact = not known.isEmpty()
         if mode != "vector":
-            scored = search.bm25(self.table("postings"), chunks.count(), terms, "id", ["q"])
+            stats = self.table("index_stats").first()
+            scored = search.bm25(self.table("postings"), chunks.count(), stats.average, terms, "id", ["q"])
             rankings.append((search.top(scored, ["q"], "id", n), 1.0 if exact or mode == "bm25" else 0.5))
         if mode != "bm25" and vector is not None:
-            near = self.table("vectors").join(chunks.select("id", "key"), "key").select(F.lit(1).alias("q"), "id", search.cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in vector])).alias("score"))
+            near = self.table("vectors").join(chunks.select("id", "key"), "key").select(F.lit(1).alias("q"), "id", search.cosine_to(F.col("vector"), vector).alias("score"))
             rankings.append((search.top(near, ["q"], "id", n), 1.0))
         if exact and mode == "hybrid":
             defined = self._definitions(known, chunks)

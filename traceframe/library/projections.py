@@ -178,15 +178,8 @@ def f22(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", kind.alias("class"))
 
 
-@query("f23_search_filters", "SELECT doc_id FROM (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 60) WHERE lower(lang) = 'en' AND lower(source) LIKE 'src1%'")
+@query("f23_search_filters", f"SELECT doc_id FROM (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT {CANDIDATES_FILTERED}) WHERE lower(lang) = 'en' AND lower(source) LIKE 'src1%'")
 def f23(spark: SparkSession, d: str) -> DataFrame:
-    top = table(spark, d, "documents").select("doc_id", "n_chars", "lang", "source").orderBy(F.desc("n_chars"), "doc_id").limit(60)
-    return top.filter((F.lower("lang") == "en") & F.lower("source").startswith("src1")).select("doc_id")
-
-
-@query("f23_search_filters_all_candidates", "SELECT doc_id FROM (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 400) WHERE lower(lang) = 'en' AND lower(source) LIKE 'src1%'")
-def f23_all(spark: SparkSession, d: str) -> DataFrame:
-    """As f23, with the number of candidates that O01 asks for when a filter is set."""
     top = table(spark, d, "documents").select("doc_id", "n_chars", "lang", "source").orderBy(F.desc("n_chars"), "doc_id").limit(CANDIDATES_FILTERED)
     return top.filter((F.lower("lang") == "en") & F.lower("source").startswith("src1")).select("doc_id")
 
@@ -297,7 +290,7 @@ def o09(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "source").orderBy(F.contains("source", F.lit("9")), F.col("source") != "src0", "source", "doc_id").limit(25)
 
 
-@query("o12_similar_names", "SELECT p_name FROM (SELECT DISTINCT p_name FROM part WHERE p_name ILIKE '%a_t%') ORDER BY p_name LIMIT 10")
+@query("o12_similar_names", "SELECT p_type FROM (SELECT DISTINCT p_type FROM part WHERE p_type ILIKE '%a_d%' OR p_type ILIKE '%o_o%') ORDER BY p_type LIMIT 10")
 def o12(spark: SparkSession, d: str) -> DataFrame:
     """Names that contain the text without regard to case; an underscore stands for any character."""
-    return table(spark, d, "part").filter(F.col("p_name").ilike("%a_t%")).select("p_name").distinct().orderBy("p_name").limit(10)
+    return table(spark, d, "part").filter(F.col("p_type").ilike("%a_d%") | F.col("p_type").ilike("%o_o%")).select("p_type").distinct().orderBy("p_type").limit(10)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from traceframe.catalog import query
@@ -27,15 +27,16 @@ def _posted(spark: SparkSession, d: str) -> DataFrame:
 
 def _keyword(spark: SparkSession, d: str, n: int) -> DataFrame:
     terms = fixture(spark, "q int, text string", [(1, ASK)]).select("q", F.explode(R.tokens(F.col("text"))).alias("term"))
-    scored = R.bm25(_posted(spark, d), table(spark, d, "documents").count(), terms, "doc_id", ["q"])
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    scored = R.bm25_scan(docs, terms, "doc_id", {"source": 3.0, "text": 1.0}, ["q"])
     return R.top(scored, ["q"], "doc_id", n)
 
 
 def _vector(spark: SparkSession, d: str, n: int) -> DataFrame:
     e = table(spark, d, "embeddings")
-    asked = e.filter("vec_id = 7").select(F.col("embedding").alias("asked"))
-    near = e.filter("vec_id <> 7").join(F.broadcast(asked)).select(F.lit(1).alias("q"), F.col("vec_id").alias("doc_id"), F.round(R.cosine(F.col("embedding"), F.col("asked")), 6).alias("score"))
-    return R.top(near, ["q"], "doc_id", n)
+    asked = e.filter("vec_id = 7").first()
+    near = e.filter("vec_id <> 7").select(F.lit(1).alias("q"), F.col("vec_id").alias("doc_id"), F.round(R.cosine_to(F.col("embedding"), asked.embedding), 6).alias("score"))
+    return R.top(near.orderBy(F.desc("score"), "doc_id").limit(n), ["q"], "doc_id", n)
 
 
 @query("m01_postings", f"WITH {_POST} SELECT term, doc_id, tf, length FROM posted JOIN length USING (doc_id)")
@@ -65,8 +66,6 @@ SOURCES = [("cm_a", 1, 0, 11), ("cm_a", 2, 0, 12), ("cm_a", 4, 0, 13), ("cm_a",
 @query("m05_definition_ranking", f"WITH {values('t', 'name, source, sub, doc_id', SOURCES)}, f AS (SELECT doc_id, min({{'n': name, 's': source, 'k': sub}}) AS first FROM t GROUP BY 1) SELECT doc_id, row_number() OVER (ORDER BY first) AS rank FROM f")
 def m05(spark: SparkSession, d: str) -> DataFrame:
     """Per name: switch, equation, declaration, interface; each chunk at its first place."""
-    from pyspark.sql import Window
-
     t = fixture(spark, "name string, source int, sub int, doc_id int", SOURCES)
     first = t.groupBy("doc_id").agg(F.min(F.struct("name", "source", "sub")).alias("first"))
     return first.select("doc_id", F.row_number().over(Window.orderBy("first")).cast("bigint").alias("rank"))
@@ -95,19 +94,12 @@ def m10(spark: SparkSession, d: str) -> DataFrame:
     return m07(spark, d).join(docs, "doc_id").select("doc_id", F.round(F.col("score") * factor, 9).alias("score"))
 
 
-@query("m11_post_filter", f"WITH {_POST}, {_BM25}, {_KNN}, f AS ({_FUSED}) SELECT doc_id, score FROM (SELECT doc_id, score, first FROM f JOIN documents USING (doc_id) WHERE lang = 'en' ORDER BY score DESC, first LIMIT 5)")
-def m11(spark: SparkSession, d: str) -> DataFrame:
-    """Filters come after the candidates, so a rare value can leave fewer than k."""
-    docs = table(spark, d, "documents").filter("lang = 'en'").select("doc_id")
-    return m07(spark, d).join(docs, "doc_id", "left_semi").orderBy("rank").limit(5).select("doc_id", "score")
-
-
 _FILTERED = _FUSED.replace("rank <= 60", f"rank <= {R.CANDIDATES_FILTERED}")
 
 
-@query("m11_post_filter_all_candidates", f"WITH {_POST}, {_BM25}, {_KNN}, f AS ({_FILTERED}) SELECT doc_id, score FROM (SELECT doc_id, score, first FROM f JOIN documents USING (doc_id) WHERE lang = 'en' ORDER BY score DESC, first LIMIT 5)")
-def m11_all(spark: SparkSession, d: str) -> DataFrame:
-    """As m11, with the number of candidates that O01 asks for when a filter is set."""
+@query("m11_post_filter", f"WITH {_POST}, {_BM25}, {_KNN}, f AS ({_FILTERED}) SELECT doc_id, score FROM (SELECT doc_id, score, first FROM f JOIN documents USING (doc_id) WHERE lang = 'en' ORDER BY score DESC, first LIMIT 5)")
+def m11(spark: SparkSession, d: str) -> DataFrame:
+    """Filters come after the candidates, of which there are more when a filter is set."""
     n = R.CANDIDATES_FILTERED
     docs = table(spark, d, "documents").filter("lang = 'en'").select("doc_id")
     fused = R.fuse([(_keyword(spark, d, n), 0.5), (_vector(spark, d, n), 1.0)], ["q"], "doc_id")
@@ -133,15 +125,17 @@ def m14(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RANKED = """ranked AS (SELECT q.vec_id AS query, q.label, e.label = q.label AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank
-  FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id < 40), first AS (SELECT query, label, min(rank) FILTER (hit AND rank <= 10) AS rank FROM ranked GROUP BY 1, 2)"""
+  FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0), first AS (SELECT query, label, min(rank) FILTER (hit AND rank <= 10) AS rank FROM ranked GROUP BY 1, 2)"""
 
 
 def _first_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth vector against all rows, in blocks."""
     e = table(spark, d, "embeddings")
-    asked = e.filter("vec_id < 40").select(F.col("vec_id").alias("query"), F.col("label").alias("own"), F.col("embedding").alias("asked"))
-    pairs = e.join(F.broadcast(asked), F.col("vec_id") != F.col("query")).select("query", "own", "vec_id", (F.col("label") == F.col("own")).alias("hit"), F.round(R.cosine(F.col("embedding"), F.col("asked")), 6).alias("score"))
-    ranked = R.top(pairs, ["query"], "vec_id", 10)
-    return ranked.groupBy("query", F.col("own").alias("label")).agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("rank"))
+    labels = e.select("vec_id", "label")
+    ranked = R.nearest(e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding", 10)
+    own = labels.select(F.col("vec_id").alias("query"), F.col("label").alias("own"))
+    told = ranked.join(labels, "vec_id").join(own, "query").select("query", "own", "rank", (F.col("label") == F.col("own")).alias("hit"))
+    return told.groupBy("query", F.col("own").alias("label")).agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("rank"))
 
 
 @query("e01_recall_mrr", f"WITH {_RANKED} SELECT coalesce(label::VARCHAR, 'ALL') AS label, count(*) AS n, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall5, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr10 FROM first GROUP BY ROLLUP (label)")
@@ -156,6 +150,9 @@ def e02(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a13_upper_median", "SELECT event_type, list_sort(list(value))[len(list(value)) // 2 + 1] AS median FROM events GROUP BY 1")
 def a13(spark: SparkSession, d: str) -> DataFrame:
-    """Element n // 2 of the sorted values, counted from 0."""
-    held = table(spark, d, "events").groupBy("event_type").agg(F.sort_array(F.collect_list("value")).alias("v"))
-    return held.select("event_type", F.get("v", F.floor(F.size("v") / 2).cast("int")).alias("median"))
+    """Element n // 2 of the sorted values, counted from 0: equal values are counted first, so no group is gathered."""
+    counts = table(spark, d, "events").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("event_type").orderBy(F.col("value").asc_nulls_first())
+    total = F.sum("n").over(Window.partitionBy("event_type"))
+    placed = counts.withColumn("upto", F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("total", total)
+    return placed.filter(F.floor(F.col("total") / 2) < F.col("upto")).groupBy("event_type").agg(F.min_by("value", "upto").alias("median"))

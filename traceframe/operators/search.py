@@ -2,40 +2,86 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceframe.plans.scratch import materialize
+
 #: Constant of the fusion; candidates of each ranking without and with filters; weight of chunks that a setting rules out.
 RRF_K, CANDIDATES, CANDIDATES_FILTERED, OUT_OF_SETTING = 60, 60, 400, 0.3
 #: BM25: saturation, length normalisation, and the least inverse document frequency.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
+#: Terms of all queries together that are listed in a plan.
+MAX_TERMS = 1_000
+#: Vectors and queries of a block.
+BLOCK, QUERIES = 4_096, 1_024
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))
 
 
+def _weighed(weight: float) -> Callable[[Column], Column]:
+    return lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w"))
+
+
 def postings(docs: DataFrame, key: str, columns: dict[str, float]) -> DataFrame:
-    """term, key, tf (weighted by column) and length (all tokens of the row)."""
-    parts = [docs.select(key, F.explode(tokens(F.col(c))).alias("term"), F.lit(float(w)).alias("w")) for c, w in columns.items()]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionAll(p)
-    length = every.groupBy(key).agg(F.count(F.lit(1)).alias("length"))
-    return every.groupBy("term", key).agg(F.sum("w").alias("tf")).join(length, key)
-
-
-def bm25(posted: DataFrame, docs: int, terms: DataFrame, key: str, by: list[str]) -> DataFrame:
-    """``by``, key and score of every row that holds a term; ``terms`` has ``by`` and term (repeated terms count again)."""
-    average = posted.select(key, "length").distinct().agg(F.avg("length").alias("average"))
-    held = posted.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    """term, key, tf (weighted by column) and length (all tokens of the row); sorted by term when stored, a query reads few row groups."""
+    own = docs.select(key, *[tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)])
+    length = reduce(lambda a, b: a + b, [F.coalesce(F.size(f"t{i}"), F.lit(0)) for i in range(len(columns))]).cast("bigint")
+    told = own.withColumn("length", length)
+    weighed = [F.transform(F.coalesce(f"t{i}", F.array().cast("array<string>")), _weighed(w)) for i, w in enumerate(columns.values())]
+    every = told.select(key, "length", F.explode(F.concat(*weighed)).alias("x"))
+    return every.groupBy(F.col("x.term").alias("term"), key, "length").agg(F.sum("x.w").alias("tf")).select("term", key, "tf", "length")
+
+
+def index_stats(posted: DataFrame, key: str) -> DataFrame:
+    """One row: how many rows hold a token, and their mean number of tokens; stored beside the postings."""
+    return posted.groupBy(key).agg(F.first("length").alias("length")).agg(F.count(F.lit(1)).alias("held"), F.avg("length").alias("average"))
+
+
+def bm25(posted: DataFrame, docs: int, average: float, terms: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """``by``, key and score of every row that holds a term; ``terms`` has ``by`` and term (repeated terms count again).
+
+    ``docs`` and ``average`` (tokens of a row that has any) come from ``index_stats``.  The
+    terms of the queries, at most MAX_TERMS, go into the plan, so that stored postings are
+    pruned by them; more are joined.
+    """
+    asked = [r.term for r in terms.select("term").distinct().limit(MAX_TERMS + 1).collect()]
+    held = posted.filter(F.col("term").isin(asked)) if len(asked) <= MAX_TERMS else posted.join(terms.select("term").distinct(), "term", "left_semi")
+    return _scored(held, docs, average, terms, key, by)
+
+
+def _scored(held: DataFrame, docs: int, average: float, terms: DataFrame, key: str, by: list[str]) -> DataFrame:
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(MIN_IDF))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    hit = held.join(df.select("term", idf.alias("idf")), "term").join(terms, "term").join(F.broadcast(average))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(average or 1.0))))
+    hit = held.join(df.select("term", idf.alias("idf")), "term").join(terms, "term")
     return hit.groupBy(*by, key).agg(F.round(F.sum(weight), 6).alias("score"))
 
 
+def bm25_scan(docs: DataFrame, terms: DataFrame, key: str, columns: dict[str, float], by: list[str]) -> DataFrame:
+    """As ``bm25``, without an index: one pass over the texts keeps each row's length and the query's terms in it."""
+    asked = [r.term for r in terms.select("term").distinct().limit(MAX_TERMS + 1).collect()]
+    if len(asked) > MAX_TERMS:
+        posted = materialize(postings(docs, key, columns), "postings")
+        stats = index_stats(posted, key).first()
+        return bm25(posted, docs.count(), stats.average, terms, key, by)
+    own = docs.select(key, *[tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)])
+    length = reduce(lambda a, b: a + b, [F.coalesce(F.size(f"t{i}"), F.lit(0)) for i in range(len(columns))]).cast("bigint")
+    met = [F.transform(F.filter(F.coalesce(f"t{i}", F.array().cast("array<string>")), lambda t: t.isin(asked)), _weighed(w)) for i, w in enumerate(columns.values())]
+    kept = materialize(own.select(key, length.alias("length"), F.concat(*met).alias("met")), "terms_met")
+    stats = kept.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.when(F.col("length") > 0, F.col("length"))).alias("average")).first()
+    held = kept.filter(F.size("met") > 0).select(key, "length", F.explode("met").alias("x")).groupBy(F.col("x.term").alias("term"), key, "length").agg(F.sum("x.w").alias("tf"))
+    return _scored(held, stats.docs, stats.average, terms, key, by)
+
+
 def top(scored: DataFrame, by: list[str], key: str, n: int, score: str = "score", ascending: bool = False) -> DataFrame:
     """The n best of each group with their rank; ties go to the smaller key."""
     order = F.col(score).asc() if ascending else F.col(score).desc()
@@ -50,6 +96,49 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
 
 
+def cosine_to(vector: Column, asked: list[float]) -> Column:
+    """Cosine similarity to one given vector: a sum of products that is compiled, and the norm of the given one worked out once."""
+    part = lambda i: F.get(vector, i).cast("double")
+    dot = reduce(lambda a, b: a + b, [part(i) * F.lit(float(q)) for i, q in enumerate(asked)], F.lit(0.0))
+    norm = F.sqrt(reduce(lambda a, b: a + b, [part(i) * part(i) for i in range(len(asked))], F.lit(0.0)))
+    return F.when(F.size(vector) == len(asked), dot / (norm * F.lit(math.sqrt(sum(float(q) ** 2 for q in asked)))))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """query, key, score and rank of each query's k nearest by cosine, itself left out; exact, in blocks.
+
+    Vectors and queries are packed to matrices; a pair of blocks is one product, of which the
+    best of each query stay.  ``queries`` has the columns of ``vectors``.
+    """
+
+    def packed(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, size):
+                    part = batch.slice(lo, size)
+                    ids, x = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.array(part.column(1).to_pylist(), float)
+                    x /= np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-300)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["ids", "x"])
+
+        return pack
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, asked = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["asked"], np.int64)
+                x, q = np.frombuffer(r["x"]).reshape(len(ids), -1), np.frombuffer(r["q"]).reshape(len(asked), -1)
+                score = np.round(q @ x.T, 6)
+                score[asked[:, None] == ids[None, :]] = -np.inf
+                few = min(k, len(ids))
+                least = -np.partition(-score, few - 1, axis=1)[:, few - 1]
+                i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(ids[j]), pa.array(score[i, j])], names=["query", key, "score"])
+
+    laid = lambda df, size: materialize(df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("bigint"), vector).mapInArrow(packed(size), "ids binary, x binary"), "blocks")
+    pairs = laid(vectors, BLOCK).crossJoin(laid(queries, QUERIES).select(F.col("ids").alias("asked"), F.col("x").alias("q")))  # blocks of both sides, not rows
+    return top(pairs.mapInArrow(products, f"query bigint, {key} bigint, score double"), ["query"], key, k)
+
+
 def fuse(rankings: list[tuple[DataFrame, float]], by: list[str], key: str) -> DataFrame:
     """Sum of weight / (RRF_K + rank) over the rankings; ties keep the first ranking and the rank there."""
     every = None
