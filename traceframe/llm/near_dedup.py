@@ -42,6 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from traceframe.llm.memory import give_back
 from traceframe.operators.graph import connected_components
 from traceframe.plans.scratch import materialize
 from traceframe.plans.sizing import bounded_broadcast
@@ -98,6 +99,7 @@ def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
                  pa.array([signature(s).tolist() if len(s) else None for s in sets], pa.list_(pa.int32()))],
                 names=["doc_id", "n_shingles", "set_hash", "sig"],
             )
+        give_back()
 
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return own.mapInArrow(sketched, "doc_id bigint, n_shingles bigint, set_hash binary, sig array<int>")
@@ -128,6 +130,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, s
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 keep.append(similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)), similarity))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return full.select("a", "b", "ga", "gb").mapInArrow(compared, "a bigint, b bigint")
 
@@ -143,6 +146,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: st
             found = [shingles(t, words).tobytes() for t in batch.column(2).to_pylist()]
             own = [xxhash.xxh3_128_digest(g) == h for g, h in zip(found, batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "grams"]).filter(pa.array(own, pa.bool_()))
+        give_back()
 
     own = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     texts = own.join(bounded_broadcast(nodes), "doc").select("node", "set_hash", "text")
@@ -159,6 +163,7 @@ def linkable(sets: DataFrame, similarity: int) -> DataFrame:
                 grams = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(1)[lo : lo + 500]]
                 node = np.repeat(batch.column(0)[lo : lo + 500].to_numpy(), [len(g) for g in grams])
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(grams))], names=["node", "gram"])
+        give_back()
 
     every = sets.mapInArrow(laid_out, "node bigint, gram bigint")
     alone = every.groupBy("gram").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("held")).filter("held = 1")

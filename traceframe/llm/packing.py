@@ -21,9 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceframe.llm.tokens import encoder, public_path
+from traceframe.llm.memory import give_back
+from traceframe.llm.tokens import CACHE_ENTRIES, encoder, public_path
 
 MAX_LENGTH, END_ID = 2048, 1
+#: Words that a worker remembers if it is to stay small.
+FEW_ENTRIES = 100_000
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids binary, ids_crc32 bigint, "
     "doc_tokens bigint, sequence_id bigint, offset bigint, bucket int"
@@ -67,7 +70,7 @@ def pack(
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo in range(0, len(ids), 512):
                 rows = []
-                for doc, data in zip(ids[lo : lo + 512], enc.encode(texts[lo : lo + 512].to_pylist()), strict=True):
+                for doc, data in zip(ids[lo : lo + 512], enc.encode(texts[lo : lo + 512].to_pylist(), CACHE_ENTRIES if keep_cache else FEW_ENTRIES), strict=True):
                     data += end
                     total, at = len(data) // 4, 0
                     for n in piece_lengths(total, longest):
@@ -80,6 +83,7 @@ def pack(
                 )
         if not keep_cache:
             enc.forget()
+            give_back()
 
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return own.mapInArrow(pieces, SCHEMA)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traceframe.llm.memory import give_back
+
 #: Labelled rows to learn from (about; at most twice as many), chosen by a hash of the id.
 SAMPLE_ROWS = 8_000
 BUCKETS, MIN_ROWS, MIN_Z, MAX_FEATURES = 1 << 18, 4, 3.5, 4_000
@@ -185,6 +187,7 @@ def rate(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
             top = tails[:, -1] if tails.shape[1] else np.ones(len(score))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(1)), pa.array(top)], names=["id", "expected_grade", "p_top"])
         _memo.clear()  # an idle worker holds no memory for it
+        give_back()
 
     kind = dict(docs.dtypes)[id_col]
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -201,6 +204,7 @@ def select(docs: DataFrame, model: Model, *, text_col: str = "text", min_tail: f
             tails = shared.value.tails(score)
             yield batch.filter(pa.array(tails[:, -1] >= min_tail if tails.shape[1] else np.ones(len(score), bool)))
         _memo.clear()
+        give_back()
 
     return docs.mapInArrow(kept, docs.schema)
 

@@ -73,9 +73,9 @@ class _Pieces(dict):
         self[piece] = found
         return found
 
-    def tidy(self) -> None:
+    def tidy(self, most: int) -> None:
         """Keep what was used since the last time and drop the rest, if there is much."""
-        if len(self) > CACHE_ENTRIES:
+        if len(self) > most:
             self.older = dict(self)
             self.clear()
 
@@ -107,10 +107,10 @@ class TextEncoder:
         """As _ids for one word in its normal form: only the library's byte alphabet and its model are needed."""
         return array("I", [t.id for t in self.model.tokenize(word.translate(self.alphabet))]).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes; a null text has none."""
-        self.first.tidy()
-        self.rest.tidy()
+    def encode(self, texts: list[str | None], most: int = CACHE_ENTRIES) -> list[bytes]:
+        """Ids of each text as bytes; a null text has none.  About ``most`` pieces are remembered."""
+        self.first.tidy(most)
+        self.rest.tidy(most)
         one = {"dropped": self._dropped, "leading": self._leading, "whole": self._ids}[self.kind]
         return [one(t) if t else b"" for t in texts]
 
