@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from traceframe.catalog import query
 from traceframe.library.common import table
+from traceframe.plans.sizing import bounded_broadcast
 from traceframe.operators.joins import division
 
 ONE = "count(*)"
@@ -171,9 +172,13 @@ def a25(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_linestatus").agg(F.sum("l_linenumber").alias("severity"), F.round(F.avg("l_extendedprice"), 4).alias("cost"), F.round(F.avg((F.col("l_tax") > 0.04).cast("double")), 6).alias("trap_ratio"))
 
 
-@query("a26_tally_with_members", "SELECT quality, toxic, count(*) AS n, list_sort(list(doc_id)) AS members FROM labels GROUP BY 1, 2")
+@query("a26_tally_with_members", "SELECT quality, toxic, count(*) OVER (PARTITION BY quality, toxic) AS n, doc_id AS member FROM labels")
 def a26(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "labels").groupBy("quality", "toxic").agg(n().alias("n"), F.sort_array(F.collect_list("doc_id")).alias("members"))
+    """A row for each member: the few counts are joined to them, so no class is gathered."""
+    labels = table(spark, d, "labels")
+    counts = labels.groupBy("quality", "toxic").agg(n().alias("n"))
+    same = F.col("l.quality").eqNullSafe(F.col("c.quality")) & F.col("l.toxic").eqNullSafe(F.col("c.toxic"))
+    return labels.alias("l").join(bounded_broadcast(counts).alias("c"), same).select("l.quality", "l.toxic", "n", F.col("doc_id").alias("member"))
 
 
 @query("a27_balanced_delimiters", "SELECT page_id, length(html) - length(replace(html, '<', '')) AS opened, length(html) - length(replace(html, '>', '')) AS closed FROM pages")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from traceframe.catalog import query
 from traceframe.library.common import fixture, table, values
 from traceframe.operators import quality as Q
+from traceframe.plans.sizing import bounded_broadcast
 
 OLD_META, NEW_META = [("root", "a"), ("commit", "1"), ("gone", "x")], [("root", "a"), ("commit", "2"), ("fresh", "y")]
 
@@ -39,10 +40,10 @@ def e05(spark: SparkSession, d: str) -> DataFrame:
     return Q.keyed_diff(a, b, ["o_orderkey"])
 
 
-@query("e06_symbol_diff", "SELECT 'gone' AS side, name FROM (SELECT DISTINCT p_type AS name FROM part WHERE p_size < 5 EXCEPT SELECT p_type FROM part WHERE p_size > 45) UNION ALL SELECT 'new', name FROM (SELECT DISTINCT p_type AS name FROM part WHERE p_size > 45 EXCEPT SELECT p_type FROM part WHERE p_size < 5)")
+@query("e06_symbol_diff", "SELECT 'gone' AS side, name FROM (SELECT DISTINCT p_name AS name FROM part WHERE p_size < 3 EXCEPT SELECT p_name FROM part WHERE p_size > 48) UNION ALL SELECT 'new', name FROM (SELECT DISTINCT p_name AS name FROM part WHERE p_size > 48 EXCEPT SELECT p_name FROM part WHERE p_size < 3)")
 def e06(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
-    a, b = (p.filter(c).select(F.col("p_type").alias("name")) for c in ("p_size < 5", "p_size > 45"))
+    a, b = (p.filter(c).select(F.col("p_name").alias("name")) for c in ("p_size < 3", "p_size > 48"))
     return a.subtract(b).select(F.lit("gone").alias("side"), "name").unionAll(b.subtract(a).select(F.lit("new").alias("side"), "name"))
 
 
@@ -66,7 +67,7 @@ SEEN = [(1, "ref", "read"), (2, "ref", "assigned"), (3, "defined", "equation"),
 @query("e08_role_compatibility", f"WITH {values('r', 'reftype, role', ROLES)}, {values('s', 'id, reftype, role', SEEN)} SELECT id, EXISTS (SELECT 1 FROM r WHERE r.reftype = s.reftype AND r.role = s.role) AS agrees FROM s")
 def e08(spark: SparkSession, d: str) -> DataFrame:
     fits = fixture(spark, "reftype string, role string", ROLES).withColumn("fits", F.lit(True))
-    return fixture(spark, "id int, reftype string, role string", SEEN).join(F.broadcast(fits), ["reftype", "role"], "left").select("id", F.coalesce("fits", F.lit(False)).alias("agrees"))
+    return fixture(spark, "id int, reftype string, role string", SEEN).join(bounded_broadcast(fits), ["reftype", "role"], "left").select("id", F.coalesce("fits", F.lit(False)).alias("agrees"))
 
 
 @query("e11_output_sizes", "SELECT page_id, length(html) AS chars, length(html) - length(replace(html, chr(10), '')) + 1 AS lines, (length(html) // 2)::BIGINT AS tokens FROM pages")

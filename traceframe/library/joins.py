@@ -9,6 +9,7 @@ from traceframe.catalog import query
 from traceframe.library.common import LINES_SQL, documents_lines, fixture, table, values
 from traceframe.operators import joins as J
 from traceframe.operators import settings as S
+from traceframe.plans.sizing import bounded_broadcast
 
 
 @query("j01_chunk_vector", "SELECT doc_id, lang, label, round(embedding[1]::DOUBLE, 6) AS first FROM documents JOIN embeddings ON doc_id = vec_id")
@@ -119,14 +120,14 @@ def j13(spark: SparkSession, d: str) -> DataFrame:
     return out.join(use, "name").filter("module <> user").groupBy("module", "name").agg(F.sort_array(F.collect_set("user")).alias("consumers"))
 
 
-@query("j14_left_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("j14_left_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 350000)")
 def j14(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").filter("o_totalprice > 350000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
-@query("j15_without_documentation", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 30)")
+@query("j15_without_documentation", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def j15(spark: SparkSession, d: str) -> DataFrame:
-    used = table(spark, d, "lineitem").filter("l_quantity > 30").select(F.col("l_partkey").alias("p_partkey"))
+    used = table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, d, "part").select("p_partkey").join(used, "p_partkey", "left_anti")
 
 
@@ -199,7 +200,7 @@ SCENARIOS, ASKED = [("SSP2-NPi",), ("SSP2",), ("NPi",), ("PkBudg",)], [(1, "what
 def j26(spark: SparkSession, d: str) -> DataFrame:
     s, q = fixture(spark, "name string", SCENARIOS), fixture(spark, "id int, text string", ASKED)
     tokens = q.select("id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_-]+"), F.lit(0))).alias("name"))
-    found = tokens.join(F.broadcast(s), "name").distinct()
+    found = tokens.join(bounded_broadcast(s), "name").distinct()
     w = Window.partitionBy("id").orderBy(F.desc(F.length("name")), "name")
     return found.select("id", "name", F.row_number().over(w).cast("bigint").alias("place")).filter("place <= 3")
 

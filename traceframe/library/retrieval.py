@@ -113,14 +113,14 @@ def m12(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", shown.alias("shown"))
 
 
-@query("m14_reused_vectors", "SELECT a.doc_id, b.k IS NOT NULL AS reused FROM (SELECT doc_id, sha1('m|' || left(text, 1000)) AS k FROM documents) a LEFT JOIN (SELECT DISTINCT sha1('m|' || left(text, 1000)) AS k FROM documents WHERE doc_id % 3 = 0) b USING (k)")
+@query("m14_reused_vectors", "SELECT a.doc_id, b.k IS NOT NULL AS reused FROM (SELECT doc_id, sha1('m|' || left(text, 1000)) AS k FROM documents) a LEFT JOIN (SELECT DISTINCT sha1('m|' || left(text, 1000)) AS k FROM documents WHERE lang <> 'es') b USING (k)")
 def m14(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of an earlier snapshot are found by their content key; the rest is to be embedded."""
     from traceframe.functions.text import content_key, visible
 
     key = content_key(F.lit("m"), visible(F.col("text"))).alias("k")
     docs = table(spark, d, "documents")
-    old = docs.filter("doc_id % 3 = 0").select(key).distinct().withColumn("reused", F.lit(True))
+    old = docs.filter("lang <> 'es'").select(key).distinct().withColumn("reused", F.lit(True))
     return docs.select("doc_id", key).join(old, "k", "left").select("doc_id", F.coalesce("reused", F.lit(False)).alias("reused"))
 
 

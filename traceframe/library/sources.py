@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceframe.catalog import query
+from traceframe.functions.text import content_key, visible
 from traceframe.library.common import fixture, table, values
 from traceframe.operators import chunks as C
 from traceframe.operators import lineage as L
@@ -47,7 +48,14 @@ def l09(spark: SparkSession, d: str) -> DataFrame:
     return _state(spark).select("path", "n", "masked", "conditions", "guards", "declared")
 
 
-@query("l18_declared_symbols", "SELECT * FROM (VALUES ('p_a', 'parameter', 't', 2), ('p_m', 'parameter', 't', 3), ('p_z', 'parameter', 't', 5), ('q_x', 'equation', 't', 6)) t(name, kind, domain, line)")
+_FILE_LINES = f"""{values('f', 'path, text', FILES)}, lines AS (SELECT path, i AS n, string_split(text, chr(10))[i] AS line FROM (SELECT path, text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM f))"""
+
+
+@query(
+    "l18_declared_symbols",
+    f"""WITH {_FILE_LINES}, w AS (SELECT path, n, line, nullif(regexp_extract(line, '^(parameter|equation)s?', 1), '') AS opens, regexp_extract(line, '^(?:parameters?|equations?)?\\s*([a-z]_\\w+)', 1) AS name, regexp_extract(line, '_\\w+\\(([^)]*)\\)', 1) AS domain FROM lines WHERE path LIKE '%declarations%')
+    SELECT name, last_value(opens IGNORE NULLS) OVER (ORDER BY n) AS kind, domain, n AS line FROM w QUALIFY name <> ''""",
+)
 def l18(spark: SparkSession, d: str) -> DataFrame:
     return U.declared_symbols(_state(spark)).select("name", "kind", "domain", "line")
 
@@ -58,7 +66,11 @@ def l20(spark: SparkSession, d: str) -> DataFrame:
     return S.aborts(S.line_state(fixture(spark, "path string, text string", [("core/a.gms", text)])))
 
 
-@query("c07_switches", "SELECT * FROM (VALUES ('cm_x', '1', '1|2', 1), ('cm_y', 'on', '', 2)) t(name, value, allowed, line)")
+@query(
+    "c07_switches",
+    f"""WITH {_FILE_LINES}, m AS (SELECT n, line, regexp_extract(line, '^\\$setglobal (\\w+) (\\w+)', 1) AS g, regexp_extract(line, '^(\\w+) = ', 1) AS a FROM lines WHERE path = 'main.gms' AND line <> '')
+    SELECT CASE WHEN g <> '' THEN g ELSE a END AS name, CASE WHEN g <> '' THEN regexp_extract(line, '^\\$setglobal (\\w+) (\\w+)', 2) ELSE regexp_extract(line, 'def = (\\S+)', 1) END AS value, regexp_extract(line, 'regexp = (\\S+)', 1) AS allowed, n AS line FROM m""",
+)
 def c07(spark: SparkSession, d: str) -> DataFrame:
     return S.switches(_state(spark)).select("name", "value", "allowed", "line")
 
@@ -129,9 +141,17 @@ def t10(spark: SparkSession, d: str) -> DataFrame:
     return L.link_section(e, 10)
 
 
-@query("t22_close_names")
+UNKNOWN, NAMES = [("k_levl",), ("v_stokc",), ("k_yaer",), ("zz",)], [("k_level",), ("k_levels",), ("k_year",), ("v_stock",), ("v_stocks",), ("k_lever",)]
+
+
+@query(
+    "t22_close_names",
+    f"""WITH {values('u', 'name', UNKNOWN)}, {values('k', 'known', NAMES)}, s AS (SELECT name, known, 1 - levenshtein(name, known) / greatest(length(name), length(known)) AS likeness FROM u JOIN k ON left(name, 2) = left(known, 2)),
+    r AS (SELECT name, known, row_number() OVER (PARTITION BY name ORDER BY likeness DESC, known) AS place FROM s WHERE likeness >= 0.7)
+    SELECT u.name, coalesce(list(known ORDER BY place) FILTER (known IS NOT NULL), []) AS close FROM u LEFT JOIN (SELECT * FROM r WHERE place <= 2) r USING (name) GROUP BY 1""",
+)
 def t22(spark: SparkSession, d: str) -> DataFrame:
-    return sweeps.close_names(fixture(spark, "name string", [("k_levl",), ("v_stokc",), ("zz",)]), ["k_level", "k_year", "v_stock"])
+    return sweeps.close_names(fixture(spark, "name string", UNKNOWN), fixture(spark, "name string", NAMES))
 
 
 _COUPLING = """own AS (SELECT p_partkey AS symbol, p_partkey % 12 AS owner FROM part), use AS (SELECT l_partkey AS symbol, l_suppkey % 12 AS user, l_returnflag AS phase, CASE WHEN l_linestatus = 'O' THEN 'assigned' ELSE 'read' END AS role FROM lineitem WHERE l_quantity > 48),
@@ -174,7 +194,12 @@ def s03(spark: SparkSession, d: str) -> DataFrame:
 CSV = [("a.csv", 1, "title;copyConfigFrom;description;cm_a;cm_b"), ("a.csv", 2, "A;;base;1;x"), ("a.csv", 3, "B;A;;2;"), ("a.csv", 4, ""), ("a.csv", 5, "#D;A;;;"), ("a.csv", 6, 'E;A;"a;b"')]
 
 
-@query("s05_scenario_rows", "SELECT * FROM (VALUES ('A', NULL, 'cm_a', '1'), ('A', NULL, 'cm_b', 'x'), ('A', NULL, 'description', 'base'), ('B', 'A', 'cm_a', '2'), ('E', 'A', 'description', 'a;b')) t(name, parent, key, value)")
+@query(
+    "s05_scenario_rows",
+    f"""WITH {values('t', 'path, n, line', CSV)}, c AS (SELECT path, n, regexp_extract_all(line || ';', '("[^"]*"|[^;]*);', 1) AS cells FROM t WHERE line <> ''),
+    h AS (SELECT path, arg_min(cells, n) AS names FROM c GROUP BY 1), r AS (SELECT n, cells, names, unnest(generate_series(1, len(cells))) AS i FROM c JOIN h USING (path) WHERE n > 1 AND cells[1] NOT LIKE '#%')
+    SELECT cells[1] AS name, nullif(cells[list_position(names, 'copyConfigFrom')], '') AS parent, names[i] AS key, trim(cells[i], '"') AS value FROM r WHERE cells[i] <> '' AND names[i] NOT IN ('title', 'copyConfigFrom')""",
+)
 def s05(spark: SparkSession, d: str) -> DataFrame:
     rows = R.scenario_rows(fixture(spark, "path string, n int, line string", CSV))
     return rows.select("name", "parent", F.explode("cells").alias("key", "value"))
@@ -183,14 +208,31 @@ def s05(spark: SparkSession, d: str) -> DataFrame:
 CFG = [(1, "cfg$Title <- 'x' # name"), (2, "cfg$gms$cm_a <- 1"), (3, "cfg$title <- \"y\""), (4, "other <- 1"), (5, "cfg$model<-main.gms")]
 
 
-@query("s06_key_values", "SELECT * FROM (VALUES ('title', 'y'), ('model', 'main.gms')) t(key, value)")
+@query(
+    "s06_key_values",
+    f"""WITH {values('t', 'n, line', CFG)}, p AS (SELECT n, lower(regexp_extract(line, '^cfg\\$(\\w+)\\s*<-', 1)) AS key, trim(regexp_extract(line, '<-\\s*([^#]*)', 1), ' ' || chr(34) || chr(39)) AS value FROM t)
+    SELECT key, arg_max(value, n) AS value FROM p WHERE key <> '' GROUP BY 1""",
+)
 def s06(spark: SparkSession, d: str) -> DataFrame:
     return R.key_values(fixture(spark, "n int, line string", CFG))
 
 
-@query("s16_vector_cache", "SELECT vec_id, sha1('m|' || embedding[1]::DOUBLE::VARCHAR) IS NOT NULL AS keyed FROM embeddings WHERE vec_id % 2 = 0")
+_KEY = "sha1('m|' || left(text, 1000))"
+
+
+@query(
+    "s16_vector_cache",
+    f"""WITH cache AS (SELECT {_KEY} AS key, arg_min(embedding, doc_id) AS vector FROM documents JOIN embeddings ON vec_id = doc_id WHERE lang <> 'en' GROUP BY 1)
+    SELECT doc_id, vector IS NOT NULL AS reused, list_sum(vector::DOUBLE[]) AS total FROM (SELECT doc_id, {_KEY} AS key FROM documents) LEFT JOIN cache USING (key)""",
+)
 def s16(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").filter("vec_id % 2 = 0").select("vec_id", F.sha1(F.concat(F.lit("m|"), F.get("embedding", 0).cast("string"))).isNotNull().alias("keyed"))
+    """Vectors of an earlier snapshot (that of all languages but one) are read by content key, whole; the others are to be embedded."""
+    key = content_key(F.lit("m"), visible(F.col("text"))).alias("key")
+    docs = table(spark, d, "documents")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    old = docs.filter("lang <> 'en'").select("doc_id", key).join(vectors, "doc_id").groupBy("key").agg(F.min_by("embedding", "doc_id").alias("vector"))
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return docs.select("doc_id", key).join(old, "key", "left").select("doc_id", F.col("vector").isNotNull().alias("reused"), total.alias("total"))
 
 
 @query("s15_meta", "SELECT * FROM (VALUES ('documents', (SELECT count(*) FROM documents)::VARCHAR), ('model', 'none')) t(key, value)")

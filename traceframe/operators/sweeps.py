@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceframe.functions import kleene as K
@@ -41,15 +39,15 @@ def severity(aborts: DataFrame, defaults: Column, settings: list[str]) -> DataFr
     return joined.withColumn("severity", text).drop("own", "p", "v")
 
 
-def close_names(unknown: DataFrame, known: list[str], least: float = 0.75, n: int = 2) -> DataFrame:
-    """Adds ``close``: up to n known names (a small list) that begin alike and are similar by matching blocks."""
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["close"] = [difflib.get_close_matches(x, [k for k in known if k[:2] == x[:2]], n=n, cutoff=least) for x in b["name"]]
-            yield b
-
-    return unknown.select("name").mapInPandas(find, "name string, close array<string>")
+def close_names(unknown: DataFrame, known: DataFrame, least: float = 0.7, n: int = 2) -> DataFrame:
+    """name and ``close``: up to n known names that begin with the same two characters and need few edits for their length."""
+    names, others = unknown.select("name").distinct(), known.select(F.col("name").alias("known")).distinct()
+    both = names.join(others, F.left("name", F.lit(2)) == F.left("known", F.lit(2)))
+    likeness = 1 - F.levenshtein("name", "known") / F.greatest(F.length("name"), F.length("known"))
+    best = Window.partitionBy("name").orderBy(F.desc("likeness"), "known")
+    placed = both.withColumn("likeness", likeness).filter(F.col("likeness") >= least).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= n)
+    held = placed.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "known"))), lambda x: x["known"]).alias("close"))
+    return names.join(held, "name", "left").select("name", F.coalesce("close", F.array().cast("array<string>")).alias("close"))
 
 
 def coupling(owners: DataFrame, uses: DataFrame) -> DataFrame:
@@ -58,9 +56,14 @@ def coupling(owners: DataFrame, uses: DataFrame) -> DataFrame:
     return joined.groupBy("owner", "user").agg(F.array_join(F.array_sort(F.collect_set("phase")), "+").alias("phases"), F.countDistinct("symbol").alias("symbols"), F.bool_or(F.col("role") == "assigned").alias("writes"))
 
 
-def reachable(edges: DataFrame, most: int = 64) -> DataFrame:
-    """src, dst of all pairs joined by a path, for a small graph: squaring until nothing is new (log2 of the diameter)."""
+def reachable(edges: DataFrame, most: int = 64, nodes: int = 10_000) -> DataFrame:
+    """src, dst of all pairs joined by a path, for a small graph: squaring until nothing is new (log2 of the diameter).
+
+    The result may have as many rows as there are pairs, so a graph of more nodes than given is refused.
+    """
     pairs = materialize(edges.select("src", "dst").distinct(), "pairs")
+    if (held := pairs.select("src").union(pairs.select("dst")).distinct().count()) > nodes:
+        raise ValueError(f"{held} nodes are too many for all pairs; strong_components and weak_components take any graph")
     n = pairs.count()
     while most > 0:
         more = pairs.join(pairs.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
@@ -71,12 +74,46 @@ def reachable(edges: DataFrame, most: int = 64) -> DataFrame:
     return pairs
 
 
+def _spread(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and color: the smallest node that reaches it, itself included; a round for each step of the longest way."""
+    colors = materialize(nodes.select("node", F.col("node").alias("color")), "colors")
+    while True:
+        met = edges.join(colors, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("met"))
+        after = colors.join(met, "node", "left").select("node", F.least("color", F.coalesce("met", "color")).alias("color"), (F.col("met") < F.col("color")).alias("moved"))
+        after = materialize(after, "colors")
+        colors = after.select("node", "color")
+        if after.filter("moved").isEmpty():
+            return colors
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """node and component (its smallest node) of the strongly connected components of more than one node."""
-    reach = reachable(edges)
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.join(back, ["src", "dst"]).filter("src <> dst")
-    return mutual.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component"))
+    """node and component (its smallest node) of the strongly connected components of more than one node.
+
+    Forward and backward colouring: every node takes the smallest node that reaches it, and
+    those of its colour that reach that node, backwards, are its component.  They leave with
+    their edges, and the rest is coloured anew.  Tables hold nodes and edges, never pairs.
+    """
+    live = materialize(edges.select("src", "dst").filter("src <> dst").distinct(), "live")
+    found: list[DataFrame] = []
+    while not live.isEmpty():
+        nodes = live.select(F.col("src").alias("node")).union(live.select("dst")).distinct()
+        colors = _spread(nodes, live)
+        inside = live.join(colors.select(F.col("node").alias("src"), F.col("color").alias("a")), "src").join(colors.select(F.col("node").alias("dst"), F.col("color").alias("b")), "dst").filter("a = b")
+        inside = materialize(inside.select("src", "dst"), "inside")
+        held = materialize(colors.filter("node = color"), "held")
+        front = held
+        while not front.isEmpty():  # one step backwards at a time
+            before = inside.join(front.select(F.col("node").alias("dst"), "color"), "dst").select(F.col("src").alias("node"), "color").distinct()
+            front = materialize(before.join(held, "node", "left_anti"), "front")
+            held = materialize(held.union(front), "held")
+        found.append(held)
+        gone = held.select("node")
+        live = materialize(live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "live")
+    if not found:
+        return edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).filter("false")
+    every = reduce(DataFrame.union, found)
+    large = every.groupBy("color").count().filter("count > 1").select("color")
+    return every.join(large, "color").select("node", F.col("color").alias("component"))
 
 
 def weak_components(edges: DataFrame) -> DataFrame:

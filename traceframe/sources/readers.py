@@ -69,7 +69,7 @@ def scenario_rows(lines: DataFrame, sep: str = ";") -> DataFrame:
     bare = F.transform(found, lambda c: F.trim(F.when(c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c)))
     rows = lines.filter(F.trim("line") != "").select("path", "n", bare.alias("cells"))
     heads = rows.groupBy("path").agg(F.min_by("cells", "n").alias("names"), F.min("n").alias("head"))
-    body = rows.join(F.broadcast(heads), "path").filter((F.col("n") > F.col("head")) & F.coalesce(~F.get("cells", 0).startswith("#") & (F.get("cells", 0) != ""), F.lit(False)))
+    body = rows.join(heads, "path").filter((F.col("n") > F.col("head")) & F.coalesce(~F.get("cells", 0).startswith("#") & (F.get("cells", 0) != ""), F.lit(False)))
     pairs = F.filter(F.zip_with("names", "cells", lambda k, v: F.struct(k.alias("key"), v.alias("value"))), lambda p: p["key"].isNotNull() & F.coalesce(p["value"] != "", F.lit(False)))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
     mapped = F.map_from_entries(F.filter(last, lambda p: ~p["key"].isin("title", "copyConfigFrom")))
