@@ -41,7 +41,32 @@ def test_views(engine):
     assert engine.switch("CM_X")["definition"].first().allowed == "1|2"
     assert {r.key: (r.value, r.default) for r in engine.scenario("S2").collect()} == {"cm_y": ("off", "on"), "cm_x": ("2", "1"), "other": ("1", None)}
     assert [(r.value, r.n) for r in engine.config_use("cm_x").collect()] == [("2", 2)]
-    assert engine.module("33")["realizations"].first().realization == "portfolio"
+    storage = engine.module("12")
+    assert storage["realizations"].first().realization == "tank" and storage["selected"].first().selected is None
+    assert {(r.switch, r.kind, r.severity) for r in storage["steering"].collect()} == {("cm_y", "compile", 2), ("cm_x", "read", 0)}
+    assert [r.name for r in engine.switch("CM_X")["documentation"].collect()] == ["cm_x"] and {r.allowed for r in engine.switch("CM_X")["allowed"].collect()} == {"1", "2"}
+    assert [(r.condition, r.value) for r in engine.symbol("q_x")["conditions"].collect()] == [("cm_x eq 2", False)]
+    assert {r.name: r.users for r in engine.symbol("p_a")["users"].collect()} == {"p_a": 1}
+
+
+def test_status_of_hits(engine):
+    chunks = engine.table("chunks").filter("kind = 'equation'")
+    assert [r.text for r in engine.status(chunks).orderBy("place").collect()] == ['compiled only if "%cm_y%" == "on": holds with the defaults', "generated only if cm_x eq 2; holds in 2 of 2 configurations", "tests of switches, with the defaults: cm_x eq 2 → false"]
+    assert {r.text for r in engine.status(chunks, "S2").collect()} == {'compiled only if "%cm_y%" == "on": is off with S2', "tests of switches, with S2: cm_x eq 2 → true"}
+
+
+def test_search_under_a_scenario(engine):
+    plain = {r.id: r.score for r in engine.search("balance p_z q_x", k=20).collect()}
+    under = {r.id: (r.score, r.kind) for r in engine.search("balance p_z q_x", k=20, scenario="S2").collect()}
+    assert set(plain) == set(under)
+    assert all(score == pytest.approx(plain[i] * (0.3 if kind == "equation" else 1.0), abs=1e-6) for i, (score, kind) in under.items())
+
+
+def test_statements_scenarios_and_tables(engine, spark):
+    assert engine.statement("core/presolve.gms", 7).select("start", "end").first()[:] == (6, 7)
+    assert [r.name for r in engine.named_scenarios("compare s2 with S1 and S10").collect()] == ["S1", "S2"]
+    listed = {(r.table, r.column) for r in snapshot.tables(spark, engine.path).collect()}
+    assert {("chunks", "conditions"), ("postings", "tf"), ("lines", "statement"), ("meta", "key")} <= listed
 
 
 def test_unknown_names_list_similar_ones(engine):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from traceframe.functions import kleene as K
 from traceframe.functions.text import module_matches, query_terms, shorten, unquoted
-from traceframe.operators import lineage, search, settings, source, uses
+from traceframe.operators import lineage, search, settings, source, status, sweeps, uses
 from traceframe.operators.chunks import file_chunks
 from traceframe.plans.scratch import materialize
 from traceframe.plans.shipping import ship
@@ -49,7 +49,7 @@ def build_snapshot(
     posted = materialize(search.postings(chunks, "id", {"header": 3.0, "text": 1.0}).repartitionByRange("term").sortWithinPartitions("term"), "postings")
     tables = {
         "chunks": chunks, "symbols": symbols, "switches": switches, "symbol_uses": used, "preconditions": aborts, "flags": uses.flag_rows(state),
-        "conditions": K.parsed(texts), "postings": posted, "index_stats": search.index_stats(posted, "id"),
+        "lines": state.select("path", "n", "line", "ends", "directive", "live", "statement"), "switch_tests": source.switch_tests(state), "conditions": K.parsed(texts), "postings": posted, "index_stats": search.index_stats(posted, "id"),
     }
     if scenarios is not None:
         tables["scenarios"] = settings.inherit(scenarios)
@@ -85,8 +85,15 @@ class Engine:
         pairs = [F.lit(x) for kv in sorted(held.items()) for x in kv]
         return F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.lit(""))
 
-    def search(self, query: str, k: int = 5, *, module: str | None = None, realization: str | None = None, kind: str | None = None, phase: str | None = None, mode: str = "hybrid", vector: list[float] | None = None) -> DataFrame:
-        """id, score and chunk of the k best; filters apply after the candidates are ranked."""
+    def search(
+        self, query: str, k: int = 5, *, module: str | None = None, realization: str | None = None, kind: str | None = None, phase: str | None = None, mode: str = "hybrid",
+        vector: list[float] | None = None, scenario: str | None = None,
+    ) -> DataFrame:
+        """id, score and chunk of the k best; filters apply after the candidates are ranked.
+
+        With a scenario, chunks of realizations that it does not select are left out, and
+        those with a condition that is false under it count for less.
+        """
         k = max(1, min(k, 20))
         filtered = any((module, realization, kind, phase))
         n = search.CANDIDATES_FILTERED if filtered else search.CANDIDATES
@@ -109,6 +116,8 @@ class Engine:
             rankings.append((defined, 2.0))
         fused = search.fuse(rankings, ["q"], "id").select("id", "score", "rank")
         hits = fused.join(chunks, "id")
+        if scenario:
+            hits = self._rescored(hits, scenario)
         for column, wanted in (("realization", realization), ("phase", phase)):
             if wanted:
                 hits = hits.filter(F.lower(column) == wanted.lower())
@@ -118,10 +127,50 @@ class Engine:
             hits = hits.filter(F.col("kind") == kind)
         return hits.orderBy("rank").limit(k)
 
+    def _rescored(self, hits: DataFrame, scenario: str) -> DataFrame:
+        held = self._settings(scenario)
+        own = hits.filter(F.coalesce(settings.is_selected(F.col("module"), F.col("realization"), held), F.lit(True)))
+        each = own.select("id", F.explode("conditions").alias("text")).join(self.table("conditions"), "text")
+        false = each.groupBy("id").agg(F.bool_or(~F.coalesce(K.evaluate(F.col("steps"), held), F.lit(True))).alias("false"))
+        factor = F.when(F.col("false"), search.OUT_OF_SETTING).otherwise(1.0)
+        scored = own.join(false, "id", "left").withColumn("score", F.round(F.col("score") * factor, 9)).drop("false")
+        return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "rank")).cast("bigint"))
+
+    def status(self, chunks: DataFrame, scenario: str | None = None) -> DataFrame:
+        """id, place and text of the lines that say whether chunks run under the settings; off conditions with their reach."""
+        told = status.chunk_status(chunks, self.table("conditions"), self.table("switch_tests"), self._settings(scenario), scenario or "the defaults")
+        equations = status.equation_status(chunks.filter("kind = 'equation'"), self._settings(scenario))
+        reasons = equations.select("id", F.lit(900).alias("place"), F.col("condition").alias("text"), (F.col("value").eqNullSafe(F.lit(False))).alias("off"))
+        if self._has("scenarios"):
+            reasons = status.with_reach(reasons, self.reach(reasons.select("text")))
+        return told.unionByName(reasons.select("id", "place", F.concat(F.lit("generated only if "), "text").alias("text")))
+
+    def _has(self, table: str) -> bool:
+        return not snapshot.tables(self.spark, self.path).filter(F.col("table") == table).isEmpty()
+
+    def reach(self, texts: DataFrame) -> DataFrame:
+        """name (the condition), holds, undecided and configs over all scenario rows, for a table of few condition texts."""
+        asked = [r.text for r in texts.select("text").distinct().limit(search.MAX_TERMS).collect()]
+        base = self._settings(None)
+        rows = self.table("scenarios").select(settings.override(base, settings.normal_cells(F.col("cells"))).alias("s"))
+        return K.reach(rows, "s", {t: t for t in asked}) if asked else self.spark.createDataFrame([], "name string, holds bigint, undecided bigint, configs bigint")
+
+    def named_scenarios(self, query: str, main: str = "config/scenarios.csv") -> DataFrame:
+        """Scenarios that a query names, the longest names first, three at most."""
+        return search.named_scenarios(self.spark.createDataFrame([(1, query)], "q int, text string"), self.table("scenarios"), ["q"], main).drop("q")
+
+    def statement(self, path: str, line: int) -> DataFrame:
+        """path, n, start and end of the statement at a line, within the tightest chunk around it."""
+        rows = self.table("lines").filter(F.col("path") == path)
+        state = rows.select("path", "n", "ends", F.col("directive").alias("barrier"), (F.col("live") & (F.trim("line") != "")).alias("code"))
+        spans = self.table("chunks").filter((F.col("path") == path) & F.col("kind").isin("gams_block", "equation")).select("path", F.col("line_start").alias("s"), F.col("line_end").alias("e"))
+        return lineage.statements_at(self.spark.createDataFrame([(path, line)], "path string, n int"), state, spans, "path")
+
     def _definitions(self, known: DataFrame, chunks: DataFrame) -> DataFrame:
-        """Ranking of the chunks that define the names: equations, then declarations, then switches' lines."""
-        place = F.when(F.col("kind") == "equation", 1).when(F.col("kind") == "declaration", 2).otherwise(3)
-        named = chunks.select("id", "kind", F.explode(F.split("name", ", ")).alias("name")).join(known, "name").withColumn("place", place)
+        """Ranking of the chunks that define the names: switches, equations, declarations, and interfaces that list them."""
+        place = F.when(F.col("kind") == "switch", 0).when(F.col("kind") == "equation", 1).when(F.col("kind") == "declaration", 2).otherwise(4)
+        named = chunks.select("id", "kind", F.explode(F.split("name", ", ")).alias("name")).join(known, "name").select("id", "name", place.alias("place"))
+        named = named.unionByName(lineage.interface_definitions(chunks, known).select("id", "name", F.lit(3).alias("place")))
         first = named.groupBy("id").agg(F.min(F.struct("name", "place")).alias("first"))
         return first.select(F.lit(1).alias("q"), "id", F.row_number().over(Window.orderBy("first", "id")).cast("bigint").alias("rank"))
 
@@ -140,7 +189,14 @@ class Engine:
         page = marked.orderBy("rank", "path", "line").offset(offset).limit(most)
         counts = marked.groupBy("role", "path").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rank") > 0).alias("flagged"))
         equations = self.table("chunks").filter("kind = 'equation'").join(used.filter("context is not null").select(F.col("context").alias("name")).distinct(), "name", "left_semi")
-        return {"declarations": grouped, "equations": equations, "uses": page, "counts": counts}
+        return {"declarations": grouped, "equations": equations, "conditions": status.equation_status(equations, self._settings(scenario)), "uses": page, "counts": counts, "users": self._users(declared)}
+
+    def _users(self, declared: DataFrame) -> DataFrame:
+        """name and users (modules other than the declaring one that use it), the most used first."""
+        names = declared.select("name", F.col("module").alias("owner")).distinct()
+        used = self.table("symbol_uses").join(names, "name").filter(F.col("module").isNotNull() & ~F.col("module").eqNullSafe(F.col("owner")))
+        counted = used.groupBy("name").agg(F.countDistinct("module").alias("users"))
+        return names.select("name").distinct().join(counted, "name", "left").select("name", F.coalesce("users", F.lit(0)).alias("users")).orderBy(F.desc("users"), "name")
 
     def marked(self, used: DataFrame, scenario: str | None = None) -> DataFrame:
         """Uses with mark, rank and reasons under the settings."""
@@ -171,7 +227,10 @@ class Engine:
         found = self.table("switches").filter(own)
         if found.isEmpty():
             raise NotFound(name, self._similar("switches", name))
-        return {"definition": found, "references": self.marked(self.table("symbol_uses").filter(own), scenario).orderBy("rank", "path", "line").limit(REFERENCES)}
+        chunks = self.table("chunks").filter((F.col("kind") == "switch") & (F.lower("name") == name.lower()))
+        allowed = found.select("name", F.explode(F.split("allowed", r"\|")).alias("allowed")).filter("allowed <> ''")
+        views = {"config_use": self.config_use(name)} if self._has("scenarios") else {}
+        return views | {"definition": found, "documentation": chunks, "allowed": allowed, "references": self.marked(self.table("symbol_uses").filter(own), scenario).orderBy("rank", "path", "line").limit(REFERENCES)}
 
     def config_use(self, name: str, value: str | None = None) -> DataFrame:
         """Values of a setting over all scenario rows: how many have it, and three of them."""
@@ -197,10 +256,30 @@ class Engine:
         inside = used.filter(own).select("name").distinct()
         outside = used.filter(~F.coalesce(own, F.lit(False)) & F.col("module").isNotNull()).groupBy("name").agg(F.sort_array(F.collect_set("module")).alias("modules"))
         return {
+            "documentation": chunks.filter(F.col("kind").isin("module_doc", "realization_doc")), "selected": self._selected(chunks), "steering": self._steering(used.filter(own)), "symbols_by_use": self._users(declared),
             "realizations": chunks.filter("realization is not null").groupBy("realization").agg(F.count(F.lit(1)).alias("chunks")), "symbols": declared,
             "outputs": declared.select("name").distinct().join(outside, "name"), "inputs": inside.join(declared.select("name"), "name", "left_anti").join(outside, "name"),
         }
 
+    def _selected(self, chunks: DataFrame) -> DataFrame:
+        """realization and selected: which of a module's realizations the defaults select."""
+        own = chunks.filter("realization is not null").select("module", "realization").distinct()
+        return own.select("module", "realization", settings.is_selected(F.col("module"), F.col("realization"), self._settings(None)).alias("selected"))
+
+    def _steering(self, used: DataFrame) -> DataFrame:
+        """Switches that steer the code: per realization the strongest way it depends on each, and whether all active ones do."""
+        switch = self.table("switches").select(F.col("name").alias("switch"))
+        inside = used.filter("realization is not null")
+        tests = lambda column, kind: inside.select("module", "realization", F.explode(column).alias("text"), F.lit(kind).alias("kind"))
+        parsed = tests("conditions", "compile").unionByName(tests("guards", "guard")).join(self.table("conditions"), "text")
+        tested = parsed.select("module", "realization", "kind", F.explode("steps").alias("s")).select("module", "realization", "kind", F.col("s.name").alias("lower"))
+        tested = tested.join(switch.withColumn("lower", F.lower("switch")), "lower").select("module", "realization", "switch", "kind")
+        read = inside.join(switch, F.col("name") == F.col("switch")).select("module", "realization", "switch", F.lit("read").alias("kind"))
+        active = inside.select("module", "realization").distinct()
+        found = sweeps.steering(tested.unionByName(read), active)
+        severity = F.when(F.col("kind") == "compile", 2).when(F.col("kind") == "guard", 1).otherwise(0)
+        return found.withColumn("severity", severity).orderBy(F.desc("severity"), "module", "realization", "switch")
+
     def scenario(self, name: str) -> DataFrame:
         """key, value and default of the settings in which a scenario differs from the defaults."""
         rows = settings.pick_scenario(self.table("scenarios"), name, F.lit(False))

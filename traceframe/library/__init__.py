@@ -10,5 +10,6 @@ from traceframe.library import (  # noqa: F401
     retrieval,
     settings,
     sources,
+    status,
     views,
 )

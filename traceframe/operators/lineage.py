@@ -61,3 +61,32 @@ def link_section(entries: DataFrame, most: int, merge: bool = True) -> DataFrame
 def names_from(members: DataFrame, key: list[str], line: int) -> DataFrame:
     """Names of a statement whose last mention is at or behind a line."""
     return members.groupBy(*key, "name").agg(F.max("line").alias("last")).filter(F.col("last") >= line).drop("last")
+
+
+#: Lines that a statement is looked for before and behind one of its lines.
+MAX_BACK, MAX_FORWARD = 40, 80
+
+
+def statements_at(points: DataFrame, rows: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """key, n, start and end of the statement at each point (key, n).
+
+    ``rows`` has key, n, ends, barrier (a line that statements do not go over) and code (is
+    it neither blank nor a comment?); ``spans`` (key, s, e) bound the search, the tightest
+    around the point first.  A statement goes back to the line behind the one that ended the
+    last, at most MAX_BACK lines, and forward to its own end, at most MAX_FORWARD.
+    """
+    around = points.join(spans, key).filter("n between s and e").groupBy(key, "n").agg(F.min_by(F.struct("s", "e"), F.struct(F.col("e") - F.col("s"), "s")).alias("b"))
+    near = around.select(key, F.col("n").alias("at"), "b.s", "b.e").join(rows, key).filter(
+        F.col("n").between(F.greatest("s", F.col("at") - MAX_BACK), F.least("e", F.col("at") + MAX_FORWARD))
+    )
+    edge = F.max(F.when((F.col("n") < F.col("at")) & (F.col("ends") | F.col("barrier")), F.col("n") + 1))
+    found = near.groupBy(key, "at").agg(edge.alias("edge"), F.min("n").alias("low"), F.min(F.when((F.col("n") >= F.col("at")) & F.col("ends"), F.col("n"))).alias("end"), F.max("n").alias("high"), F.collect_list(F.when(F.col("code"), F.col("n"))).alias("code"))
+    first = F.greatest(F.coalesce("edge", "low"), "low")
+    start = F.array_min(F.filter("code", lambda n: (n >= first) & (n <= F.col("at"))))
+    return found.select(key, F.col("at").alias("n"), F.coalesce(start, "at").alias("start"), F.coalesce("end", "high").alias("end"))
+
+
+def interface_definitions(chunks: DataFrame, names: DataFrame) -> DataFrame:
+    """name and id of the interface chunks that list a name (one column) as an output: a line of its own that begins with it and a colon."""
+    listed = chunks.filter("kind = 'module_interface' and text like 'Outputs of%'").select("id", F.explode(F.slice(F.split("text", "\n"), 2, 1_000_000)).alias("line"))
+    return listed.select("id", F.substring_index("line", ":", 1).alias("name"), "line").filter(F.contains("line", F.lit(":"))).join(names.select("name").distinct(), "name").select("name", "id").distinct()

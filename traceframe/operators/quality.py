@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceframe.operators.joins import full_outer_diff
@@ -66,3 +66,19 @@ def event_log(lines: DataFrame, schema: str = "type string, message struct<conte
 
 def share(part: Column, whole: Column) -> Column:
     return F.round(part / F.nullif(whole, F.lit(0)), 6)
+
+
+def covered_lines(lines: DataFrame, key: str) -> DataFrame:
+    """key, n and covered: did a compiler read the line, as its listing tells?
+
+    ``lines`` has key, n, statement, and what is known of each line: entry (a symbol is
+    listed on it), one_line_if (the listing shows it whether or not it holds), names (it
+    has symbols that a listing would name), echoed (the listing repeats it), and end_echoed
+    (for an opening directive, whether the line that closes it is repeated).  The first that
+    applies decides: an entry; a test on one line has nothing else to show for it; a line
+    with names needs an entry somewhere in its statement; other lines have to be repeated,
+    or their closing line.
+    """
+    in_statement = F.max("entry").over(Window.partitionBy(key, "statement"))
+    covered = F.when(F.col("entry"), True).when(F.col("one_line_if"), False).when(F.col("names"), in_statement).otherwise(F.col("echoed") | F.col("end_echoed"))
+    return lines.select(key, "n", covered.alias("covered"))

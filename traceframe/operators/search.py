@@ -156,3 +156,16 @@ def recall_mrr(hits: DataFrame, by: list[str]) -> DataFrame:
     within5 = F.avg(F.when(F.col("rank") <= 5, 1.0).otherwise(0.0))
     mrr = F.avg(F.when(F.col("rank") <= 10, 1.0 / F.col("rank")).otherwise(0.0))
     return hits.rollup(*by).agg(F.count(F.lit(1)).alias("n"), F.round(within5, 6).alias("recall5"), F.round(mrr, 6).alias("mrr10"))
+
+
+def named_scenarios(texts: DataFrame, scenarios: DataFrame, by: list[str], main: str, most: int = 3) -> DataFrame:
+    """``by``, name, path, line and place of the scenarios that a text (``by``, text) names, the longest names first.
+
+    A name has to stand free of word characters and hyphens, in any case.  Of the rows of
+    one name that of the main file counts, else the first.
+    """
+    words = texts.select(*by, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\w-]+"), F.lit(0)))).alias("word"))
+    first = scenarios.groupBy(F.lower("name").alias("word")).agg(F.min(F.struct((F.col("path") != main).alias("other"), "path", "line", "name")).alias("s"))
+    found = words.join(first, "word").select(*by, "s.name", "s.path", "s.line")
+    longest = Window.partitionBy(*by).orderBy(F.desc(F.length("name")), "name")
+    return found.withColumn("place", F.row_number().over(longest).cast("bigint")).filter(F.col("place") <= most)

@@ -311,3 +311,20 @@ def aborts(state: DataFrame) -> DataFrame:
     found = state.withColumn("kind", F.when(compiled, "compile").when(at_run, "run")).withColumn("message", F.trim(F.regexp_replace(message, "^[\"']|[\"' ;]+$", ""))).withColumn("own", own)
     around = F.when(compiled, F.col("around")).otherwise(F.col("conditions"))
     return found.filter("kind is not null").select("path", F.col("n").alias("line"), "kind", F.concat(around, "guards", "own").alias("conditions"), "message")
+
+
+def block_ends(rows: DataFrame) -> DataFrame:
+    """path, n and end: the line that closes the block of each opening, ``else`` or ``elseif`` directive, null if none does."""
+    word = F.lower(F.regexp_extract("line", DIRECTIVE, 1))
+    events = rows.filter(F.col("live") & word.isin("ifthen", "elseif", "else", "endif")).select("path", "n", word.alias("kind"))
+    placed = _levels(events, "n", F.col("kind") == "ifthen", F.col("kind") == "endif").filter("level > 0")
+    placed = placed.withColumn("block", F.sum((F.col("kind") == "ifthen").cast("int")).over(_upto(_in_file("level").orderBy("n"))))
+    end = F.min(F.when(F.col("kind") == "endif", F.col("n"))).over(_in_file("level", "block"))
+    return placed.withColumn("end", end).filter("kind <> 'endif'").select("path", "n", "end")
+
+
+def block_context(rows: DataFrame) -> DataFrame:
+    """path, n and context: the directive of the innermost open branch above each line that stands in one."""
+    branches = compile_branches(rows).select("path", "level", "s", "e")
+    inside = rows.select("path", "n").join(branches, "path").filter("s < n and n < e").groupBy("path", "n").agg(F.max_by("s", F.struct("level", "s")).alias("s"))
+    return inside.join(rows.select("path", F.col("n").alias("s"), F.lower(F.trim("line")).alias("context")), ["path", "s"]).select("path", "n", "context")

@@ -64,10 +64,21 @@ def keyed(chunks: DataFrame, model: str, length: int = 1000) -> DataFrame:
 def embed(chunks: DataFrame, cache: DataFrame | None, embedder: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """key and vector of keyed chunks: those in the cache are reused, each other distinct key is embedded once.
 
-    ``embedder`` takes (key, text) and gives (key, vector).
+    ``embedder`` takes (key, text) and gives (key, vector); it gets the texts of a task in
+    the order of their lengths, so that batches have texts of like length.
     """
+    by_length = lambda df: df.repartition(F.xxhash64("key")).sortWithinPartitions(F.length("text"), "key")
     wanted = chunks.groupBy("key").agg(F.min(squeezed(F.col("header"), F.col("text"))).alias("text"))
     if cache is None:
-        return embedder(wanted)
+        return embedder(by_length(wanted))
     known = cache.join(wanted.select("key"), "key", "left_semi").select("key", "vector").dropDuplicates(["key"])
-    return known.unionByName(embedder(wanted.join(cache.select("key"), "key", "left_anti")))
+    return known.unionByName(embedder(by_length(wanted.join(cache.select("key"), "key", "left_anti"))))
+
+
+def tables(spark: SparkSession, path: str) -> DataFrame:
+    """table, column and type of all tables of a snapshot."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    names = sorted(f.getPath().getName() for f in found if f.isDirectory())
+    rows = [(n, column, kind) for n in names for column, kind in spark.read.parquet(f"{path}/{n}").dtypes]
+    return spark.createDataFrame(rows, "table string, column string, type string")
