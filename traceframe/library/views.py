@@ -10,8 +10,8 @@ from traceframe.library.common import fixture, values
 from traceframe.operators import sweeps
 
 PROSE = [
-    ("README.md", 1, "The switch cm_rate has the default 5% and more."), ("README.md", 2, "cm_years: default is 2030."), ("doc.md", 3, "see modules/03_trade/x/sets.gms and 03_trade/x/sets.gms"),
-    ("doc.md", 4, "look at core/gone.gms"), ("doc.md", 5, "set trade = free"), ("doc.md", 6, "set trade = x, other = y"), ("doc.md", 7, "cm_rate, default: 0.05"),
+    ("README.md", 1, "The switch cm_rate has the default 5% and more."), ("README.md", 2, "cm_rate: default is 5%; cm_years: default is 2030."), ("doc.md", 3, "see modules/03_trade/x/sets.gms and 03_trade/x/sets.gms"),
+    ("doc.md", 4, "look at core/gone.gms"), ("doc.md", 5, "set trade = free"), ("doc.md", 6, "set other = y, trade = x, land = b and trade = none"), ("doc.md", 7, "cm_rate, default: 0.05"),
 ]
 SETTINGS, PATHS, KNOWN = [("cm_rate", "0.05"), ("cm_years", "2025")], [("modules/03_trade/x/sets.gms",), ("main.gms",)], [("03_trade", "x"), ("03_trade", "z"), ("04_land", "a")]
 
@@ -24,7 +24,15 @@ def _known(spark: SparkSession) -> DataFrame:
     return fixture(spark, "module string, realization string", KNOWN)
 
 
-@query("t23_stated_defaults", "SELECT * FROM (VALUES ('README.md', 2, 'cm_years', '2030.0', '2025.0')) t(path, line, name, stated, value)")
+_STATES = r"(?i)\b([a-z]\w*_\w+)\b[^.;]{0,40}?\bdefault(?:s to| is|:| =|)\s*[:=]?\s*([\w.%+-]+)"
+
+
+@query(
+    "t23_stated_defaults",
+    f"""WITH {values('p', 'path, line, text', PROSE)}, {values('s', 'name, held', SETTINGS)}, m AS (SELECT path, line, lower(unnest(regexp_extract_all(text, '{_STATES}', 1))) AS name, unnest(regexp_extract_all(text, '{_STATES}', 2)) AS raw FROM p),
+    v AS (SELECT path, line, name, round(TRY_CAST(rtrim(raw, '.%') AS DOUBLE) / CASE WHEN contains(raw, '%') THEN 100 ELSE 1 END, 9) AS stated, held::DOUBLE AS value FROM m JOIN s USING (name))
+    SELECT path, line, name, stated::VARCHAR AS stated, value::VARCHAR AS value FROM v WHERE least(abs(value - stated), abs(value / 100 - stated), abs(value - 1 - stated), abs(value * 100 - stated)) >= 1e-9""",
+)
 def t23(spark: SparkSession, d: str) -> DataFrame:
     return sweeps.stated_defaults(_prose(spark), fixture(spark, "name string, value string", SETTINGS))
 
@@ -41,7 +49,7 @@ def t24(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "t25_realization_names",
     f"""WITH {values('p', 'path, line, text', PROSE)}, {values('k', 'module, realization', KNOWN)}, m AS (SELECT lower(substr(module, instr(module, '_') + 1)) AS module, realization FROM k),
-    s AS (SELECT path, line, lower(regexp_extract(text, '\\b([A-Za-z]\\w*)\\s*=\\s*["'']?([A-Za-z]\\w*)', 1)) AS module, regexp_extract(text, '\\b([A-Za-z]\\w*)\\s*=\\s*["'']?([A-Za-z]\\w*)', 2) AS realization FROM p)
+    s AS (SELECT path, line, lower(unnest(regexp_extract_all(text, '\\b([A-Za-z]\\w*)\\s*=\\s*["'']?([A-Za-z]\\w*)', 1))) AS module, unnest(regexp_extract_all(text, '\\b([A-Za-z]\\w*)\\s*=\\s*["'']?([A-Za-z]\\w*)', 2)) AS realization FROM p)
     SELECT * FROM s WHERE module IN (SELECT module FROM m) AND (module, realization) NOT IN (SELECT module, realization FROM m)""",
 )
 def t25(spark: SparkSession, d: str) -> DataFrame:

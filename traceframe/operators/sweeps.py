@@ -120,10 +120,16 @@ def weak_components(edges: DataFrame) -> DataFrame:
     return connected_components(edges)
 
 
+def _matches(prose: DataFrame, pattern: str) -> DataFrame:
+    """path, line and m (first and second group) of every match of a pattern with two groups, not only of a line's first."""
+    groups = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(pattern), F.lit(i)).alias(name) for i, name in ((1, "first"), (2, "second"))])
+    return prose.select("path", "line", F.explode(groups).alias("m"))
+
+
 def stated_defaults(prose: DataFrame, settings: DataFrame) -> DataFrame:
     """path, line, name, stated and value where prose (path, line, text) states another default than is set (name, value)."""
     pattern = r"(?i)\b([a-z]\w*_\w+)\b[^.;]{0,40}?\bdefault(?:s to| is|:| =|)\s*[:=]?\s*([\w.%+-]+)"
-    said = prose.select("path", "line", F.lower(F.regexp_extract("text", pattern, 1)).alias("name"), normal_value(F.regexp_extract("text", pattern, 2)).alias("stated")).filter("name <> ''")
+    said = _matches(prose, pattern).select("path", "line", F.lower("m.first").alias("name"), normal_value(F.col("m.second")).alias("stated"))
     held = settings.select(F.lower("name").alias("name"), normal_value(F.col("value")).alias("value"))
     return said.join(held, "name").filter(~same_value(F.col("stated"), F.col("value")))
 
@@ -139,7 +145,7 @@ def lost_pointers(prose: DataFrame, files: DataFrame) -> DataFrame:
 def unknown_realizations(prose: DataFrame, known: DataFrame) -> DataFrame:
     """path, line, module and realization where prose sets a module to a realization that it has not (known: module, realization)."""
     pattern = r"\b([A-Za-z]\w*)\s*=\s*[\"']?([A-Za-z]\w*)"
-    said = prose.select("path", "line", F.lower(F.regexp_extract("text", pattern, 1)).alias("module"), F.regexp_extract("text", pattern, 2).alias("realization"))
+    said = _matches(prose, pattern).select("path", "line", F.lower("m.first").alias("module"), F.col("m.second").alias("realization"))
     modules = known.select(F.lower(F.regexp_replace("module", "^[^_]*_", "")).alias("module"), "realization")
     own = said.join(modules.select("module").distinct(), "module", "left_semi")
     return own.join(modules, ["module", "realization"], "left_anti").select("path", "line", "module", "realization")
