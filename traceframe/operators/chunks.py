@@ -18,7 +18,7 @@ from traceframe.functions import lines as L
 from traceframe.functions.scans import running
 from traceframe.functions.text import path_part
 from traceframe.operators import source as S
-from traceframe.operators.packing import common_conditions
+from traceframe.operators.packing import chunk_starts, common_conditions
 from traceframe.plans.scratch import materialize
 
 #: Characters of a chunk that others are packed to, and at most, by kind; the default comes last.
@@ -68,13 +68,7 @@ def part_starts(items: Column, cap: Column) -> Column:
 
 def packed_starts(sizes: Column, target: Column, cap: Column) -> Column:
     """Places (from 0) of the parts that begin a chunk."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-
-    def step(a: Column, size: Column) -> Column:
-        joins = (a["at"] > 0) & (a["used"] < target) & (a["used"] + size <= cap)
-        return F.struct(F.when(joins, a["used"] + size).otherwise(size).alias("used"), (a["at"] + 1).alias("at"), F.when(joins, a["starts"]).otherwise(F.concat(a["starts"], F.array(a["at"]))).alias("starts"))
-
-    return F.aggregate(sizes, zero, step)["starts"]
+    return chunk_starts(sizes, lambda used, size: (used < target) & (used + size <= cap))
 
 
 def cut_units(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,32 +24,42 @@ def sized_segments(rows: DataFrame, key: str, cut: Column) -> DataFrame:
     return rows.withColumn("k", number).groupBy(key, "k").agg(F.min("n").alias("s"), F.max("n").alias("e"), F.sum(F.length("line") + 1).alias("size"))
 
 
-def _fold(items: Column, fits: object) -> Column:
-    """Chunk number of each item (an array of sizes), by one fold; ``fits(used, size)`` says whether it still goes in."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("chunk"), F.array().cast("array<bigint>").alias("all"))
+def chunk_starts(sizes: Column, fits: Callable[[Column, Column], Column]) -> Column:
+    """Places (from 0) of the items that begin a chunk, by one fold; ``fits(used, size)`` says whether an item still goes in.
+
+    The array grows with the chunks, not with the items.
+    """
+    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
 
     def step(a: Column, size: Column) -> Column:
-        goes = (a["chunk"] > 0) & fits(a["used"], size)
-        chunk = F.when(goes, a["chunk"]).otherwise(a["chunk"] + 1)
-        return F.struct(F.when(goes, a["used"] + size).otherwise(size).alias("used"), chunk.alias("chunk"), F.concat(a["all"], F.array(chunk)).alias("all"))
+        goes = (a["at"] > 0) & fits(a["used"], size)
+        starts = F.when(goes, a["starts"]).otherwise(F.concat(a["starts"], F.array(a["at"])))
+        return F.struct(F.when(goes, a["used"] + size).otherwise(size).alias("used"), (a["at"] + 1).alias("at"), starts.alias("starts"))
+
+    return F.aggregate(sizes, zero, step)["starts"]
+
 
-    return F.aggregate(items, zero, step)["all"]
+def _laid_out(held: DataFrame, key: str, fits: Callable[[Column, Column], Column]) -> DataFrame:
+    """key, chunk (from 1) and the items of each chunk, from the ordered ``items`` (with size) of each key."""
+    cut = held.withColumn("starts", chunk_starts(F.transform("items", lambda x: x["size"]), fits))
+    bounds = F.transform("starts", lambda s, i: F.struct((i + 1).cast("bigint").alias("chunk"), s.alias("s"), F.coalesce(F.get("starts", i + 1), F.size("items")).alias("e")))
+    each = cut.select(key, "items", F.explode(bounds).alias("b"))
+    return each.select(key, "b.chunk", F.slice("items", F.col("b.s") + 1, F.col("b.e") - F.col("b.s")).alias("items"))
 
 
 def greedy(rows: DataFrame, key: str, size: str, cap: int) -> DataFrame:
     """Lines to chunks of at most ``cap`` (a longer line is a chunk of its own): key, chunk, line_start, line_end."""
     held = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", F.col(size).cast("bigint").alias("size")))).alias("items"))
-    chunk = _fold(F.transform("items", lambda x: x["size"]), lambda used, s: used + s <= cap)
-    flat = held.select(key, F.explode(F.arrays_zip("items", chunk.alias("chunk"))).alias("x")).select(key, "x.items.n", "x.chunk")
-    return flat.groupBy(key, "chunk").agg(F.min("n").alias("line_start"), F.max("n").alias("line_end"))
+    cut = _laid_out(held, key, lambda used, s: used + s <= cap)
+    return cut.select(key, "chunk", F.get("items", 0)["n"].alias("line_start"), F.element_at("items", -1)["n"].alias("line_end"))
 
 
 def pack_segments(parts: DataFrame, key: str, target: int, cap: int) -> DataFrame:
     """A segment joins the chunk before while that is under the target and both fit the cap."""
     held = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("k", "s", "e", F.col("size").cast("bigint").alias("size")))).alias("items"))
-    chunk = _fold(F.transform("items", lambda x: x["size"]), lambda used, s: (used < target) & (used + s <= cap))
-    flat = held.select(key, F.explode(F.arrays_zip("items", chunk.alias("chunk"))).alias("x")).select(key, "x.items.*", "x.chunk")
-    return flat.groupBy(key, "chunk").agg(F.min("s").alias("line_start"), F.max("e").alias("line_end"), F.sum("size").alias("size"))
+    cut = _laid_out(held, key, lambda used, s: (used < target) & (used + s <= cap))
+    total = F.aggregate("items", F.lit(0).cast("bigint"), lambda a, x: a + x["size"])
+    return cut.select(key, "chunk", F.get("items", 0)["s"].alias("line_start"), F.element_at("items", -1)["e"].alias("line_end"), total.alias("size"))
 
 
 def trim_edges(rows: DataFrame, key: str, chunk: str) -> DataFrame:
