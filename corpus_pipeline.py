@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from traceframe.llm import decontamination, line_dedup, near_dedup, packing, quality
 from traceframe.llm.tokens import public_path
-from traceframe.plans.scratch import materialize
+from traceframe.plans.scratch import materialize, scratch_path, scratch_scope
 from traceframe.plans.sizing import bounded_broadcast
 
 #: Near duplicates share this much of their 5-word shingles, in hundredths.
@@ -64,8 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from ``documents`` to sequences."""
+    """All stages, from ``documents`` to sequences; what a stage wrote on its way is deleted when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        path = scratch_path(spark, name.replace(" ", "_"))
+        with scratch_scope(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name, path)
     return STAGES[-1][1](spark, docs, sf_dir)
