@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceframe.llm.memory import give_back
-from traceframe.llm.tokens import CACHE_ENTRIES, encoder, public_path
+from traceframe.llm.tokens import CACHE_ENTRIES, encoder, public_path, tokenizer_kind
 
 MAX_LENGTH, END_ID = 2048, 1
 #: Words that a worker remembers if it is to stay small.
@@ -62,10 +62,10 @@ def pack(
         [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
          ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("bucket", pa.int32())]
     )
-    end = end_id.to_bytes(4, "little")
+    end, kind = end_id.to_bytes(4, "little"), tokenizer_kind(tokenizer)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, sequence = encoder(tokenizer), TaskContext.get().partitionId() << 33
+        enc, sequence = encoder(tokenizer, kind), TaskContext.get().partitionId() << 33
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo in range(0, len(ids), 512):

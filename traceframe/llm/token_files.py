@@ -59,8 +59,10 @@ def _sampled(docs: DataFrame) -> DataFrame:
 def train_dictionary(docs: DataFrame, tokenizer: str, width: int, end: bytes) -> bytes:
     """Dictionary trained on the sample; empty if the sample is too small to train on."""
 
+    kind = encoder(tokenizer).kind
+
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, kind)
         for batch in batches:
             found = [_narrow(x + end, width)[:SAMPLE_BYTES] for x in enc.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["data"])
@@ -84,12 +86,13 @@ def write_tokens(
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     width = 2 if max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     end = end_id.to_bytes(4, "little")
+    kind = encoder(tokenizer).kind
     data = train_dictionary(own, tokenizer, width, end)
     dict_hash = hashlib.sha256(data).hexdigest()
     spark.createDataFrame([(dict_hash, bytearray(data), width)], "dict_hash string, data binary, width int").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer = encoder(tokenizer), zstandard.ZstdCompressor(level=LEVEL, dict_data=_zdict(data))
+        enc, packer = encoder(tokenizer, kind), zstandard.ZstdCompressor(level=LEVEL, dict_data=_zdict(data))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for lo in range(0, len(ids), 512):

@@ -81,7 +81,7 @@ class _Pieces(dict):
 
 
 class TextEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -89,7 +89,7 @@ class TextEncoder:
         self.model = self.tokenizer.model
         letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.alphabet = {c: letters.pre_tokenize_str(chr(c))[0][0] for c in (0x20, *range(0x80, 0x100))}
-        self.kind = tokenizer_kind(path)
+        self.kind = kind or tokenizer_kind(path)
         fold = self.kind == "dropped"
         self.first, self.rest = _Pieces(self._ids, self._word, "", fold), _Pieces(self._ids, self._word, " ", False)
         self.newline = self._ids("\n")
@@ -127,10 +127,10 @@ class TextEncoder:
         return self.newline.join([first[x[0]] + b"".join(map(rest, x[1:])) for x in lines])
 
 
-def encoder(path: str) -> TextEncoder:
-    """One encoder for each file and worker process."""
+def encoder(path: str, kind: str | None = None) -> TextEncoder:
+    """One encoder for each file and worker process; with the ``kind`` given, a worker does not read the file for it, which takes memory."""
     if path not in _open:
-        _open[path] = TextEncoder(path)
+        _open[path] = TextEncoder(path, kind)
     return _open[path]
 
 
