@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["ann", "decontamination", "fill_middle", "language", "line_dedup", "near_dedup", "packing", "quality", "secrets", "token_files", "warc", "whitening"]
+MODULES = ["ann", "best_fit", "decontamination", "fill_middle", "language", "line_dedup", "near_dedup", "packing", "quality", "secrets", "token_files", "warc", "whitening"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
