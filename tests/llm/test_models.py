@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -145,3 +146,43 @@ def test_one_grade_only(docs):
     assert {r.p_top for r in quality.rate(docs([(1, "a b"), (2, None)]), model).collect()} == {1.0}
     graded = docs([(i, "x") for i in range(5)]).select("doc_id", F.lit(1).alias("grade"))
     assert quality.select(docs([(i, "words of a text") for i in range(5)]), quality.train(docs([(i, "x y") for i in range(5)]), graded)).count() == 5
+
+
+def _features(text):
+    """The features by their definition, one word and one share at a time."""
+    words = (text or "").split()
+    found = {f"w:{re.sub(r'^[^a-zA-Z0-9À-ɏ]+|[^a-zA-Z0-9À-ɏ]+$', '', w).lower()}" for w in words}
+    counts = {"again": sum(a == b for a, b in zip(words, words[1:]))}
+    for w in words:
+        shape = ""
+        for part in re.findall(r"[^\W\d_]+|\d+|.", w):
+            letters = part[0].isalpha()
+            one = ("A" if len(part) > 1 and part.isupper() else "a") if letters else "0" if part[0].isdigit() else part
+            shape += "" if shape.endswith(one) and not letters and one != "0" and one != "_" else one
+        counts["s" + shape] = counts.get("s" + shape, 0) + 1
+        if any(not (c.isalnum() or c in "_.,;:!?'\"()/-") for c in shape):
+            counts["odd"] = counts.get("odd", 0) + 1
+    for what, n in counts.items():
+        found |= {f"s:{what}/{k}" for k in range(7) if n and n * 2**k >= max(len(words), 12)}
+    return sorted({zlib.crc32(f.encode()) % quality.BUCKETS for f in found}) if words else []
+
+
+def test_features_by_their_definition():
+    texts = ("", None, "Hello, world! the the", "A1-b2 ... $$$ IBM x@y.z", "(a)(b)(c)(d)(e)(f)(g)", "(a)(b)(c)(d)(e)(f)(!)", "mot été 12,5 % déjà-vu", "one " * 200 + "T0p")
+    for t in texts:
+        assert quality.features(t).tolist() == _features(t), t
+    assert quality.features("(a)(b)(c)(d)(e)(f)(g)").tolist() != quality.features("(a)(b)(c)(d)(e)(f)(!)").tolist()  # alike for eight signs
+
+
+def test_rows_of_the_query_against_the_definition(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    graded = quality.grades(spark.read.parquet(f"{SF}/labels.parquet")).filter(~quality.held_out())
+    model = quality.train(docs, graded)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    got = quality.op9_quality(spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        score = sum(model.weights[b] for b in quality.features(texts[r.doc_id]))
+        tails = [1 - 1 / (1 + np.exp(-(t - score))) for t in model.thresholds]
+        assert r.expected_grade == pytest.approx(sum(tails), abs=1e-9) and r.p_top == pytest.approx(tails[-1], abs=1e-9)
+        assert r.selected == (r.p_top >= quality.MIN_TAIL) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)

@@ -6,6 +6,7 @@ it, in steps of halves.  One weight vector is shared by all grades and ordered t
 cut the latent score: P(grade <= k) = sigmoid(threshold_k - w.x).  Features that do not
 go with the grade in the sample (a z-score) get no weight, so long texts do not drift.
 
+A shape is that of the whole word, and every feature that passes the screen has a weight.
 The model is fitted on a bounded sample of labelled rows; everything else covers all rows.
 
 Defined results: a null text or one without words has no feature and is rated by the
@@ -32,7 +33,7 @@ from traceframe.llm.memory import give_back
 
 #: Labelled rows to learn from (about; at most twice as many), chosen by a hash of the id.
 SAMPLE_ROWS = 8_000
-BUCKETS, MIN_ROWS, MIN_Z, MAX_FEATURES = 1 << 18, 4, 3.5, 4_000
+BUCKETS, MIN_ROWS, MIN_Z = 1 << 18, 4, 3.5
 #: Selected are texts whose probability of the highest grade is at least this.
 MIN_TAIL = 0.5
 STEPS, RATE, RIDGE = 400, 0.3, 0.05
@@ -56,7 +57,7 @@ def _word(word: str) -> tuple[int, str]:
         shape = word
         for pattern, to in _SHAPES:
             shape = pattern.sub(to, shape)
-        found = _memo[word] = (_bucket("w", _EDGE.sub("", word).lower()), shape[:8])
+        found = _memo[word] = (_bucket("w", _EDGE.sub("", word).lower()), shape)
     return found
 
 
@@ -108,7 +109,6 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
         with np.errstate(invalid="ignore", divide="ignore"):
             z = np.maximum(z, np.nan_to_num(np.abs(seen - n * p) / np.sqrt(n * p * (1 - p))))
     kept = np.flatnonzero((n >= MIN_ROWS) & (z >= MIN_Z))
-    kept = np.sort(kept[np.argsort(-z[kept], kind="stable")][:MAX_FEATURES])
     place = np.full(BUCKETS, -1)
     place[kept] = np.arange(len(kept))
     use = place[flat] >= 0
