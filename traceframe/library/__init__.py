@@ -4,6 +4,7 @@ from traceframe.library import (  # noqa: F401
     aggregates,
     conditions,
     evaluation,
+    indexed,
     joins,
     lexical,
     projections,

@@ -169,3 +169,38 @@ def named_scenarios(texts: DataFrame, scenarios: DataFrame, by: list[str], main:
     found = words.join(first, "word").select(*by, "s.name", "s.path", "s.line")
     longest = Window.partitionBy(*by).orderBy(F.desc(F.length("name")), "name")
     return found.withColumn("place", F.row_number().over(longest).cast("bigint")).filter(F.col("place") <= most)
+
+
+def hashed_vectors(docs: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
+    """key and vector: tokens counted in ``dims`` places, with a sign, both from the MD5 of the token; rows without a token have none.
+
+    A stand-in for an embedding model where none is at hand; the same text has the same vector everywhere.
+    """
+    digit = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5("token"), i, 1)) - 1
+    told = docs.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    placed = told.select(key, F.pmod(digit(1) * 16 + digit(2), F.lit(dims)).alias("place"), (F.when(digit(3) >= 8, 1).otherwise(-1) * F.col("n")).alias("n"))
+    held = placed.groupBy(key, "place").agg(F.sum("n").alias("n")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("held"))
+    return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0)).cast("double")).alias("vector"))
+
+
+def holding(docs: DataFrame, key: str, passages: DataFrame, by: str, text: str, words: int) -> DataFrame:
+    """``by`` and key of the rows whose tokens hold a passage's first ``words`` tokens in one stretch; shorter passages are in none.
+
+    Stretches meet by their hash and are compared afterwards, so no row is compared with every passage.
+    """
+    joined = lambda t: F.array_join(t, " ")
+    asked = passages.select(by, F.slice(tokens(F.col(text)), 1, words).alias("t")).filter(F.size("t") == words).select(by, joined("t").alias("stretch"))
+    asked = asked.withColumn("hash", F.xxhash64("stretch"))
+    own = docs.select(key, tokens(F.col(text)).alias("t")).filter(F.size("t") >= words)
+    places = F.sequence(F.lit(1), F.size("t") - (words - 1))
+    hashes = own.select(key, F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(joined(F.slice("t", i, words)))))).alias("hash"))
+    met = hashes.join(asked, "hash").select(by, key, "stretch")
+    whole = own.join(met, key).filter(F.contains(F.concat(F.lit(" "), joined("t"), F.lit(" ")), F.concat(F.lit(" "), F.col("stretch"), F.lit(" "))))
+    return whole.select(by, key).distinct()
+
+
+def ranked_by_mode(keyword: DataFrame, vector: DataFrame, by: str, key: str) -> DataFrame:
+    """mode, ``by``, key and rank: both rankings (``by``, key, rank) by themselves, and fused as a hybrid search does."""
+    fused = fuse([(keyword, 0.5), (vector, 1.0)], [by], key)
+    parts = [df.select(F.lit(mode).alias("mode"), by, key, "rank") for mode, df in (("bm25", keyword), ("vector", vector), ("hybrid", fused))]
+    return reduce(DataFrame.unionByName, parts)
