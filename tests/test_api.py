@@ -105,3 +105,12 @@ def test_increments(spark, tmp_path):
     assert [r.key for r in spark.read.parquet(out).collect()] == ["b"]
     events = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'a' AS k UNION ALL SELECT timestamp'2024-01-01 00:50:00', 'a'")
     assert windowed_counts(events, "ts", "k").first().n == 2
+
+
+def test_reach_has_every_condition(engine, spark, monkeypatch):
+    from traceframe import api
+
+    monkeypatch.setattr(api, "PAGE", 2)
+    texts = [f"cm_x eq {i}" for i in range(5)] + ['"%cm_y%" == "on"', "cm_x eq 2"]
+    found = {r.name: (r.holds, r.undecided, r.configs) for r in engine.reach(spark.createDataFrame([(t,) for t in [*texts, None]], "text string")).collect()}
+    assert set(found) == set(texts) and found["cm_x eq 2"] == (2, 0, 2) and found["cm_x eq 4"] == (0, 0, 2)

@@ -190,3 +190,36 @@ def test_where_used(state, spark):
         (4, "k_s", "read"), (5, "k_a", "assigned"), (8, "e_a", "declared"), (8, "k_b", "declared"),
     ]
     assert {(r.line, tuple(r.guards)) for r in used if r.guards} == {(5, ("k_s eq 1",))} and {r.context for r in used if r.line == 3} == {"e_a"}
+
+
+def test_heads_and_left_sides_of_any_depth(spark):
+    deep = lambda n, inner: "(" * n + inner + ")" * n
+    text = "\n".join([f"q_deep{deep(9, 't')}$({deep(12, 'a')}) .. x =e= 1;", f"v_deep.fx{deep(11, 'i')}$(b[c(d)]) = {deep(8, '1')};", "q_flat(t) .. x =e= (1;"])
+    state = S.line_state(spark.createDataFrame([("modules/01_a/b/x.gms", text)], "path string, text string"))
+    assert [r.equation for r in S.equations(state).orderBy("s").collect()] == ["q_deep", "q_flat"]
+    assert state.filter("n = 2").first().assigned == ["v_deep"]
+
+
+def test_parts_of_an_entry(spark):
+    rows = {
+        " p_a(t,all(r)) 'a (b) c' / 1 /": ("p_a", "t,all(r)", "a (b) c"), "p_b": ("p_b", "", ""), 'p_c "it\'s"; x': ("p_c", "", "it's"), "p_d unquoted text / 2": ("p_d", "", "unquoted text"),
+        "p_e(((x)),y) z": ("p_e", "((x)),y", "z"), "p_f (t)  'x": ("p_f", "t", ""), "9x y": ("", "", "9x y"), "": ("", "", ""),
+    }
+    df = spark.createDataFrame([(k,) for k in rows], "piece string").select("piece", S.entry_parts(F.col("piece")).alias("e"))
+    assert {r.piece: tuple(r.e) for r in df.collect()} == rows
+
+
+def test_what_comments_and_functions_name(spark):
+    from traceframe.operators import chunks as C
+
+    rows = {
+        "*' cm_flag: text": "cm_flag", "** c_x": "c_x", "*c12_Abc more": "c12_abc", "* cm_": "", "* cmx_a": "", "*' c1_a": "", "cm_a = 1;": "", "* see cm_a": "", "*'  c_a-b": "c_a", "": "",
+    }
+    df = spark.createDataFrame([(k,) for k in rows], "line string")
+    assert {r.line: r.s for r in df.select("line", C.described_switch(F.col("line")).alias("s")).collect()} == rows
+    named = {"f <- function(x) 1": "f", "  a.b =function (y)": "a.b", "f <- functional(x)": "", "x[1] <- function(y)": "", "plain": "", "<- function(x)": "", "y = 3": ""}
+    df = spark.createDataFrame([(k,) for k in named], "line string")
+    assert {r.line: r.s for r in df.select("line", C.r_function(F.col("line")).alias("s")).collect()} == named
+    lines = {"*** | (C) x": True, "*** SOF file": True, "*** SOFT": False, "*** text": False}
+    df = spark.createDataFrame([(k,) for k in lines], "line string")
+    assert {r.line: r.s for r in df.select("line", C.is_license(F.col("line")).alias("s")).collect()} == lines

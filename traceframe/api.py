@@ -6,6 +6,7 @@ Views are DataFrames; texts for people are made from them at the end.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from traceframe.sources import readers, snapshot
 
 Embedder = Callable[[DataFrame], DataFrame]
 REFERENCES = 10
+#: Conditions that are counted in one pass over the configurations.
+PAGE = 200
 
 
 class NotFound(LookupError):
@@ -149,11 +152,12 @@ class Engine:
         return not snapshot.tables(self.spark, self.path).filter(F.col("table") == table).isEmpty()
 
     def reach(self, texts: DataFrame) -> DataFrame:
-        """name (the condition), holds, undecided and configs over all scenario rows, for a table of few condition texts."""
-        asked = [r.text for r in texts.select("text").distinct().limit(search.MAX_TERMS).collect()]
+        """name (the condition), holds, undecided and configs over all scenario rows; the texts are compiled in pages, each one pass over the rows."""
+        asked = sorted(r.text for r in texts.select("text").filter("text is not null").distinct().toLocalIterator())
         base = self._settings(None)
         rows = self.table("scenarios").select(settings.override(base, settings.normal_cells(F.col("cells"))).alias("s"))
-        return K.reach(rows, "s", {t: t for t in asked}) if asked else self.spark.createDataFrame([], "name string, holds bigint, undecided bigint, configs bigint")
+        pages = [K.reach(rows, "s", {t: t for t in asked[i : i + PAGE]}) for i in range(0, len(asked), PAGE)]
+        return reduce(DataFrame.unionByName, pages) if pages else self.spark.createDataFrame([], "name string, holds bigint, undecided bigint, configs bigint")
 
     def named_scenarios(self, query: str, main: str = "config/scenarios.csv") -> DataFrame:
         """Scenarios that a query names, the longest names first, three at most."""

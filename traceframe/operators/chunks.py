@@ -27,10 +27,11 @@ CAPS, CAP = {"equation": 12_000}, 2_500
 #: Names that a declaration's chunk is called by, at most.
 NAMES = 12
 DOCS = {"module.gms": "module_doc", "realization.gms": "realization_doc"}
-LICENSE = r"^\*{3} (?:\||(?:SOF|EOF) )"
-R_FUNCTION, R_SECTION = r"^\s*([\w.]+)\s*(?:<-|=)\s*function\b", r"^#+\s.*(?:-{3,}|={3,}|#{3,})\s*$"
+R_SECTION = r"^#+\s.*(?:-{3,}|={3,}|#{3,})\s*$"
+# How license lines begin, the prefixes of switches, and the rule that parts their descriptions.
+LICENSE = ("*** |", "*** SOF ", "*** EOF ")
+SWITCH_PREFIXES, RULE = ("c", "cm"), "-----"
 HEADING, FENCE = r"^(#{1,4})\s+(.*?)\s*$", r"^\s*```"
-SWITCH_DOC = r"^\*+'?\s*((?:c_|cm_|c\d\d_)\w+)|^\*'?-{5,}"
 
 
 def _in_file(*more: str) -> Window:
@@ -45,6 +46,34 @@ def _by_kind(values: dict[str, int], default: int) -> Column:
     return reduce(lambda done, kv: F.when(F.col("kind") == kv[0], kv[1]).otherwise(done), values.items(), F.lit(default))
 
 
+def is_license(line: Column) -> Column:
+    return reduce(lambda a, b: a | b, [line.startswith(x) for x in LICENSE])
+
+
+def described_switch(line: Column) -> Column:
+    """The switch that a comment begins with, in lower case; empty if it begins with none.
+
+    A switch is called after one of the prefixes, or after c and the two digits of a module.
+    """
+    word = F.regexp_extract(F.ltrim(F.regexp_replace(line, r"^\*+'?", "")), r"^\w+", 0)
+    prefix, more = F.substring_index(word, "_", 1), F.length(word) > F.length(F.substring_index(word, "_", 1)) + 1
+    of_module = (F.length(prefix) == 3) & prefix.startswith("c") & F.substring(prefix, 2, 2).rlike(r"^\d+$")
+    return F.when(line.startswith("*") & more & (prefix.isin(*SWITCH_PREFIXES) | of_module), F.lower(word)).otherwise("")
+
+
+def is_rule(line: Column) -> Column:
+    """A comment that is a rule, by itself or after the mark of documentation."""
+    return line.startswith("*" + RULE) | line.startswith("*'" + RULE)
+
+
+def r_function(line: Column) -> Column:
+    """The name that a line assigns a function to; empty if it assigns none."""
+    sides = F.split(line, "<-|=", 2)
+    name, value = F.trim(F.get(sides, 0)), F.coalesce(F.ltrim(F.get(sides, 1)), F.lit(""))
+    is_name = (name != "") & (F.regexp_replace(name, r"[\w.]", "") == "")
+    return F.when(is_name & value.rlike(r"^function\b"), name).otherwise("")
+
+
 def part_starts(items: Column, cap: Column) -> Column:
     """Places (from 0) where a part begins, for items with size, blank and cut: at cuts, and where the cap takes it."""
     zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("behind"), F.lit(False).alias("blank"), F.lit(0).alias("at"), F.lit(0).alias("place"), F.array(F.lit(0)).alias("starts"))
@@ -91,15 +120,15 @@ def cut_units(rows: DataFrame) -> DataFrame:
 def _source_units(state: DataFrame, main: str) -> DataFrame:
     """Lines of source files with their kind, unit, name and cuts."""
     file = F.substring_index("path", "/", -1)
-    rows = state.filter("gms").withColumn("line", F.when(F.col("line").rlike(LICENSE), "").otherwise(F.col("line")))
+    rows = state.filter("gms").withColumn("line", F.when(is_license(F.col("line")), "").otherwise(F.col("line")))
     anchors = S.switches(rows, main).select("path", F.col("line").alias("n"), F.col("name").alias("switch"))
     rows = rows.join(anchors, ["path", "n"], "left")
     # A switch has the lines before it, and the comments behind it that speak of no other.
     last = F.last("switch", ignorenulls=True).over(_upto(_in_file()))
     anchor = F.count("switch").over(_upto(_in_file()))
     rows = rows.withColumn("last", last).withColumn("anchor", anchor)
-    about = F.lower(F.regexp_extract("line", SWITCH_DOC, 1))
-    other = F.col("line").rlike(SWITCH_DOC) & (about != F.lower("last"))
+    about = described_switch(F.col("line"))
+    other = ((about != "") | is_rule(F.col("line"))) & (about != F.lower("last"))
     breaks = F.col("switch").isNull() & ((~F.col("comment") & (F.trim("line") != "")) | (F.col("comment") & other) | F.col("last").isNull())
     rows = rows.withColumn("broken", F.max(breaks).over(_upto(_in_file("anchor"))))
     assigned = F.max(F.when(F.col("switch").isNotNull(), ~F.col("directive"))).over(Window.partitionBy("path", "anchor"))
@@ -135,7 +164,7 @@ def _source_units(state: DataFrame, main: str) -> DataFrame:
 def _r_units(lines: DataFrame) -> DataFrame:
     """A file is one unit; parts begin at functions and section headers, with the comments above, and after blank lines."""
     comment = F.ltrim("line").startswith("#")
-    head = F.col("line").rlike(R_FUNCTION) | F.col("line").rlike(R_SECTION)
+    head = (r_function(F.col("line")) != "") | F.col("line").rlike(R_SECTION)
     # The comments above a head: what comes next that is no comment, or is a head itself.
     stop = F.min(F.when(~comment | head, F.col("n"))).over(_in_file().rowsBetween(0, Window.unboundedFollowing))
     marked = lines.withColumn("head", head).withColumn("stop", stop)
@@ -175,7 +204,7 @@ def file_chunks(files: DataFrame, state: DataFrame | None = None, main: str = "m
     inside = found.filter("lower(path) like '%.gms'").select("path", "kind", "line_start", "line_end").join(code, "path").filter("n between line_start and line_end")
     shared = common_conditions(inside.select(F.struct("path", "kind", "line_start").alias("chunk"), "n", "around"), "chunk", "n", "around").select("chunk.*", F.col("common").alias("conditions"))
     keys = ["path", "kind", "line_start"]
-    functions = F.array_join(F.regexp_extract_all("text", F.lit("(?m)" + R_FUNCTION), F.lit(1)), ", ")
+    functions = F.array_join(F.filter(F.transform(F.split("text", "\n"), r_function), lambda f: f != ""), ", ")
     name = F.when(F.col("kind") == "declaration", F.coalesce("listed", F.lit(""))).when(F.col("kind") == "r_code", functions).otherwise(F.col("name"))
     return found.join(listed, keys, "left").join(shared, keys, "left").select(
         "path", "kind", name.alias("name"), "line_start", "line_end", "text", F.coalesce("conditions", F.array().cast("array<string>")).alias("conditions"),

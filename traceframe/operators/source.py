@@ -24,10 +24,13 @@ from traceframe.plans.scratch import materialize
 # The directives, comparisons and declaring words of the language.
 DIRECTIVE = r"(?i)^\s*\$\$?(ifthen|elseif|else|endif|if)[ei]?(?:\.\w+)?(?:\s+(.*))?$"
 _STRING, _COMPARISON = r"\"[^\"]*\"|'[^']*'", r"(?:==|<>|<=|>=|=|<|>|\b(?:eq|ne|lt|le|gt|ge)\b)"
-_ONE_TEST = rf"(?:not\s+)?(?:(?:setglobal|setlocal|setenv|set|exist|dexist|declared|defined)\s+(?:{_STRING}|\S+)|(?:{_STRING}|%[^%\s]*%|[^\s\"'%=<>]+)\s*{_COMPARISON}\s*(?:{_STRING}|\S+))"
+QUESTIONS = ("exist", "dexist", "set", "setglobal", "setlocal", "setenv", "declared", "defined")
+_ANSWER = rf"(?:{_STRING}|\S+)"
+_ASKED = rf"(?:{'|'.join(QUESTIONS)})\s+{_ANSWER}"
+_COMPARED = rf"(?:{_STRING}|%[^%\s]*%|[^\s\"'%=<>]+)\s*{_COMPARISON}\s*{_ANSWER}"
+_ONE_TEST = rf"(?:not\s+)?(?:{_ASKED}|{_COMPARED})"
 TEST = rf"(?i)^\s*({_ONE_TEST}(?:\s+(?:and|or)\s+{_ONE_TEST})*)\s*(.*)$"
 DECLARATION = r"(?i)^\s*((?:(?:positive|negative|binary|integer|free|nonnegative)\s+)?(?:parameter|scalar|set|variable|equation|table|acronym)s?|alias)(?=[\s\"'(]|$)(.*)$"
-ENTRY = rf"^\s*([A-Za-z]\w*)\s*(\((?:[^()]|\([^()]*\))*\))?\s*({_STRING}|[^/;\"']*)"
 LOAD = r"(?i)\b(?:execute_load\w*|loaddc)\b|\$(?:load\w*|gdxin)\b"
 _GAP = r"[\s\x05]*"  # a line's end is marked, so that no left side begins behind it
 LEFT_SIDE = rf"(?i)(?:^|[;,])\s*([a-z_]\w*){_GAP}(?:\.(?:fx|lo|up|l|m|scale|prior)\b{_GAP})?(?:\${_GAP}[\w.]*{_GAP})*=(?!=)(?![a-z]=)"
@@ -41,7 +44,7 @@ ABORT_RUN = rf"(?i)\babort\b(?:\s*\$\s*(\((?:[^()]|\([^()]*\))*\)|[\w.%]+))?\s*(
 BRACKET = r"(?i)(?<![\w%.])(?:if\s*\(|elseif\b|else\b)|[(),\[\]]"
 
 #: Lines that a statement is followed over to find its left side, and over which a message is looked for.
-JOINED, MESSAGE, NESTED = 10, 4, 6
+JOINED, MESSAGE = 10, 4
 _LINE, _END = 1 << 20, (1 << 62)  # places within a file: line number times _LINE, plus the place in the line
 
 
@@ -74,6 +77,33 @@ def split_test(rest: Column) -> Column:
     return F.when(test == "", F.struct(F.trim(rest).alias("test"), F.lit("").alias("code"))).otherwise(F.struct(test.alias("test"), F.regexp_extract(rest, TEST, 2).alias("code")))
 
 
+def without_groups(text: Column) -> Column:
+    """The text without its bracket groups, however deep; each round takes the innermost ones, and there are no more rounds than brackets that open."""
+    rounds = F.size(F.regexp_extract_all(text, F.lit(r"[(\[]"), F.lit(0)))
+    inner = lambda t, _: F.regexp_replace(t, r"\([^()]*\)|\[[^\[\]]*\]", "")
+    return F.when(rounds > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), text, inner)).otherwise(text)
+
+
+def entry_parts(piece: Column) -> Column:
+    """name, domain and description of an entry: an identifier, a bracket group right behind it, and a quoted text or what stands before the data."""
+    bare = F.ltrim(piece)
+    name = F.regexp_extract(bare, r"^[A-Za-z]\w*", 0)
+    after = F.ltrim(F.substr(bare, F.length(name) + 1))
+    state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
+
+    def step(a: Column, c: Column) -> Column:
+        closed = (c == ")") & (a["depth"] == 1) & (a["end"] == 0)
+        return F.struct((a["at"] + 1).alias("at"), (a["depth"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("depth"), F.when(closed, a["at"] + 1).otherwise(a["end"]).alias("end"))
+
+    end = F.when(after.startswith("("), F.aggregate(F.split(after, ""), state, step)["end"]).otherwise(0)
+    rest = F.ltrim(F.substr(after, end + 1))
+    quote = F.substring(rest, 1, 1)
+    quoted = quote.isin("'", '"') & (F.locate("'", rest, 2) * (quote == "'").cast("int") + F.locate('"', rest, 2) * (quote == '"').cast("int") > 0)
+    told = F.when(quoted, F.when(quote == "'", F.substring_index(F.substr(rest, F.lit(2)), "'", 1)).otherwise(F.substring_index(F.substr(rest, F.lit(2)), '"', 1)))
+    plain = F.regexp_extract(rest, "^[^/;\"']*", 0)
+    return F.struct(name.alias("name"), F.substr(after, F.lit(2), F.greatest(end - 2, F.lit(0))).alias("domain"), F.trim(F.coalesce(told, plain)).alias("description"))
+
+
 def _levels(events: DataFrame, at: str, opens: Column, closes: Column) -> DataFrame:
     """Adds ``level``: the depth that an event belongs to; closers of nothing have 0."""
     line = _upto(_in_file().orderBy(at))
@@ -202,8 +232,7 @@ def left_sides(rows: DataFrame) -> DataFrame:
     out = rows.withColumn("upcoming", upcoming).withColumn("rest", F.when(F.col("ends") | F.col("directive"), "").otherwise(joined)).withColumn("own", own)
     text = F.regexp_replace(F.regexp_replace(F.col("own"), r"(?i)\b(?:for\s*\(|else\b)", ";"), r"(?i)\b(?:if|elseif|while|loop)\s*\(", "\u0002")
     text = F.concat(text, F.lit("\u0005"), F.regexp_replace("rest", "[;,]", " "))
-    for _ in range(NESTED):
-        text = F.regexp_replace(text, r"\([^()]*\)|\[[^\[\]]*\]", "")
+    text = without_groups(text)
     names = F.transform(F.regexp_extract_all(text, F.lit(LEFT_SIDE), F.lit(1)), F.lower)
     loads = F.col("own").rlike(LOAD) | F.col("rest").rlike(LOAD) | (F.col("live") & F.col("line").rlike(LOAD))
     return out.withColumn("assigned", F.when(F.col("live"), names).otherwise(F.array().cast("array<string>"))).withColumn("loads", F.col("live") & loads).drop("upcoming", "rest", "own")
@@ -223,9 +252,7 @@ def equations(rows: DataFrame) -> DataFrame:
     found = rows.filter("gms and declared is null").groupBy("path", "statement").agg(
         F.min(F.when(code.isNotNull(), F.col("n"))).alias("s"), F.max("n").alias("e"), F.sort_array(F.collect_list(F.when(code.isNotNull(), F.struct("n", "bare")))).alias("all")
     )
-    text = F.array_join(F.transform("all", lambda x: x["bare"]), " ")
-    for _ in range(NESTED):
-        text = F.regexp_replace(text, r"\([^()]*\)|\[[^\[\]]*\]", "")
+    text = without_groups(F.array_join(F.transform("all", lambda x: x["bare"]), " "))
     name = F.regexp_extract(text, EQUATION, 1)
     return found.select("path", "s", "e", name.alias("equation")).filter("equation <> ''")
 
@@ -249,14 +276,14 @@ def declared_entries(rows: DataFrame, brackets: DataFrame) -> DataFrame:
     slashes = F.length(L.code_part(F.col("piece"))) - F.length(F.replace(L.code_part(F.col("piece")), F.lit("/"), F.lit("")))
     order = _in_file("declared").orderBy("n", "i")
     laid = laid.withColumn("slashes", slashes).withColumn("in_data", F.coalesce(F.sum("slashes").over(_before(order)), F.lit(0)) % 2 == 1)
-    name = F.regexp_extract("piece", ENTRY, 1)
+    laid = laid.withColumn("parts", entry_parts(F.col("piece")))
+    name = F.col("parts.name")
     named = laid.withColumn("name", F.when(~F.col("in_data") & (name != "") & (F.col("kind") != "alias"), name))
     named = named.withColumn("entry", F.count("name").over(_upto(order))).filter("entry > 0 and (kind not like 'table%' or entry = 1)")
     data = F.max(F.col("slashes") > 0).over(_in_file("declared", "entry"))
     singular = F.regexp_replace("kind", "(?<=.)s$", "")
     return named.withColumn("has_data", data | F.col("kind").like("table%")).filter("name is not null").select(
-        "path", F.col("n").alias("line"), singular.alias("kind"), "name", F.regexp_replace(F.regexp_extract("piece", ENTRY, 2), r"^\(|\)$", "").alias("domain"),
-        F.trim(F.regexp_replace(F.trim(F.regexp_extract("piece", ENTRY, 3)), "^[\"']|[\"']$", "")).alias("description"), "has_data",
+        "path", F.col("n").alias("line"), singular.alias("kind"), "name", F.col("parts.domain").alias("domain"), F.col("parts.description").alias("description"), "has_data",
     )
 
 
