@@ -2,6 +2,7 @@
 
 from traceframe.library import (  # noqa: F401
     aggregates,
+    comparison,
     conditions,
     evaluation,
     indexed,

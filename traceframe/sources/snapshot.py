@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from traceframe.functions.text import content_key, squeezed, visible
 from traceframe.operators.quality import gate
+from traceframe.sources import pointers
 
 SCHEMA_VERSION = 1
 
@@ -27,13 +28,17 @@ def write(spark: SparkSession, root: str, tables: dict[str, DataFrame], meta: di
     return path
 
 
-def publish(spark: SparkSession, root: str, path: str) -> None:
-    """Let the pointer name a written snapshot: one small file, written last."""
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").parquet(f"{root.rstrip('/')}/current")
+def publish(spark: SparkSession, root: str, path: str) -> int:
+    """Let the pointer name a written snapshot: a new generation, put in place by one rename."""
+    return pointers.advance(spark, f"{root.rstrip('/')}/current", path)
 
 
 def current(spark: SparkSession, root: str) -> str:
-    return spark.read.parquet(f"{root.rstrip('/')}/current").first().path
+    """The snapshot that was published last."""
+    found = pointers.latest(spark, f"{root.rstrip('/')}/current")
+    if found is None:
+        raise FileNotFoundError(f"nothing is published in {root}")
+    return found[1]
 
 
 def read(spark: SparkSession, path: str, table: str) -> DataFrame:
