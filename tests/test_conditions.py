@@ -81,3 +81,17 @@ def test_values_under_settings(spark):
     held = F.create_map(*[F.lit(x) for kv in settings.items() for x in kv])
     got = {r.text: r.v for r in K.parsed(df).select("text", K.evaluate(F.col("steps"), held).alias("v")).collect()}
     assert {t: got[t] for t, _ in cases[:12]} == dict(cases[:12]) and all(got[t] is v for t, v in cases[13:])
+
+
+def test_reach_equals_the_interpreted_fold(spark):
+    from pyspark.sql import functions as F
+
+    from traceframe.functions import kleene as K
+
+    texts = ["cm_a eq 1", "cm_a ne 2 and cm_b eq 'on'", "not (cm_a gt 1.5 or cm_gone eq 1)", '"%cm_b%" == "ON"', '"%nowhere%" == "x"', '"%nowhere%" == "%nowhere%"', "cm_a eq cm_c", "cm_a lt cm_b", "cm_a eq other_name", "setglobal cm_a", "setglobal nope", "exist 'file'", "sameas(t, 'x')", "a xor b", "cm_b le 3"]
+    rows = [{"cm_a": a, "cm_b": b, "cm_c": c} for a in ("1", "'2'", "x", None) for b in ("on", "Off", "2.5") for c in ("1.0", "X")] + [{}]
+    held = spark.createDataFrame([(r,) for r in rows], "s map<string,string>")
+    found = {r.name: (r.holds, r.undecided, r.configs) for r in K.reach(held, "s", {t: t for t in texts}).collect()}
+    each = K.parsed(spark.createDataFrame([(t,) for t in texts], "text string")).crossJoin(held).select("text", K.evaluate(F.col("steps"), F.col("s")).alias("v"))
+    want = {r.text: (r.holds, r.undecided, r.n) for r in each.groupBy("text").agg(F.count_if("v").alias("holds"), F.count_if(F.col("v").isNull()).alias("undecided"), F.count(F.lit(1)).alias("n")).collect()}
+    assert found == want

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceframe.functions.text import compare
+from traceframe.functions.text import as_number, compare, unquoted
 
 
 def kleene_and(value: Column) -> Column:
@@ -61,27 +61,50 @@ def evaluate(steps: Column, settings: Column, compiled: Column | None = None) ->
     return F.element_at(F.aggregate(steps, empty, step), -1)
 
 
-def expression(text: str, settings: Column, compiled: Column | None = None) -> Column:
-    """Value of one condition as a column of its own: for few texts over many rows there is nothing to interpret."""
-    from traceframe.plans.conditions import parse
+def _against(left: tuple[Column, Column], cmp: str, right: tuple[Column, Column]) -> Column:
+    """As ``compare``, for one known comparison and (value, number) of both sides worked out before."""
+    (a, x), (b, y) = left, right
+    number = {"eq": x == y, "ne": x != y, "lt": x < y, "le": x <= y, "gt": x > y, "ge": x >= y}[cmp]
+    word = {"eq": F.lower(a) == F.lower(b), "ne": F.lower(a) != F.lower(b)}.get(cmp, F.lit(None).cast("boolean"))
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("boolean")).when(x.isNotNull() & y.isNotNull(), number).otherwise(word)
 
-    compiled = settings if compiled is None else compiled
+
+def expression(steps: list, names: dict[str, tuple[Column, Column, Column]]) -> Column:
+    """Value of one parsed condition as a column of its own; ``names`` has (is it set, value, number) of every name it tests."""
+    literal = lambda text: (unquoted(F.lit(text)), as_number(unquoted(F.lit(text))))
     stack: list[Column] = []
-    for s in parse(text):
+    for s in steps:
         if s.op in ("and", "or"):
             last, stack = stack[-s.n :], stack[: -s.n]
             stack.append(reduce(lambda a, b: a & b, last) if s.op == "and" else reduce(lambda a, b: a | b, last))
         elif s.op == "not":
             stack.append(~stack.pop())
+        elif s.op == "sw":
+            known, *held = names[s.name]
+            value = _against(tuple(held), s.cmp, literal(s.value))
+            stack.append(F.when(known, value).otherwise(_against(literal(f"%{s.name}%"), s.cmp, literal(s.value))) if s.mode == "compile" else value)
+        elif s.op == "sw2" and s.value in names:
+            stack.append(_against(names[s.name][1:], s.cmp, names[s.value][1:]))
+        elif s.op == "def":
+            stack.append(names[s.name][0])
         else:
-            fields = {k: F.lit(v).cast("string") for k, v in s._asdict().items()}
-            stack.append(leaf_value(F.struct(*[v.alias(k) for k, v in fields.items()]), settings, compiled))
+            stack.append(F.lit(None).cast("boolean"))
     return stack[0]
 
 
 def reach(rows: DataFrame, settings: str, conditions: dict[str, str]) -> DataFrame:
-    """name, holds, undecided and configs of each condition (a short list) over the settings of all rows, in one pass."""
-    valued = rows.select(*[expression(text, F.col(settings)).alias(f"c{i}") for i, text in enumerate(conditions.values())])
+    """name, holds, undecided and configs of each condition (a short list) over the settings of all rows, in one pass.
+
+    Each name that is tested is looked up and read as a number once for a row.
+    """
+    from traceframe.plans.conditions import parse
+
+    told = [parse(text) for text in conditions.values()]
+    tested = sorted({n for steps in told for s in steps if s.op in ("sw", "sw2", "def") for n in (s.name, s.value if s.op == "sw2" else None) if n})
+    lookups = [c for i, n in enumerate(tested) for c in (F.map_contains_key(settings, n).alias(f"has{i}"), unquoted(F.try_element_at(settings, F.lit(n))).alias(f"value{i}"))]
+    read = rows.select(*lookups).select("*", *[as_number(F.col(f"value{i}")).alias(f"number{i}") for i in range(len(tested))])
+    names = {n: (F.col(f"has{i}"), F.col(f"value{i}"), F.col(f"number{i}")) for i, n in enumerate(tested)}
+    valued = read.select(*[expression(steps, names).alias(f"c{i}") for i, steps in enumerate(told)])
     each = [F.struct(F.lit(name).alias("name"), F.count_if(f"c{i}").alias("holds"), F.count_if(F.col(f"c{i}").isNull()).alias("undecided"), F.count(F.lit(1)).alias("configs")) for i, name in enumerate(conditions)]
     return valued.agg(F.array(*each).alias("all")).select(F.explode("all").alias("x")).select("x.*")
 

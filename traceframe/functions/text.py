@@ -80,10 +80,15 @@ def unquoted(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), "^[\"']+|[\"']+$", "")
 
 
+def as_number(text: Column) -> Column:
+    """The number that a text is; null if it is none."""
+    return F.when(is_number(text), text.try_cast("double"))
+
+
 def compare(left: Column, op: Column, right: Column) -> Column:
     """Comparison of two values: as numbers if both are, else equality without regard to case, else unknown."""
     a, b = unquoted(left), unquoted(right)
-    x, y = F.when(is_number(a), a.try_cast("double")), F.when(is_number(b), b.try_cast("double"))
+    x, y = as_number(a), as_number(b)
     p, q = F.lower(a), F.lower(b)
     both = x.isNotNull() & y.isNotNull()
     number = F.when(op == "eq", x == y).when(op == "ne", x != y).when(op == "lt", x < y).when(op == "le", x <= y).when(op == "gt", x > y).when(op == "ge", x >= y)
