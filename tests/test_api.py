@@ -114,3 +114,17 @@ def test_reach_has_every_condition(engine, spark, monkeypatch):
     texts = [f"cm_x eq {i}" for i in range(5)] + ['"%cm_y%" == "on"', "cm_x eq 2"]
     found = {r.name: (r.holds, r.undecided, r.configs) for r in engine.reach(spark.createDataFrame([(t,) for t in [*texts, None]], "text string")).collect()}
     assert set(found) == set(texts) and found["cm_x eq 2"] == (2, 0, 2) and found["cm_x eq 4"] == (0, 0, 2)
+
+
+def test_vector_search_says_what_it_lacks(engine):
+    with pytest.raises(ValueError, match="vector"):
+        engine.search("text", mode="vector")
+
+
+def test_active_realizations_are_those_that_a_configuration_selects(engine, spark, monkeypatch):
+    tables = {"scenarios": spark.createDataFrame([("s", {"water": "cold", "x": "1"}), ("t", {})], "name string, cells map<string,string>")}
+    monkeypatch.setattr(Engine, "table", lambda self, name: tables[name])
+    monkeypatch.setattr(Engine, "_settings", lambda self, scenario: F.create_map(F.lit("water"), F.lit("Warm")))
+    monkeypatch.setattr(Engine, "_has", lambda self, name: True)
+    known = spark.createDataFrame([("01_water", "warm"), ("01_water", "cold"), ("01_water", "never"), ("02_free", "a")], "module string, realization string")
+    assert sorted(map(tuple, engine._active(known).collect())) == [("01_water", "cold"), ("01_water", "warm"), ("02_free", "a")]

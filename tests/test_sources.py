@@ -85,3 +85,16 @@ def test_interval_join(spark, width):
     p = spark.createDataFrame([("f", i) for i in range(10)], "k string, n int")
     s = spark.createDataFrame([("f", 2, 4), ("f", 4, 9), ("g", 0, 9)], "k string, s int, e int")
     assert joins.interval_join(p, s, "k", "n", "s", "e", width).count() == 9
+
+
+def test_stated_defaults_take_the_setting_named_last(spark):
+    from traceframe.operators import sweeps
+
+    texts = {
+        1: "cm_a_x, whose default value is 9.", 2: "By default cm_a_x is 7", 3: "cm_a_x and cm_b: the default is 5", 4: "cm_a_x: default 4, was 3; cm_b default: off", 5: "cm_b defaults to 'on'.", 6: "the default of cm_a_x is sensible",
+        7: "cm_a_x default = 3.0 or 4", 8: "for cm_a_x the default was set to 40 %. And 3 more", 9: "cm_a_x is defaulted to 8; 3 is better", 10: "no setting, default 3", 11: "cm_a_x default, as always", 12: None,
+    }
+    prose = spark.createDataFrame([("p", n, t) for n, t in texts.items()], "path string, line int, text string")
+    held = spark.createDataFrame([("CM_A_X", "3"), ("cm_b", "on")], "name string, value string")
+    found = {(r.line, r.name, r.stated) for r in sweeps.stated_defaults(prose, held).collect()}
+    assert found == {(1, "cm_a_x", "9.0"), (3, "cm_b", "5.0"), (4, "cm_b", "off"), (8, "cm_a_x", "0.4"), (9, "cm_a_x", "8.0")}

@@ -97,6 +97,8 @@ class Engine:
         With a scenario, chunks of realizations that it does not select are left out, and
         those with a condition that is false under it count for less.
         """
+        if mode == "vector" and vector is None:
+            raise ValueError("vector search needs the vector of the query: give vector=")
         k = max(1, min(k, 20))
         filtered = any((module, realization, kind, phase))
         n = search.CANDIDATES_FILTERED if filtered else search.CANDIDATES
@@ -270,6 +272,18 @@ class Engine:
         own = chunks.filter("realization is not null").select("module", "realization").distinct()
         return own.select("module", "realization", settings.is_selected(F.col("module"), F.col("realization"), self._settings(None)).alias("selected"))
 
+    def _active(self, known: DataFrame) -> DataFrame:
+        """The realizations (module, realization) that the defaults or a scenario select, and those of modules without a setting."""
+        base = self._settings(None)
+        own = known.withColumn("setting", F.regexp_replace(F.lower("module"), "^[^_]*_", ""))
+        chosen = own.select("setting", F.lower(F.try_element_at(base, F.col("setting"))).alias("chosen"))
+        unset = own.join(chosen.filter("chosen is null").select("setting").distinct(), "setting", "left_semi")
+        if self._has("scenarios"):
+            cells = self.table("scenarios").select(F.explode(settings.normal_cells(F.col("cells"))).alias("setting", "value"))
+            chosen = chosen.unionByName(cells.select("setting", F.lower("value").alias("chosen")))
+        picked = own.withColumn("chosen", F.lower("realization")).join(chosen.distinct(), ["setting", "chosen"], "left_semi")
+        return picked.select("module", "realization").unionByName(unset.select("module", "realization"))
+
     def _steering(self, used: DataFrame) -> DataFrame:
         """Switches that steer the code: per realization the strongest way it depends on each, and whether all active ones do."""
         switch = self.table("switches").select(F.col("name").alias("switch"))
@@ -279,7 +293,7 @@ class Engine:
         tested = parsed.select("module", "realization", "kind", F.explode("steps").alias("s")).select("module", "realization", "kind", F.col("s.name").alias("lower"))
         tested = tested.join(switch.withColumn("lower", F.lower("switch")), "lower").select("module", "realization", "switch", "kind")
         read = inside.join(switch, F.col("name") == F.col("switch")).select("module", "realization", "switch", F.lit("read").alias("kind"))
-        active = inside.select("module", "realization").distinct()
+        active = self._active(inside.select("module", "realization").distinct())
         found = sweeps.steering(tested.unionByName(read), active)
         severity = F.when(F.col("kind") == "compile", 2).when(F.col("kind") == "guard", 1).otherwise(0)
         return found.withColumn("severity", severity).orderBy(F.desc("severity"), "module", "realization", "switch")

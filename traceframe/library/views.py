@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceframe.catalog import query
-from traceframe.library.common import fixture, values
+from traceframe.functions import kleene as K
+from traceframe.library.common import fixture, table, values
 from traceframe.operators import sweeps
 
 PROSE = [
@@ -24,13 +25,15 @@ def _known(spark: SparkSession) -> DataFrame:
     return fixture(spark, "module string, realization string", KNOWN)
 
 
-_STATES = r"(?i)\b([a-z]\w*_\w+)\b[^.;]{0,40}?\bdefault(?:s to| is|:| =|)\s*[:=]?\s*([\w.%+-]+)"
-
-
+# One mention a line is enough here: the setting named last before the word, and the first number behind it.
 @query(
     "t23_stated_defaults",
-    f"""WITH {values('p', 'path, line, text', PROSE)}, {values('s', 'name, held', SETTINGS)}, m AS (SELECT path, line, lower(unnest(regexp_extract_all(text, '{_STATES}', 1))) AS name, unnest(regexp_extract_all(text, '{_STATES}', 2)) AS raw FROM p),
-    v AS (SELECT path, line, name, round(TRY_CAST(rtrim(raw, '.%') AS DOUBLE) / CASE WHEN contains(raw, '%') THEN 100 ELSE 1 END, 9) AS stated, held::DOUBLE AS value FROM m JOIN s USING (name))
+    f"""WITH {values('p', 'path, line, text', PROSE)}, {values('s', 'name, held', SETTINGS)},
+    clauses AS (SELECT path, line, text, unnest(string_split(text, ';')) AS clause FROM p),
+    cut AS (SELECT path, line, lower(substr(clause, 1, instr(lower(clause), 'default') - 1)) AS before, substr(clause, instr(lower(clause), 'default') + 7) AS after FROM clauses WHERE contains(lower(clause), 'default')),
+    named AS (SELECT path, line, after, (SELECT arg_max(name, instr(before, name)) FROM s WHERE contains(before, name)) AS name FROM cut),
+    raw AS (SELECT path, line, name, rtrim(regexp_extract(after, '[0-9][0-9.]*%?'), '.') AS raw FROM named),
+    v AS (SELECT path, line, name, round(TRY_CAST(rtrim(raw, '%') AS DOUBLE) / CASE WHEN contains(raw, '%') THEN 100 ELSE 1 END, 9) AS stated, held::DOUBLE AS value FROM raw JOIN s USING (name))
     SELECT path, line, name, stated::VARCHAR AS stated, value::VARCHAR AS value FROM v WHERE least(abs(value - stated), abs(value / 100 - stated), abs(value - 1 - stated), abs(value * 100 - stated)) >= 1e-9""",
 )
 def t23(spark: SparkSession, d: str) -> DataFrame:
@@ -82,3 +85,20 @@ STEERED = [("03_trade", "x", "cm_a", "read"), ("03_trade", "x", "cm_a", "compile
 )
 def t16(spark: SparkSession, d: str) -> DataFrame:
     return sweeps.steering(fixture(spark, "module string, realization string, switch string, kind string", STEERED), _known(spark))
+
+
+RISKS = [("rich", "acctbal gt 5000", "policy", "abort", 2), ("nation_low", "nation le 5", "policy", "warning", 1), ("none", "acctbal gt 99999", "data", "abort", 2), ("unknown", "acctbal gt 0 and gone_x eq 1", "data", "warning", 1), ("low_or", "nation le 5 or gone_x eq 1", "data", "abort", 3)]
+
+
+@query(
+    "t21_sweep_report",
+    f"""WITH {values('r', 'name, text, category, kind, severity', RISKS)}, c AS (SELECT unnest(['rich', 'nation_low', 'none', 'unknown', 'low_or']) AS name, unnest([c_acctbal > 5000, c_nationkey <= 5, c_acctbal > 99999, c_acctbal > 0 AND NULL, c_nationkey <= 5 OR NULL]) AS v FROM customer),
+    f AS (SELECT category, kind, severity::VARCHAR AS severity, count(*) FILTER (v) AS holds, count(*) FILTER (v IS NULL) AS undecided FROM c JOIN r USING (name) GROUP BY name, ALL)
+    SELECT CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(kind) = 0 THEN 'kind' WHEN grouping(severity) = 0 THEN 'severity' ELSE 'all' END AS level, coalesce(category, kind, severity) AS value, count(*) AS preconditions,
+    count(*) FILTER (holds > 0) AS fired, count(*) FILTER (holds = 0 AND undecided > 0) AS open FROM f GROUP BY GROUPING SETS ((category), (kind), (severity), ())""".replace("GROUP BY name, ALL", "GROUP BY name, category, kind, severity"),
+)
+def t21(spark: SparkSession, d: str) -> DataFrame:
+    """Every precondition against every settings row, counted by category, kind and severity."""
+    held = F.create_map(F.lit("acctbal"), F.col("c_acctbal").cast("decimal(18,2)").cast("string"), F.lit("nation"), F.col("c_nationkey").cast("string"))
+    found = K.reach(table(spark, d, "customer").select(held.alias("s")), "s", {name: text for name, text, *_ in RISKS})
+    return sweeps.sweep_report(found.join(F.broadcast(fixture(spark, "name string, text string, category string, kind string, severity int", RISKS)), "name"))

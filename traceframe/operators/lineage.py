@@ -88,5 +88,6 @@ def statements_at(points: DataFrame, rows: DataFrame, spans: DataFrame, key: str
 
 def interface_definitions(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """name and id of the interface chunks that list a name (one column) as an output: a line of its own that begins with it and a colon."""
-    listed = chunks.filter("kind = 'module_interface' and text like 'Outputs of%'").select("id", F.explode(F.slice(F.split("text", "\n"), 2, 1_000_000)).alias("line"))
+    lines = F.split("text", "\n")
+    listed = chunks.filter("kind = 'module_interface' and text like 'Outputs of%'").select("id", F.explode(F.slice(lines, F.lit(2), F.size(lines))).alias("line"))
     return listed.select("id", F.substring_index("line", ":", 1).alias("name"), "line").filter(F.contains("line", F.lit(":"))).join(names.select("name").distinct(), "name").select("name", "id").distinct()

@@ -127,11 +127,39 @@ def _matches(prose: DataFrame, pattern: str) -> DataFrame:
 
 
 def stated_defaults(prose: DataFrame, settings: DataFrame) -> DataFrame:
-    """path, line, name, stated and value where prose (path, line, text) states another default than is set (name, value)."""
-    pattern = r"(?i)\b([a-z]\w*_\w+)\b[^.;]{0,40}?\bdefault(?:s to| is|:| =|)\s*[:=]?\s*([\w.%+-]+)"
-    said = _matches(prose, pattern).select("path", "line", F.lower("m.first").alias("name"), normal_value(F.col("m.second")).alias("stated"))
+    """path, line, name, stated and value where prose (path, line, text) states another default than is set (name, value).
+
+    Each mention of a default speaks of the setting that was named last before it, and
+    states the first word behind it, if that can be a value: quoted, with a digit, on, off
+    or none, or behind "to", a colon or an equals sign.  It is right if that word, or any
+    number of the clause up to a semicolon or the end of the sentence, is the value set.
+    """
+    parts = F.split("text", r"(?i)\bdefault(?:s|ed)?\b", -1)
+    mentions = prose.select("path", "line", parts.alias("parts")).filter(F.size("parts") > 1).select("path", "line", "parts", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("i"))
+    before = F.array_join(F.slice("parts", F.lit(1), F.col("i")), " ")
+    after = F.regexp_replace(F.get("parts", F.col("i")), r"(?i)^\s+values?\b", "")
+    told = mentions.select("path", "line", "i", F.regexp_extract_all(F.lower(before), F.lit(r"\w+"), F.lit(0)).alias("words"), after.alias("after"))
+    lead = r"(?i)^\s*(?:(?:is|was|of)\b\s*)?(?:set\s+)?(?:(to\b|[:=])\s*)?(?:is\b\s*)?"
+    word = F.regexp_extract("after", lead + "(\"[^\"]*\"|'[^']*'|[^\\s\"',;:()]*[^\\s\"',;:().](?:\\s+%)?)", 2)
+    told = told.withColumn("stated", word).withColumn("signed", F.regexp_extract("after", lead, 1) != "")
+    quoted = F.substring("stated", 1, 1).isin("'", '"')
+    told = told.filter((F.col("stated") != "") & (quoted | F.col("stated").rlike(r"\d") | F.lower("stated").isin("on", "off", "none") | F.col("signed")))
+    clause = F.regexp_extract("after", r"^(?:[^.;]|\.(?!\s|$))*", 0)
+    numbers = F.transform(F.regexp_extract_all(clause, F.lit(r"[-+]?\d[\d.eE+-]*%?"), F.lit(0)), lambda x: normal_value(x))
+    said = told.select("path", "line", "i", normal_value(F.col("stated")).alias("stated"), numbers.alias("numbers"), F.posexplode("words").alias("at", "name"))
     held = settings.select(F.lower("name").alias("name"), normal_value(F.col("value")).alias("value"))
-    return said.join(held, "name").filter(~same_value(F.col("stated"), F.col("value")))
+    last = said.join(held, "name").groupBy("path", "line", "i").agg(F.max_by(F.struct("name", "stated", "numbers", "value"), "at").alias("x")).select("path", "line", "x.*")
+    right = same_value(F.col("stated"), F.col("value")) | F.exists("numbers", lambda x: F.coalesce(same_value(x, F.col("value")), F.lit(False)))
+    return last.filter(~right).select("path", "line", "name", "stated", "value")
+
+
+def sweep_report(found: DataFrame) -> DataFrame:
+    """level, value, preconditions, fired and undecided of a sweep (category, kind, severity, holds, undecided), by each of the three and over all, in one pass."""
+    sums = [F.count(F.lit(1)).alias("preconditions"), F.count_if(F.col("holds") > 0).alias("fired"), F.count_if((F.col("holds") == 0) & (F.col("undecided") > 0)).alias("open")]
+    columns = [F.col(c) for c in ("category", "kind", "severity")]
+    told = found.withColumn("severity", F.col("severity").cast("string")).groupingSets([[c] for c in columns] + [[]], *columns).agg(*sums, F.grouping_id().alias("g"))
+    level = F.when(F.col("g") == 3, "category").when(F.col("g") == 5, "kind").when(F.col("g") == 6, "severity").otherwise("all")
+    return told.select(level.alias("level"), F.coalesce("category", "kind", "severity").alias("value"), "preconditions", "fired", "open")
 
 
 def lost_pointers(prose: DataFrame, files: DataFrame) -> DataFrame:
