@@ -98,3 +98,28 @@ def test_stated_defaults_take_the_setting_named_last(spark):
     held = spark.createDataFrame([("CM_A_X", "3"), ("cm_b", "on")], "name string, value string")
     found = {(r.line, r.name, r.stated) for r in sweeps.stated_defaults(prose, held).collect()}
     assert found == {(1, "cm_a_x", "9.0"), (3, "cm_b", "5.0"), (4, "cm_b", "off"), (8, "cm_a_x", "0.4"), (9, "cm_a_x", "8.0")}
+
+
+def test_reports_are_written_in_ordered_parts(spark, tmp_path):
+    from traceframe.sources import reports
+
+    rows = [(i * 7919 % 5_000, f"a|b\n{i}", None if i % 3 else "x") for i in range(5_000)]
+    df = spark.createDataFrame(rows, "n int, t string, u string").repartition(9)
+    manifest = reports.write_report(df, str(tmp_path / "r"), ["n", "t", "u"], ["n"], title="All", parts=4)
+    assert len(manifest["parts"]) > 1 and sum(p["rows"] for p in manifest["parts"]) == 5_000
+    lines = [r.line for r in reports.read_report(spark, str(tmp_path / "r")).orderBy("part", "place").collect()]
+    assert lines[:4] == ["# All", "", "| n | t | u |", "|-|-|-|"]
+    want = [f"| {n} | {t.replace('|', chr(92) + '|').replace(chr(10), ' ')} | {u or ''} |" for n, t, u in sorted(rows, key=lambda r: r[0])]
+    assert lines[4:] == want
+    with pytest.raises(FileNotFoundError):
+        reports.read_report(spark, str(tmp_path / "none"))
+
+
+def test_pointers_to_files_that_mention_a_subject(spark):
+    from traceframe.operators import sweeps
+
+    files = spark.createDataFrame([("a", "One two_x, three"), ("b", ""), ("c", " ".join(f"w{i}" for i in range(3_000)))], "path string, text string")
+    asked = [("a", "TWO_X", True, True), ("a", "two", True, False), ("b", "one", True, False), ("gone", "one", False, False), ("c", "w2999", True, True), ("c", "w3000", True, False), ("a", "one", True, True), ("a", "one", True, True), ("c", None, True, False)]
+    pointers = spark.createDataFrame([a[:2] for a in asked], "target string, subject string")
+    found = sweeps.mentions(pointers, files, "path", "text", places=16)  # a small signature decides nothing
+    assert sorted(map(str, ((r.target, r.subject, r.found, r.mentioned) for r in found.collect()))) == sorted(map(str, asked))

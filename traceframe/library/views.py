@@ -102,3 +102,15 @@ def t21(spark: SparkSession, d: str) -> DataFrame:
     held = F.create_map(F.lit("acctbal"), F.col("c_acctbal").cast("decimal(18,2)").cast("string"), F.lit("nation"), F.col("c_nationkey").cast("string"))
     found = K.reach(table(spark, d, "customer").select(held.alias("s")), "s", {name: text for name, text, *_ in RISKS})
     return sweeps.sweep_report(found.join(F.broadcast(fixture(spark, "name string, text string, category string, kind string, severity int", RISKS)), "name"))
+
+
+@query(
+    "j28_target_mentions_subject",
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS words FROM documents), p AS (SELECT doc_id, doc_id + 1 AS target, words[1] AS subject FROM w WHERE len(words) > 0)
+    SELECT p.doc_id, target, subject, w.doc_id IS NOT NULL AS found, coalesce(list_contains(w.words, subject), false) AS mentioned FROM p LEFT JOIN w ON w.doc_id = p.target""",
+)
+def j28(spark: SparkSession, d: str) -> DataFrame:
+    """Every document points to the next one; does that have its first word?"""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    said = docs.select("doc_id", (F.col("doc_id") + 1).alias("target"), F.get(F.regexp_extract_all(F.lower("text"), F.lit(r"\w+"), F.lit(0)), 0).alias("subject")).filter("subject is not null")
+    return sweeps.mentions(said, docs.filter("text is not null"), "doc_id", "text")

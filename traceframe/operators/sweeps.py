@@ -170,6 +170,24 @@ def lost_pointers(prose: DataFrame, files: DataFrame) -> DataFrame:
     return said.join(known, "pointer", "left_anti").select("path", "line", "pointer")
 
 
+def mentions(pointers: DataFrame, files: DataFrame, path: str, text: str, places: int = 2_048) -> DataFrame:
+    """``pointers`` (with target and subject) and ``found``, whether the target exists, and ``mentioned``, whether its text has the subject as a word.
+
+    A file's signature is the set of its words' hashes, folded to ``places``.  A pointer
+    whose subject is not in it is answered by the signature alone; only the others meet the
+    text, so the answers are exact and few texts are moved.
+    """
+    fold = lambda word: F.pmod(F.xxhash64(F.lower(word)), F.lit(places)).cast("smallint")
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\w+"), F.lit(0)))
+    signed = files.select(F.col(path).alias("target"), F.array_distinct(F.transform(words, fold)).alias("signature"))
+    asked = pointers.withColumn("asked", F.monotonically_increasing_id())
+    asked = materialize(asked.join(signed, "target", "left").withColumn("found", F.col("signature").isNotNull()).withColumn("likely", F.coalesce(F.array_contains("signature", fold(F.col("subject"))), F.lit(False))).drop("signature"), "probed")
+    likely = asked.filter("likely").select("asked", "target", "subject")
+    texts = files.join(likely.select(F.col("target").alias(path)).distinct(), path, "left_semi").select(F.col(path).alias("target"), words.alias("words"))
+    exact = likely.join(texts, "target").filter(F.array_contains("words", F.lower("subject"))).select("asked", F.lit(True).alias("mentioned"))
+    return asked.join(exact, "asked", "left").withColumn("mentioned", F.coalesce("mentioned", F.lit(False))).drop("asked", "likely")
+
+
 def unknown_realizations(prose: DataFrame, known: DataFrame) -> DataFrame:
     """path, line, module and realization where prose sets a module to a realization that it has not (known: module, realization)."""
     pattern = r"\b([A-Za-z]\w*)\s*=\s*[\"']?([A-Za-z]\w*)"
