@@ -68,3 +68,13 @@ def test_empty_sides(spark):
     empty, one = spark.createDataFrame([], SCHEMA), spark.createDataFrame([("f", "a", 3, 1)], SCHEMA)
     run = lambda a, b: [(r.side, r.cause) for r in A.causes(a, b, "file", "role", "place", "entry", tolerance=1, far=2).collect()]
     assert run(empty, empty) == [] and run(one, empty) == [(0, "unknown file")] and run(empty, one) == [(1, "unknown file")]
+
+
+def test_anchors_say_what_they_found(spark):
+    from traceframe.operators.anchors import Anchor, check
+
+    tables = {"t": spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "n int, s string"), "empty": spark.createDataFrame([], "n int")}
+    asked = [Anchor("any", "t", "n > 1"), Anchor("null is no match", "t", "s <> 'a'", 1, 1), Anchor("too many", "t", "true", 0, 2), Anchor("nothing", "empty", "true", 0, 0), Anchor("lacking", "empty", "true")]
+    found = {r.rule: (r.table, r.found, r.fine) for r in check(spark, tables.__getitem__, asked).collect()}
+    assert found == {"any": ("t", 2, True), "null is no match": ("t", 1, True), "too many": ("t", 3, False), "nothing": ("empty", 0, True), "lacking": ("empty", 0, False)}
+    assert check(spark, tables.__getitem__, []).count() == 0

@@ -128,3 +128,21 @@ def test_active_realizations_are_those_that_a_configuration_selects(engine, spar
     monkeypatch.setattr(Engine, "_has", lambda self, name: True)
     known = spark.createDataFrame([("01_water", "warm"), ("01_water", "cold"), ("01_water", "never"), ("02_free", "a")], "module string, realization string")
     assert sorted(map(tuple, engine._active(known).collect())) == [("01_water", "cold"), ("01_water", "warm"), ("02_free", "a")]
+
+
+def test_commands(spark, tmp_path, capsys):
+    from traceframe.__main__ import main
+
+    for path, text in FILES:
+        (tmp_path / "src" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "src" / path).write_text(text)
+    out = str(tmp_path / "out")
+    assert main(["build", str(tmp_path / "src"), out], spark) == 0
+    assert capsys.readouterr().out.strip() == snapshot.current(spark, out)
+    assert main(["search", out, "what is p_z", "-k", "2"], spark) == 0
+    assert "p_z" in capsys.readouterr().out
+    assert main(["show", out, "symbol", "p_a", "--rows", "3"], spark) == 0
+    assert "# declarations" in capsys.readouterr().out
+    assert main(["show", out, "switch", "no_such_switch"], spark) == 1
+    assert "no_such_switch" in capsys.readouterr().err
+    assert main(["tables", out], spark) == 0 and '"chunks"' in capsys.readouterr().out

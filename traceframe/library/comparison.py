@@ -1,4 +1,4 @@
-"""Comparison of two lists of entries (E07) with the cause of every difference."""
+"""Comparison of two lists of entries (E07) with the cause of every difference; anchors (T30)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from traceframe.catalog import query
 from traceframe.library.common import table
 from traceframe.operators.alignment import causes
+from traceframe.operators.anchors import Anchor, check
 
 TOLERANCE, FAR = 3, 30
 #: Lines of an order stand for entries of a file: place is the day, role the flag; the index has some later, and some under another flag.
@@ -49,3 +50,15 @@ def e07_causes(spark: SparkSession, d: str) -> DataFrame:
     ref = li.filter(_REF).select(F.col("l_orderkey").alias("file"), F.col("l_returnflag").alias("role"), F.col("day").alias("place"), entry)
     idx = li.filter(_IDX).select(F.col("l_orderkey").alias("file"), F.expr(_ROLE).alias("role"), (F.col("day") + F.expr(_SHIFT)).alias("place"), entry)
     return causes(ref, idx, "file", "role", "place", "entry", tolerance=TOLERANCE, far=FAR)
+
+
+ANCHORS = [
+    Anchor("many lines are returned", "lineitem", "l_returnflag = 'R'", 100), Anchor("no line without an order", "lineitem", "l_orderkey is null", 0, 0), Anchor("few lines are large", "lineitem", "l_quantity > 49", 1, 50),
+    Anchor("five regions", "region", "true", 5, 5), Anchor("no region is called Atlantis", "region", "r_name = 'ATLANTIS'", 1), Anchor("documents in every language", "documents", "lang = 'en'", 1),
+]
+
+
+@query("t30_anchors", " UNION ALL ".join(f"SELECT '{a.rule}' AS rule, '{a.table}' AS \"table\", n AS found, n BETWEEN {a.least} AND {a.most if a.most is not None else 1 << 60} AS fine FROM (SELECT count(*) AS n FROM {a.table} WHERE {a.predicate})" for a in ANCHORS))
+def t30(spark: SparkSession, d: str) -> DataFrame:
+    """Known facts of the tables, one aggregate for each table."""
+    return check(spark, lambda name: table(spark, d, name), ANCHORS)
