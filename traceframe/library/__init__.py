@@ -14,4 +14,5 @@ from traceframe.library import (  # noqa: F401
     sources,
     status,
     views,
+    whole_tables,
 )

@@ -33,7 +33,17 @@ def _texts(spark: SparkSession) -> DataFrame:
     return fixture(spark, "text string", [(t,) for t in TEXTS])
 
 
-@query("k02_parsed_steps")
+#: The steps of the tests above as (op, name, comparison, value, mode, operands), and those of the cases put together from them.
+STEPS = {
+    "k_level eq 4": ("sw", "k_level", "eq", "4", "run", None), "k_year gt 2000": ("sw", "k_year", "gt", "2000", "run", None), '"%mode%" == "quick"': ("sw", "mode", "eq", "quick", "compile", None),
+    "%storage% <> 'tank'": ("sw", "storage", "ne", "tank", "compile", None), "k_gone eq 1": ("sw", "k_gone", "eq", "1", "run", None), "f(t, r) gt 1": ("other", None, None, "f ( t , r ) gt 1", None, None),
+}
+_AND, _OR, _NOT = (("and", *[None] * 4, 2), ("or", *[None] * 4, 2), ("not", *[None] * 5))
+_POSTFIX = [[s] for s in STEPS.values()] + [[s, _NOT] for s in STEPS.values()] + [[STEPS[x], STEPS[y], word] for (x, _), (y, _) in _PAIRS for word in (_AND, _OR)]
+_POSTFIX += [[STEPS[x], STEPS[y], _OR, _NOT, ("sw", "k_level", "le", "4", "run", None), _AND] for (x, _), (y, _) in _PAIRS] + [[("unk", None, None, "k_level,k_year", None, None)]]
+
+
+@query("k02_parsed_steps", "SELECT * FROM (" + f"WITH {values('t', 'text, i, op, name, cmp, value, mode, n', [(t, i, *s) for t, steps in zip(TEXTS, _POSTFIX, strict=True) for i, s in enumerate(steps)])} SELECT text, i::INT AS i, op, name, cmp, value, mode, n::INT AS n FROM t)")
 def k02(spark: SparkSession, d: str) -> DataFrame:
     return K.parsed(_texts(spark)).select("text", F.posexplode("steps").alias("i", "s")).select("text", "i", "s.*")
 
@@ -117,7 +127,7 @@ def k12(spark: SparkSession, d: str) -> DataFrame:
     return K.parsed(texts).select("text", F.when(v, "always").when(~v, "never").otherwise("depends").alias("verdict"))
 
 
-@query("k13_switch_only")
+@query("k13_switch_only", f"WITH {values('t', 'text', [(t,) for t in TEXTS])} SELECT text, NOT regexp_matches(text, 'f\\(|k_gone|xor') AS switch_only FROM t")
 def k13(spark: SparkSession, d: str) -> DataFrame:
     """Does a condition consist of tests of settings alone?"""
     names = F.array(*[F.lit(n) for n in SETTINGS])

@@ -123,6 +123,13 @@ LOG = [
 ]
 
 
-@query("s21_event_log", "SELECT * FROM (VALUES (1, 2, ['open', 'search'], 0.5, 3, 8, 3), (2, 0, [], 0.1, 1, NULL, NULL)) t(run, calls, tools, cost, turns, input_tokens, output_tokens)")
+@query(
+    "s21_event_log",
+    f"""WITH {values('t', 'run, value', LOG)}, j AS (SELECT run, value::JSON AS v FROM t WHERE json_valid(value)),
+    c AS (SELECT run, unnest(from_json(v->'$.message.content', '[{{"type": "VARCHAR", "name": "VARCHAR"}}]')) AS x FROM j WHERE v->>'$.type' = 'assistant'),
+    k AS (SELECT run, count(*) AS calls, list_sort(list(DISTINCT x.name)) AS tools FROM c WHERE x.type = 'tool_use' GROUP BY 1)
+    SELECT run, coalesce(any_value(calls), 0) AS calls, coalesce(any_value(tools), []) AS tools, max((v->>'$.total_cost_usd')::DOUBLE) AS cost, max((v->>'$.num_turns')::INT) AS turns,
+    sum((v->>'$.usage.input_tokens')::BIGINT) AS input_tokens, sum((v->>'$.usage.output_tokens')::BIGINT) AS output_tokens FROM j LEFT JOIN k USING (run) GROUP BY 1""",
+)
 def s21(spark: SparkSession, d: str) -> DataFrame:
     return Q.event_log(fixture(spark, "run int, value string", LOG))
