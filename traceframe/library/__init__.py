@@ -4,6 +4,7 @@ from traceframe.library import (  # noqa: F401
     aggregates,
     comparison,
     conditions,
+    customer_conditions,
     evaluation,
     indexed,
     joins,
