@@ -14,6 +14,7 @@ from traceframe.library import (  # noqa: F401
     settings,
     sources,
     status,
+    table_views,
     views,
     whole_tables,
 )
