@@ -139,7 +139,17 @@ def test_publishers_that_race_lose_nothing(spark, tmp_path):
         t.start()
     for t in threads:
         t.join()
-    assert len(took) == 4 and pointers.latest(spark, root)[0] == max(took)
+    assert sorted(took) == [2, 3, 4, 5] and pointers.latest(spark, root)[0] == 5
+
+
+def test_pointers_by_rename(spark, tmp_path, monkeypatch):
+    real = pointers._on_disk
+    place, store, path = pointers._store(spark, str(tmp_path / "p"))
+    monkeypatch.setattr(pointers, "_on_disk", lambda at, text: pointers._by_rename(spark, at, store, path, text))
+    assert [pointers.advance(spark, str(tmp_path / "p"), f"state {i}") for i in range(3)] == [1, 2, 3]
+    assert pointers.latest(spark, str(tmp_path / "p")) == (3, "state 2")
+    monkeypatch.setattr(pointers, "_on_disk", real)
+    assert pointers.advance(spark, str(tmp_path / "p"), "linked") == 4 and pointers.latest(spark, str(tmp_path / "p")) == (4, "linked")
 
 
 def test_postings_are_pruned_by_the_limit_in_each_task(spark, table, tmp_path):

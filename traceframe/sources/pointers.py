@@ -5,14 +5,15 @@ no reader looks at, closed, and then renamed, so readers find it whole or not at
 they take the highest generation whose last line is its end mark.  Old generations stay
 for readers that have just listed them, and are deleted when KEPT newer ones exist.  A
 publisher that dies leaves at most a file without a reader; one that loses the race for
-a number takes the next.  (The rename refuses a taken name in one step where the store
-does; on a local disk two publishers in the same instant may still overwrite each other.)
+a number takes the next.  On a disk, a link that refuses a taken name stands for the rename.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -77,8 +78,48 @@ def advance(spark: SparkSession, root: str, text: str, after: int | None = None)
     older state gets a FileExistsError instead of undoing what another one did.
     """
     place, store, path = _store(spark, root)
-    jvm = spark.sparkContext._jvm
     store.mkdirs(place)
+    put, drop = _on_disk(place, text) if store.getUri().getScheme() == "file" else _by_rename(spark, place, store, path, text)
+    try:
+        for _ in range(TRIES):
+            numbers = generations(spark, root)
+            number = (numbers[0] if numbers else 0) + 1
+            if after is not None and number != after + 1:
+                raise FileExistsError(f"{root} has moved on from generation {after} to {number - 1}")
+            if put(f"generation-{number:012d}"):
+                for old in numbers[KEPT:]:
+                    store.delete(path(place, f"generation-{old:012d}"), False)
+                return number
+    finally:
+        drop()
+    raise OSError(f"no free generation in {root} after {TRIES} tries")
+
+
+Steps = tuple[Callable[[str], bool], Callable[[], None]]
+
+
+def _on_disk(place, text: str) -> Steps:
+    """On a disk: a link to the draft, which fails if the name is taken."""
+    folder = place.toUri().getPath()
+    draft = f"{folder}/.draft-{uuid.uuid4().hex}"
+    with open(draft, "w", encoding="utf-8") as f:
+        f.write(f"{text}\n{_END}")
+        f.flush()
+        os.fsync(f.fileno())
+
+    def put(name: str) -> bool:
+        try:
+            os.link(draft, f"{folder}/{name}")
+        except FileExistsError:
+            return False
+        return True
+
+    return put, lambda: os.unlink(draft)
+
+
+def _by_rename(spark: SparkSession, place, store, path, text: str) -> Steps:
+    """On another store: a rename that refuses a taken name."""
+    jvm = spark.sparkContext._jvm
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
     rename = jvm.org.apache.hadoop.fs.Options.Rename
     kind = spark.sparkContext._gateway.new_array(rename, 1)
@@ -89,19 +130,14 @@ def advance(spark: SparkSession, root: str, text: str, after: int | None = None)
         stream.write(f"{text}\n{_END}".encode())
     finally:
         stream.close()
-    for _ in range(TRIES):
-        numbers = generations(spark, root)
-        number = (numbers[0] if numbers else 0) + 1
-        if after is not None and number != after + 1:
-            store.delete(draft, False)
-            raise FileExistsError(f"{root} has moved on from generation {after} to {number - 1}")
+
+    def put(name: str) -> bool:
         try:
-            context.rename(draft, path(place, f"generation-{number:012d}"), kind)
+            context.rename(draft, path(place, name), kind)
         except Py4JJavaError:
-            if number in generations(spark, root):  # another publisher was faster
-                continue
-            raise
-        for old in numbers[KEPT:]:
-            store.delete(path(place, f"generation-{old:012d}"), False)
-        return number
-    raise OSError(f"no free generation in {root} after {TRIES} tries")
+            if not store.exists(path(place, name)):
+                raise
+            return False
+        return True
+
+    return put, lambda: store.delete(draft, False)
