@@ -3,13 +3,15 @@
 Layout of an index folder.  Each segment is a folder of its own, written once:
 
 ``blocks``   term, band, n, max_tf, min_length, and the postings as arrays (keys, tfs,
-             lengths), sorted by term.  A band is a set of about BAND rows of like length; a
-             block holds what one term has in one band, so blocks of different terms line up.
-``deaths``   in a segment of deletions instead: the keys that are dead in earlier segments.
+             lengths); each file has some bands, sorted by term.  A band is a set of up to about
+             BAND rows of like length; a block holds what one term has in one band, so blocks of
+             different terms line up.  A row's band follows from its key and length, so rows are
+             dealt out by bands before their tokens are counted, and postings are not shuffled.
+``deaths``   in a segment of deletions instead: key and length of the rows that are dead in earlier segments.
 ``terms``    term and df, how many rows hold it; negative in a segment of deletions.
 
 A pointer (``sources.pointers``) lists the segments with their sums: rows, rows with a
-token, tokens.  All statistics are kept by addition, so adding and deleting reads only the
+token, tokens, and rows by level of length.  All statistics are kept by addition, so adding and deleting reads only the
 rows that come and go, and ``merge`` gives what a fresh build would.
 
 Search.  The score of a posting grows with tf and falls with length, so a block's largest
@@ -20,8 +22,10 @@ row has to reach.  Bands whose bound is less are left out.  In the others, block
 by falling bounds: where this one and the later ones together cannot reach the score, they
 make no candidates.  Rows of the blocks before are scored, and only where such a row may
 still reach it with what the later blocks can add, those are looked up.  The arrays of a
-block that is skipped are never decoded.  Results equal scoring every posting, ties and
-rounding included.
+block that is skipped are never decoded.  Where the queries have more terms than a plan
+lists, their bounds would be more rows than the postings: then the blocks are dealt out by
+bands, and each task scores the rows of its bands and keeps the k best of each query.  Results
+equal scoring every posting, ties and rounding included.
 """
 
 from __future__ import annotations
@@ -34,15 +38,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from traceframe.operators.search import B, K1, MAX_TERMS, MIN_IDF, postings, tokens
+from traceframe.operators.search import B, K1, MAX_TERMS, MIN_IDF, counted_tokens, token_count, tokens
 from traceframe.plans.scratch import materialize
-from traceframe.plans.sizing import bounded_broadcast
+from traceframe.plans.sizing import TASK_CHARS, TASK_ROWS, bounded_broadcast, characters, parts
 from traceframe.sources import pointers
 
-#: Rows of a band (about); lengths of a band differ by this factor at most, above a few.
+#: Most rows of a band (about); lengths of a band differ by this factor at most, above a few.
 BAND, STEP = 128, 1.2
 #: Bands of a query that are read first hold so many postings for each row wanted.
 PROBE = 8
+#: So many deleted keys are sent to every task; more are shuffled, by bands.
+DEAD_KEYS = 4_000_000
 #: Scores are rounded to so many digits, so bounds may miss by half a step.
 DIGITS = 6
 
@@ -54,6 +60,9 @@ class Segment:
     rows: int
     held: int
     tokens: int
+    #: Rows with a token by level of length, negative in a segment of deletions; and the parts that a level's rows were dealt to.
+    levels: dict[str, int]
+    deal: dict[str, int]
 
 
 @dataclass(frozen=True)
@@ -91,40 +100,48 @@ def _publish(spark: SparkSession, index: Index) -> Index:
     return replace(index, generation=pointers.advance(spark, index.root, _told(index), index.generation))
 
 
-def _sums(docs: DataFrame, columns: dict[str, float]) -> tuple[int, int, int]:
-    """Rows, rows with a token, and tokens."""
-    length = reduce(lambda a, b: a + b, [F.coalesce(F.size(tokens(F.col(c))), F.lit(0)) for c in columns])
-    row = docs.select(length.cast("bigint").alias("length")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("length") > 0).alias("held"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
-    return row.rows, row.held, row.tokens
-
-
-def _bands(rows: DataFrame, key: str) -> DataFrame:
-    """key and band: rows of like length together, dealt by a hash where they are more than a band holds."""
-    level = F.floor(F.log(F.greatest(F.col("length"), F.lit(1)).cast("double")) / F.log(F.lit(STEP))).cast("int")
-    levelled = rows.select(key, level.alias("level"))
-    many = levelled.groupBy("level").agg(F.ceil(F.count(F.lit(1)) / BAND).cast("bigint").alias("parts"))  # a row for each level: a few dozen
-    part = F.pmod(F.xxhash64(key), F.col("parts"))
-    return levelled.join(F.broadcast(many), "level").select(key, (F.col("level").cast("bigint") * (1 << 32) + part).alias("band"))
-
-
-def _write_blocks(posted: DataFrame, key: str, path: str) -> None:
-    """Postings (term, key, tf, length) to blocks and terms."""
-    bands = _bands(posted.select(key, "length").distinct(), key)
-    rows = posted.join(bands, key).groupBy("term", "band").agg(
-        F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"),
-        F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), "tf", "length"))).alias("p"),  # at most a band's rows
-    )
-    blocks = rows.select("term", "band", "n", "max_tf", "min_length", F.col("p.key").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"))
-    blocks.repartitionByRange("term", "band").sortWithinPartitions("term", "band").write.parquet(f"{path}/blocks")
-    stored = posted.sparkSession.read.parquet(f"{path}/blocks")
+def _level(length: Column) -> Column:
+    return F.floor(F.log(F.greatest(length, F.lit(1)).cast("double")) / F.log(F.lit(STEP))).cast("int")
+
+
+def _deal(levels: dict[str, int]) -> dict[str, int]:
+    """The parts of each level: powers of two, so a band of few rows is cut to few bands where more rows come."""
+    return {x: 1 << max(0, -(-n // BAND) - 1).bit_length() for x, n in levels.items()}
+
+
+def _band(key: Column, level: Column, deal: dict[str, int]) -> Column:
+    """The band of a row: its level, and a part by a hash where the level has more rows than a band holds."""
+    of = F.create_map(*[F.lit(x) for item in deal.items() for x in (int(item[0]), item[1])]) if deal else F.create_map().cast("map<int,int>")
+    return level.cast("bigint") * (1 << 32) + F.pmod(F.xxhash64(key), F.coalesce(F.try_element_at(of, level), F.lit(1)))
+
+
+def _sums(docs: DataFrame, columns: dict[str, float]) -> tuple[tuple[int, int, int, dict[str, int]], int]:
+    """Rows, rows with a token, tokens, rows with a token by level (a few dozen); and the characters."""
+    told = docs.select(token_count(columns).alias("length"), characters(list(columns)).alias("chars")).withColumn("level", F.when(F.col("length") > 0, _level(F.col("length"))))
+    rows = told.groupBy("level").agg(F.count(F.lit(1)).alias("rows"), F.sum("length").alias("tokens"), F.sum("chars").alias("chars")).collect()
+    levels = {str(r.level): r.rows for r in sorted(rows, key=lambda r: r.level or 0) if r.level is not None}
+    return (sum(r.rows for r in rows), sum(levels.values()), sum(r.tokens for r in rows), levels), sum(r.chars for r in rows)
+
+
+def _write_blocks(lists: DataFrame, path: str) -> None:
+    """Lists of postings (term, band, p), dealt out by band, to blocks and terms."""
+    rows = lists.select("term", "band", F.size("p").cast("bigint").alias("n"), F.col("p.key").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"))
+    blocks = rows.select("term", "band", "n", F.array_max("tfs").alias("max_tf"), F.array_min("lengths").alias("min_length"), "keys", "tfs", "lengths")
+    blocks.sortWithinPartitions("term", "band").write.parquet(f"{path}/blocks")
+    stored = lists.sparkSession.read.parquet(f"{path}/blocks")
     stored.groupBy("term").agg(F.sum("n").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
 
 
 def _segment(docs: DataFrame, root: str, key: str, columns: dict[str, float]) -> Segment:
     path = f"{root.rstrip('/')}/segment-{uuid.uuid4().hex}"
-    own = docs.select(key, *columns)
-    _write_blocks(materialize(postings(own, key, columns), "postings"), key, path)
-    return Segment(path, False, *_sums(own, columns))
+    own = docs.select(F.col(key).alias("key"), *columns)
+    sums, chars = _sums(own, columns)
+    deal = _deal(sums[3])
+    banded = own.withColumn("band", _band(F.col("key"), _level(token_count(columns)), deal)).repartition(parts(chars, TASK_CHARS), "band")
+    posted = counted_tokens(banded, ["key", "band"], columns)
+    lists = posted.groupBy("term", "band").agg(F.sort_array(F.collect_list(F.struct("key", "tf", "length"))).alias("p"))  # at most a band's rows
+    _write_blocks(lists, path)
+    return Segment(path, False, *sums, deal)
 
 
 def create(docs: DataFrame, root: str, key: str, columns: dict[str, float]) -> Index:
@@ -139,11 +156,13 @@ def add(index: Index, docs: DataFrame) -> Index:
 
 def _deaths(index: Index, docs: DataFrame) -> Segment:
     path = f"{index.root.rstrip('/')}/deaths-{uuid.uuid4().hex}"
-    own = docs.select(index.key, *index.columns)
-    own.select(F.col(index.key).alias("key")).distinct().write.parquet(f"{path}/deaths")
-    gone = postings(own, index.key, index.columns).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
+    own = docs.select(F.col(index.key).alias("key"), *index.columns)
+    own.select("key", token_count(index.columns).alias("length")).distinct().write.parquet(f"{path}/deaths")
+    words = F.array_distinct(F.concat(*[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in index.columns]))
+    gone = own.select(F.explode(words).alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
     gone.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
-    return Segment(path, True, *(-x for x in _sums(own, index.columns)))
+    rows, held, all_tokens, levels = _sums(own, index.columns)[0]
+    return Segment(path, True, -rows, -held, -all_tokens, {x: -n for x, n in levels.items()}, {})
 
 
 def remove(index: Index, docs: DataFrame) -> Index:
@@ -158,9 +177,13 @@ def update(index: Index, gone: DataFrame, come: DataFrame) -> Index:
 
 
 def _dead(spark: SparkSession, index: Index) -> DataFrame | None:
-    """key and before: the key is dead in segments with a smaller number."""
-    parts = [spark.read.parquet(f"{s.path}/deaths").select("key", F.lit(i).alias("before")) for i, s in enumerate(index.segments) if s.dead]
-    return reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.max("before").alias("before")) if parts else None
+    """segment, band and gone: the keys of a band that later segments have deleted."""
+    pairs = [(i, s, d) for i, s in enumerate(index.segments) if not s.dead for d in index.segments[i + 1 :] if d.dead]
+    if not pairs:
+        return None
+    found = [spark.read.parquet(f"{d.path}/deaths").filter("length > 0").select(F.lit(i).alias("segment"), _band(F.col("key"), _level(F.col("length")), s.deal).alias("band"), "key") for i, s, d in pairs]
+    gone = reduce(DataFrame.unionByName, found).groupBy("segment", "band").agg(F.collect_set("key").alias("gone"))  # at most a band's rows
+    return F.broadcast(gone) if sum(-d.held for _, _, d in pairs) <= DEAD_KEYS else gone
 
 
 def _blocks(spark: SparkSession, index: Index) -> DataFrame:
@@ -169,13 +192,19 @@ def _blocks(spark: SparkSession, index: Index) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _alive(blocks: DataFrame, dead: DataFrame | None) -> DataFrame:
+    """Blocks with their postings that are alive as structs (x: key, tf, length), in place of the arrays."""
+    each = F.arrays_zip(F.col("keys").alias("key"), F.col("tfs").alias("tf"), F.col("lengths").alias("length"))
+    if dead is None:
+        return blocks.withColumn("x", each).drop("keys", "tfs", "lengths")
+    left = F.when(F.col("gone").isNull(), each).otherwise(F.filter(each, lambda p: ~F.array_contains("gone", p["key"])))
+    return blocks.join(dead, ["segment", "band"], "left").withColumn("x", left).drop("keys", "tfs", "lengths", "gone")
+
+
 def _laid(blocks: DataFrame, dead: DataFrame | None, *more: str) -> DataFrame:
     """Postings of blocks that are alive: term, key, tf, length."""
-    each = F.arrays_zip(F.col("keys").alias("keys"), F.col("tfs").alias("tfs"), F.col("lengths").alias("lengths"))
-    rows = blocks.select("term", "segment", *more, F.explode(each).alias("x")).select("term", "segment", *more, F.col("x.keys").alias("key"), F.col("x.tfs").alias("tf"), F.col("x.lengths").alias("length"))
-    if dead is not None:
-        rows = rows.join(bounded_broadcast(dead), "key", "left").filter(F.col("before").isNull() | (F.col("segment") > F.col("before"))).drop("before")
-    return rows
+    rows = _alive(blocks, dead).select("term", "segment", *more, F.explode_outer("x").alias("x"))
+    return rows.filter("x is not null").select("term", "segment", *more, "x.key", "x.tf", "x.length")
 
 
 def live_postings(spark: SparkSession, index: Index) -> DataFrame:
@@ -184,10 +213,25 @@ def live_postings(spark: SparkSession, index: Index) -> DataFrame:
 
 
 def merge(spark: SparkSession, index: Index) -> Index:
-    """One segment in place of all: the postings that are alive, in bands of their own, in the order of terms."""
+    """One segment in place of all: the postings that are alive, in bands of their own.
+
+    A block is cut by the new bands of its rows, and its pieces are dealt out whole.
+    """
     path = f"{index.root.rstrip('/')}/segment-{uuid.uuid4().hex}"
-    _write_blocks(materialize(live_postings(spark, index), "merging"), index.key, path)
-    whole = Segment(path, False, *(sum(getattr(s, x) for s in index.segments) for x in ("rows", "held", "tokens")))
+    levels = {}
+    for s in index.segments:
+        levels = {x: levels.get(x, 0) + s.levels.get(x, 0) for x in {*levels, *s.levels}}
+    levels = {x: levels[x] for x in sorted(levels, key=int) if levels[x] > 0}
+    deal = _deal(levels)
+    level = F.shiftright("band", 32).cast("int")
+    alive = _alive(_blocks(spark, index).select("term", "segment", "band", "keys", "tfs", "lengths"), _dead(spark, index))
+    told = alive.select("term", F.transform("x", lambda p: F.struct(_band(p["key"], level, deal).alias("band"), p.alias("p"))).alias("x"))
+    split = told.select("term", "x", F.explode(F.array_distinct(F.col("x.band"))).alias("band"))
+    pieces = split.select("term", "band", F.transform(F.filter("x", lambda e: e["band"] == F.col("band")), lambda e: e["p"]).alias("p"))
+    held = _blocks(spark, index).agg(F.sum("n")).first()[0]
+    dealt = pieces.repartition(parts(held), "band")
+    _write_blocks(dealt.groupBy("term", "band").agg(F.sort_array(F.flatten(F.collect_list("p"))).alias("p")), path)
+    whole = Segment(path, False, *(sum(getattr(s, x) for s in index.segments) for x in ("rows", "held", "tokens")), levels, deal)
     return _publish(spark, replace(index, segments=(whole,)))
 
 
@@ -217,14 +261,22 @@ def top(spark: SparkSession, index: Index, terms: DataFrame, by: str, k: int) ->
     weighed = asked.join(of_terms(frequencies(spark, index)), "term").select(by, "term", (F.col("times") * idf).alias("weight"))
     weighed = F.broadcast(spark.createDataFrame(weighed.collect(), weighed.schema)) if few else bounded_broadcast(materialize(weighed, "weights"))
     stored, dead = of_terms(_blocks(spark, index)), _dead(spark, index)
+    score = F.sum(F.col("weight") * _gain(F.col("tf"), F.col("length"), index.average))
+    best = Window.partitionBy(by).orderBy(F.desc("score"), "key")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= k)  # noqa: E731  (limited in each task before it is shuffled)
+
+    if not few:  # a task has some bands, and scores each of their rows for every query
+        held, queries = stored.agg(F.sum("n")).first()[0], asked.select(by).distinct().count()
+        dealt = stored.repartition(max(parts(held), parts(index.rows * queries)), "band")
+        each = _laid(dealt.join(weighed, "term"), dead, by, "band", "weight")
+        full = each.groupBy(by, "segment", "band", "key").agg(F.round(score, DIGITS).alias("score")).select(by, "key", "score")
+        blocks = stored.select("term").join(weighed, "term").groupBy(by).agg(F.count(F.lit(1)).alias("blocks"))
+        return ranked(full).withColumnRenamed("key", index.key), blocks.withColumn("read", F.col("blocks"))
 
     # Heads: the blocks of each query with their bounds, those of a band in falling order, and what they and the later ones can add.
     place = [by, "segment", "band"]
     bound = F.col("weight") * _gain(F.col("max_tf"), F.col("min_length"), index.average)
     heads = stored.select("term", "segment", "band", "n", "max_tf", "min_length").join(weighed, "term").select(*place, "term", "n", "weight", bound.alias("bound"))
-    score = F.sum(F.col("weight") * _gain(F.col("tf"), F.col("length"), index.average))
-    best = Window.partitionBy(by).orderBy(F.desc("score"), "key")
-    ranked = lambda df: df.withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= k)  # noqa: E731  (limited in each task before it is shuffled)
 
     def postings_of(chosen: DataFrame) -> DataFrame:
         """Postings of chosen blocks (place, term, weight and more)."""
