@@ -59,7 +59,7 @@ def _index(spark: SparkSession, d: str) -> tuple[str, int, float]:
     at = (spark.sparkContext.applicationId, d)
     if at not in _stored:
         path = scratch_path(spark, "index")
-        _posted(spark, d).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+        _posted(spark, d).sortWithinPartitions("term").write.parquet(f"{path}/postings")  # each file has the terms of some rows in order
         stats = R.index_stats(spark.read.parquet(f"{path}/postings"), "doc_id").first()
         _stored[at] = (path, table(spark, d, "documents").count(), stats.average)
     return _stored[at]
