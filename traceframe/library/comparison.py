@@ -9,6 +9,8 @@ from traceframe.catalog import query
 from traceframe.library.common import table
 from traceframe.operators.alignment import causes
 from traceframe.operators.anchors import Anchor, check
+from traceframe.plans.scratch import materialize
+from traceframe.plans.sizing import parts
 
 TOLERANCE, FAR = 3, 30
 #: Lines of an order stand for entries of a file: place is the day, role the flag; the index has some later, and some under another flag.
@@ -44,8 +46,9 @@ _SQL = f"""WITH RECURSIVE left1 AS (SELECT 0 AS side, l_orderkey AS file, l_retu
 def e07_causes(spark: SparkSession, d: str) -> DataFrame:
     """Every entry of both lists with its counterpart, or the cause why it has none; a line that occurs several times is one entry."""
     columns = ("l_quantity", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate")
-    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in columns])
-    li = li.withColumn("day", F.datediff("l_shipdate", F.lit("1990-01-01")))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *columns)
+    li = rows.repartition(parts(rows.count()), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in columns])
+    li = materialize(li.withColumn("day", F.datediff("l_shipdate", F.lit("1990-01-01"))), "lines")
     entry = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("entry")
     ref = li.filter(_REF).select(F.col("l_orderkey").alias("file"), F.col("l_returnflag").alias("role"), F.col("day").alias("place"), entry)
     idx = li.filter(_IDX).select(F.col("l_orderkey").alias("file"), F.expr(_ROLE).alias("role"), (F.col("day") + F.expr(_SHIFT)).alias("place"), entry)
