@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceframe.operators.joins import full_outer_diff
+from traceframe.plans.sizing import parts
+
+#: Tasks that rows of one value are dealt to at first, and copies of a row that are made at once.
+SALTS, COPIES = 16, 10_000
 
 
 def meta_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -16,9 +21,27 @@ def meta_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.filter(~F.col("old").eqNullSafe(F.col("new")))
 
 
+def _collapsed(rows: DataFrame, columns: list[str], values: list[str], how: Callable[[str], Column]) -> DataFrame:
+    """One row for each different row of ``columns``, with its values put together by ``how``.
+
+    Rows are dealt out to tasks of a bounded size before they are grouped, as few of them
+    are alike; a frequent one goes to several tasks at first.
+    """
+    n = parts(rows.count())
+    put = [how(v).alias(v) for v in values]
+    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).repartition(n, *columns, "_salt")
+    once = salted.groupBy(*columns, "_salt").agg(*put)
+    return once.drop("_salt").repartition(n, *columns).groupBy(*columns).agg(*put)
+
+
 def table_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows that only one side has, as multisets, with their side."""
-    return old.exceptAll(new).withColumn("side", F.lit("gone")).unionAll(new.exceptAll(old).withColumn("side", F.lit("new")))
+    columns = old.columns
+    both = old.withColumn("_n", F.lit(1).cast("bigint")).unionAll(new.withColumn("_n", F.lit(-1).cast("bigint")))
+    left = _collapsed(both, columns, ["_n"], F.sum).filter("_n <> 0")
+    told = left.select(*columns, F.when(F.col("_n") > 0, "gone").otherwise("new").alias("side"), F.abs("_n").alias("_n"))
+    runs = told.select(*columns, "side", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(COPIES))).alias("_at"))
+    return runs.select(*columns, "side", F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES), F.col("_n") - F.col("_at")))).alias("_copy")).drop("_copy")
 
 
 def keyed_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,11 +50,9 @@ def keyed_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def agreement(entries: DataFrame, found: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Per group and in total (null group): entries, hits, recall; found, precision."""
-    e = entries.select(*keys, *by).distinct().withColumn("in_reference", F.lit(True))
-    f = found.select(*keys, *by).distinct().withColumn("in_index", F.lit(True))
-    both = e.join(f, [*keys, *by], "full_outer")
-    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    ref, idx, hit = n(F.col("in_reference")), n(F.col("in_index")), n(F.col("in_reference") & F.col("in_index"))
+    side = lambda df, ref: df.select(*keys, *by, F.lit(ref).alias("in_reference"), F.lit(not ref).alias("in_index"))
+    both = _collapsed(side(entries, True).unionByName(side(found, False)), [*keys, *by], ["in_reference", "in_index"], F.max)
+    ref, idx, hit = (F.count_if(c) for c in (F.col("in_reference"), F.col("in_index"), F.col("in_reference") & F.col("in_index")))
     return both.rollup(*by).agg(ref.alias("entries"), idx.alias("found"), hit.alias("hits"), F.round(hit / F.nullif(ref, F.lit(0)), 6).alias("recall"), F.round(hit / F.nullif(idx, F.lit(0)), 6).alias("precision"))
 
 
