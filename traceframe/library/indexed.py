@@ -41,10 +41,10 @@ def m02_blocks(spark: SparkSession, d: str) -> DataFrame:
 @query("m01_merged_segments", f"WITH {_POST} SELECT term, doc_id, tf, length FROM posted JOIN length USING (doc_id)")
 def m01_merged(spark: SparkSession, d: str) -> DataFrame:
     """As m01, after one language was added to the others, one source deleted and put back, and all was merged."""
-    docs, path = _docs(spark, d), scratch_path(spark, "segments")
-    spanish = table(spark, d, "documents").filter("lang = 'es'").select("doc_id")
-    index = T.create(docs.join(spanish, "doc_id", "left_anti"), path, "doc_id", COLUMNS)
-    index = T.add(index, docs.join(spanish, "doc_id", "left_semi"))
+    every, docs, path = table(spark, d, "documents"), _docs(spark, d), scratch_path(spark, "segments")
+    own = lambda which: every.filter(which).select(docs.columns)
+    index = T.create(own("lang is distinct from 'es'"), path, "doc_id", COLUMNS)
+    index = T.add(index, own("lang = 'es'"))
     source = docs.filter(F.col("source") == "src0")
     index = T.add(T.remove(index, source), source)
     return T.live_postings(spark, T.merge(spark, index)).select("term", "doc_id", F.col("tf").cast("double").alias("tf"), "length")

@@ -4,14 +4,15 @@ Layout of an index folder.  Each segment is a folder of its own, written once:
 
 ``blocks``   term, band, n, max_tf, min_length, and the postings as arrays (keys, tfs,
              lengths); each file has some bands, sorted by term.  A band is a set of up to about
-             BAND rows of like length; a block holds what one term has in one band, so blocks of
-             different terms line up.  A row's band follows from its key and length, so rows are
-             dealt out by bands before their tokens are counted, and postings are not shuffled.
-``deaths``   in a segment of deletions instead: key and length of the rows that are dead in earlier segments.
+             BAND rows of like size in characters; a block holds what one term has in one band, so
+             blocks of different terms line up.  A row's band follows from its key and characters,
+             so rows are dealt out by bands before their tokens are read, once, and postings are
+             not shuffled.  The blocks of the empty term list the rows of a band that have tokens.
+``deaths``   in a segment of deletions instead: key, level and length of the rows that are dead in earlier segments.
 ``terms``    term and df, how many rows hold it; negative in a segment of deletions.
 
 A pointer (``sources.pointers``) lists the segments with their sums: rows, rows with a
-token, tokens, and rows by level of length.  All statistics are kept by addition, so adding and deleting reads only the
+token, tokens, and rows by level of size.  All statistics are kept by addition, so adding and deleting reads only the
 rows that come and go, and ``merge`` gives what a fresh build would.
 
 Search.  The score of a posting grows with tf and falls with length, so a block's largest
@@ -32,19 +33,27 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from traceframe.operators.search import B, K1, MAX_TERMS, MIN_IDF, counted_tokens, token_count, tokens
+from traceframe.operators import posting_blocks
+from traceframe.operators.posting_blocks import ROWS
+from traceframe.operators.search import B, K1, MAX_TERMS, MIN_IDF, token_count, tokens
 from traceframe.plans.scratch import materialize
+from traceframe.plans.shipping import ship
 from traceframe.plans.sizing import TASK_CHARS, TASK_ROWS, bounded_broadcast, characters, parts
 from traceframe.sources import pointers
 
-#: Most rows of a band (about); lengths of a band differ by this factor at most, above a few.
+#: The way the folder is laid out; others are not read.
+LAYOUT = 2
+#: Most rows of a band (about); sizes of a band differ by this factor at most, above a few characters.
 BAND, STEP = 128, 1.2
+#: Bands (about) whose blocks a merge moves together.
+LANE = 4
 #: Bands of a query that are read first hold so many postings for each row wanted.
 PROBE = 8
 #: So many deleted keys are sent to every task; more are shuffled, by bands.
@@ -60,7 +69,7 @@ class Segment:
     rows: int
     held: int
     tokens: int
-    #: Rows with a token by level of length, negative in a segment of deletions; and the parts that a level's rows were dealt to.
+    #: Rows with a character by level of size, negative in a segment of deletions; and the parts that a level's rows were dealt to.
     levels: dict[str, int]
     deal: dict[str, int]
 
@@ -85,7 +94,7 @@ class Index:
 
 
 def _told(index: Index) -> str:
-    return json.dumps({"key": index.key, "columns": index.columns, "segments": [asdict(s) for s in index.segments]}, sort_keys=True)
+    return json.dumps({"layout": LAYOUT, "key": index.key, "columns": index.columns, "segments": [asdict(s) for s in index.segments]}, sort_keys=True)
 
 
 def open_index(spark: SparkSession, root: str) -> Index:
@@ -93,6 +102,8 @@ def open_index(spark: SparkSession, root: str) -> Index:
     if (found := pointers.latest(spark, root)) is None:
         raise FileNotFoundError(f"no index in {root}")
     told = json.loads(found[1])
+    if told.get("layout") != LAYOUT:
+        raise ValueError(f"the index in {root} is laid out in another way: build it anew")
     return Index(root, found[0], told["key"], told["columns"], tuple(Segment(**s) for s in told["segments"]))
 
 
@@ -100,8 +111,9 @@ def _publish(spark: SparkSession, index: Index) -> Index:
     return replace(index, generation=pointers.advance(spark, index.root, _told(index), index.generation))
 
 
-def _level(length: Column) -> Column:
-    return F.floor(F.log(F.greatest(length, F.lit(1)).cast("double")) / F.log(F.lit(STEP))).cast("int")
+def _level(columns: Iterable[str]) -> Column:
+    """The level of a row by its characters, which are known without reading its tokens."""
+    return F.floor(F.log(F.greatest(characters(list(columns)), F.lit(1)).cast("double")) / F.log(F.lit(STEP))).cast("int")
 
 
 def _deal(levels: dict[str, int]) -> dict[str, int]:
@@ -111,37 +123,44 @@ def _deal(levels: dict[str, int]) -> dict[str, int]:
 
 def _band(key: Column, level: Column, deal: dict[str, int]) -> Column:
     """The band of a row: its level, and a part by a hash where the level has more rows than a band holds."""
-    of = F.create_map(*[F.lit(x) for item in deal.items() for x in (int(item[0]), item[1])]) if deal else F.create_map().cast("map<int,int>")
-    return level.cast("bigint") * (1 << 32) + F.pmod(F.xxhash64(key), F.coalesce(F.try_element_at(of, level), F.lit(1)))
+    return level.cast("bigint") * (1 << 32) + F.pmod(F.xxhash64(key), _parts_of(level, deal))
 
 
-def _sums(docs: DataFrame, columns: dict[str, float]) -> tuple[tuple[int, int, int, dict[str, int]], int]:
-    """Rows, rows with a token, tokens, rows with a token by level (a few dozen); and the characters."""
-    told = docs.select(token_count(columns).alias("length"), characters(list(columns)).alias("chars")).withColumn("level", F.when(F.col("length") > 0, _level(F.col("length"))))
-    rows = told.groupBy("level").agg(F.count(F.lit(1)).alias("rows"), F.sum("length").alias("tokens"), F.sum("chars").alias("chars")).collect()
-    levels = {str(r.level): r.rows for r in sorted(rows, key=lambda r: r.level or 0) if r.level is not None}
-    return (sum(r.rows for r in rows), sum(levels.values()), sum(r.tokens for r in rows), levels), sum(r.chars for r in rows)
+def _parts_of(level: Column, deal: dict[str, int]) -> Column:
+    of = F.create_map(*[F.lit(x) for item in deal.items() for x in (int(item[0]), item[1])]) if deal else F.create_map().cast("map<int,int>")
+    return F.coalesce(F.try_element_at(of, level), F.lit(1))
 
 
-def _write_blocks(lists: DataFrame, path: str) -> None:
-    """Lists of postings (term, band, p), dealt out by band, to blocks and terms."""
-    rows = lists.select("term", "band", F.size("p").cast("bigint").alias("n"), F.col("p.key").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"))
-    blocks = rows.select("term", "band", "n", F.array_max("tfs").alias("max_tf"), F.array_min("lengths").alias("min_length"), "keys", "tfs", "lengths")
-    blocks.sortWithinPartitions("term", "band").write.parquet(f"{path}/blocks")
-    stored = lists.sparkSession.read.parquet(f"{path}/blocks")
-    stored.groupBy("term").agg(F.sum("n").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+def _levels(docs: DataFrame, columns: Iterable[str]) -> tuple[int, dict[str, int], int]:
+    """Rows, rows with a character by level (a few dozen), and the characters."""
+    told = docs.select(_level(columns).alias("level"), characters(list(columns)).alias("chars"))
+    rows = told.groupBy("level", (F.col("chars") > 0).alias("any")).agg(F.count(F.lit(1)).alias("rows"), F.sum("chars").alias("chars")).collect()
+    return sum(r.rows for r in rows), {str(r.level): r.rows for r in sorted(rows) if r.any}, sum(r.chars for r in rows)
 
 
 def _segment(docs: DataFrame, root: str, key: str, columns: dict[str, float]) -> Segment:
     path = f"{root.rstrip('/')}/segment-{uuid.uuid4().hex}"
+    ship(docs.sparkSession)
     own = docs.select(F.col(key).alias("key"), *columns)
-    sums, chars = _sums(own, columns)
-    deal = _deal(sums[3])
-    banded = own.withColumn("band", _band(F.col("key"), _level(token_count(columns)), deal)).repartition(parts(chars, TASK_CHARS), "band")
-    posted = counted_tokens(banded, ["key", "band"], columns)
-    lists = posted.groupBy("term", "band").agg(F.sort_array(F.collect_list(F.struct("key", "tf", "length"))).alias("p"))  # at most a band's rows
-    _write_blocks(lists, path)
-    return Segment(path, False, *sums, deal)
+    rows, levels, chars = _levels(own, columns)
+    deal = _deal(levels)
+    banded = own.filter(characters(list(columns)) > 0).withColumn("band", _band(F.col("key"), _level(columns), deal)).repartition(parts(chars, TASK_CHARS), "band")
+    read = banded.select("key", "band", *[tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)])
+    _write_blocks(read.mapInArrow(posting_blocks.of_tokens(list(columns.values())), posting_blocks.schema(own.schema["key"].dataType.simpleString())), path)
+    stored = docs.sparkSession.read.parquet(f"{path}/blocks")
+    _write_terms(stored.filter(F.col("term") != ROWS).groupBy("term").agg(F.sum("n").alias("df")), path)
+    listed = stored.filter(F.col("term") == ROWS).select("n", F.aggregate("lengths", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("tokens"))
+    sums = listed.agg(F.sum("n").alias("held"), F.sum("tokens").alias("tokens")).first()
+    return Segment(path, False, rows, sums.held or 0, sums.tokens or 0, levels, deal)
+
+
+def _write_blocks(blocks: DataFrame, path: str) -> None:
+    blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")
+
+
+def _write_terms(terms: DataFrame, path: str) -> None:
+    """Each file has some terms in order, so that a query reads few row groups."""
+    terms.sortWithinPartitions("term").write.parquet(f"{path}/terms")
 
 
 def create(docs: DataFrame, root: str, key: str, columns: dict[str, float]) -> Index:
@@ -157,12 +176,12 @@ def add(index: Index, docs: DataFrame) -> Index:
 def _deaths(index: Index, docs: DataFrame) -> Segment:
     path = f"{index.root.rstrip('/')}/deaths-{uuid.uuid4().hex}"
     own = docs.select(F.col(index.key).alias("key"), *index.columns)
-    own.select("key", token_count(index.columns).alias("length")).distinct().write.parquet(f"{path}/deaths")
+    own.select("key", _level(index.columns).alias("level"), (characters(list(index.columns)) > 0).alias("any"), token_count(index.columns).alias("length")).write.parquet(f"{path}/deaths")
     words = F.array_distinct(F.concat(*[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in index.columns]))
-    gone = own.select(F.explode(words).alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
-    gone.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
-    rows, held, all_tokens, levels = _sums(own, index.columns)[0]
-    return Segment(path, True, -rows, -held, -all_tokens, {x: -n for x, n in levels.items()}, {})
+    _write_terms(own.select(F.explode(words).alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("df")), path)
+    sums = docs.sparkSession.read.parquet(f"{path}/deaths").groupBy("level", "any").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("length") > 0).alias("held"), F.sum("length").alias("tokens")).collect()
+    levels = {str(r.level): -r.rows for r in sorted(sums) if r.any}
+    return Segment(path, True, *(-sum(r[x] for r in sums) for x in ("rows", "held", "tokens")), levels, {})
 
 
 def remove(index: Index, docs: DataFrame) -> Index:
@@ -176,19 +195,24 @@ def update(index: Index, gone: DataFrame, come: DataFrame) -> Index:
     return _publish(gone.sparkSession, replace(index, segments=(*index.segments, *new)))
 
 
+def _losses(index: Index) -> list[tuple[int, Segment, Segment]]:
+    """Each segment of postings with its number, and each later one of deletions."""
+    return [(i, s, d) for i, s in enumerate(index.segments) if not s.dead for d in index.segments[i + 1 :] if d.dead]
+
+
 def _dead(spark: SparkSession, index: Index) -> DataFrame | None:
     """segment, band and gone: the keys of a band that later segments have deleted."""
-    pairs = [(i, s, d) for i, s in enumerate(index.segments) if not s.dead for d in index.segments[i + 1 :] if d.dead]
+    pairs = _losses(index)
     if not pairs:
         return None
-    found = [spark.read.parquet(f"{d.path}/deaths").filter("length > 0").select(F.lit(i).alias("segment"), _band(F.col("key"), _level(F.col("length")), s.deal).alias("band"), "key") for i, s, d in pairs]
+    found = [spark.read.parquet(f"{d.path}/deaths").filter("length > 0").select(F.lit(i).alias("segment"), _band(F.col("key"), F.col("level"), s.deal).alias("band"), "key") for i, s, d in pairs]
     gone = reduce(DataFrame.unionByName, found).groupBy("segment", "band").agg(F.collect_set("key").alias("gone"))  # at most a band's rows
     return F.broadcast(gone) if sum(-d.held for _, _, d in pairs) <= DEAD_KEYS else gone
 
 
 def _blocks(spark: SparkSession, index: Index) -> DataFrame:
-    """Blocks of all segments, with the segment's number."""
-    parts = [spark.read.parquet(f"{s.path}/blocks").withColumn("segment", F.lit(i)) for i, s in enumerate(index.segments) if not s.dead]
+    """Blocks of all segments, with the segment's number; those that list rows are left out."""
+    parts = [spark.read.parquet(f"{s.path}/blocks").filter(F.col("term") != ROWS).withColumn("segment", F.lit(i)) for i, s in enumerate(index.segments) if not s.dead]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -215,26 +239,57 @@ def live_postings(spark: SparkSession, index: Index) -> DataFrame:
 def merge(spark: SparkSession, index: Index) -> Index:
     """One segment in place of all: the postings that are alive, in bands of their own.
 
-    A block is cut by the new bands of its rows, and its pieces are dealt out whole.
+    Blocks and lost keys are dealt out by lanes, some bands of a level.  A block goes to one
+    lane as it is, but for those of a segment with so few rows that its bands lie in several.
     """
+    ship(spark)
     path = f"{index.root.rstrip('/')}/segment-{uuid.uuid4().hex}"
     levels = {}
     for s in index.segments:
         levels = {x: levels.get(x, 0) + s.levels.get(x, 0) for x in {*levels, *s.levels}}
     levels = {x: levels[x] for x in sorted(levels, key=int) if levels[x] > 0}
     deal = _deal(levels)
-    level = F.shiftright("band", 32).cast("int")
-    alive = _alive(_blocks(spark, index).select("term", "segment", "band", "keys", "tfs", "lengths"), _dead(spark, index))
-    told = alive.select("term", F.transform("x", lambda p: F.struct(_band(p["key"], level, deal).alias("band"), p.alias("p"))).alias("x"))
-    split = told.select("term", "x", F.explode(F.array_distinct(F.col("x.band"))).alias("band"))
-    pieces = split.select("term", "band", F.transform(F.filter("x", lambda e: e["band"] == F.col("band")), lambda e: e["p"]).alias("p"))
-    held = _blocks(spark, index).agg(F.sum("n")).first()[0]
-    dealt = pieces.repartition(parts(held), "band")
-    _write_blocks(dealt.groupBy("term", "band").agg(F.sort_array(F.flatten(F.collect_list("p"))).alias("p")), path)
+    most = {x: max(s.deal.get(x, 1) for s in index.segments) for x in {x for s in index.segments for x in s.deal}}
+    lanes = {x: max(1, n // LANE, deal.get(x, 1) // LANE) for x, n in most.items()}
+    deal = {x: max(n, lanes[x]) for x, n in deal.items()}  # a level that lost most of its rows shrinks by LANE in a merge, for the lost ones come along
+    level, held = F.shiftright("band", 32).cast("int"), 0
+    moved = []
+    for i, s in enumerate(index.segments):
+        if s.dead:
+            continue
+        stored = spark.read.parquet(f"{s.path}/blocks")
+        held += stored.agg(F.sum("n")).first()[0] or 0
+        told = stored.select(F.lit(i).alias("segment"), level.alias("level"), "band", "term", "keys", "tfs", "lengths")
+        wide = [int(x) for x, n in lanes.items() if s.deal.get(x, 1) < n]
+        part = F.col("band").bitwiseAND(F.lit((1 << 32) - 1))
+        whole = told.filter(~F.col("level").isin(wide)).withColumn("lane", level.cast("bigint") * (1 << 32) + F.pmod(part, _parts_of(F.col("level"), lanes)))
+        moved.append(whole.drop("band"))
+        if wide:
+            moved.append(_cut(told.filter(F.col("level").isin(wide)), lanes))
+    for i, _, d in _losses(index):
+        lost = spark.read.parquet(f"{d.path}/deaths").filter("length > 0").select(F.lit(i).alias("segment"), "level", "key", _band(F.col("key"), F.col("level"), lanes).alias("lane"))
+        moved.append(lost.groupBy("segment", "level", "lane").agg(F.collect_set("key").alias("keys")).select("*", F.lit(None).cast("string").alias("term"), *[F.array().cast(f"array<{t}>").alias(c) for c, t in (("tfs", "double"), ("lengths", "bigint"))]))
+    told = reduce(DataFrame.unionByName, moved)
+    key_type = told.schema["keys"].dataType.elementType.simpleString()
+    of_rows = lambda c: F.when(F.col("term") == ROWS, c).otherwise(F.array().cast("array<bigint>"))  # noqa: E731  (many null arrays are slow to send to Python)
+    hashes = F.transform("keys", lambda k: F.xxhash64(k))
+    each = told.select("lane", "segment", "level", "term", "keys", "tfs", of_rows(F.col("lengths")).alias("lengths"), of_rows(hashes).alias("hashes"))
+    dealt = each.mapInArrow(posting_blocks.packed, "lane bigint, rows binary").repartition(parts(held), "lane")
+    _write_blocks(dealt.mapInArrow(posting_blocks.of_blocks({int(x): n for x, n in deal.items()}), posting_blocks.schema(key_type)), path)
+    _write_terms(frequencies(spark, index), path)
     whole = Segment(path, False, *(sum(getattr(s, x) for s in index.segments) for x in ("rows", "held", "tokens")), levels, deal)
     return _publish(spark, replace(index, segments=(whole,)))
 
 
+def _cut(blocks: DataFrame, lanes: dict[str, int]) -> DataFrame:
+    """Blocks (level, band, keys, tfs, lengths and more) cut by the lanes of their rows."""
+    parts = F.transform("keys", lambda k: F.pmod(F.xxhash64(k), F.col("parts")))
+    told = blocks.withColumn("parts", _parts_of(F.col("level"), lanes)).withColumn("part", parts)
+    each = told.select("*", F.explode(F.array_distinct("part")).alias("own"))
+    of = lambda c: F.filter(c, lambda _, i: F.get("part", i) == F.col("own")).alias(c)
+    return each.select("segment", "level", "term", *map(of, ("keys", "tfs", "lengths")), (F.col("level").cast("bigint") * (1 << 32) + F.col("own")).alias("lane"))
+
+
 def frequencies(spark: SparkSession, index: Index) -> DataFrame:
     """term and df over all segments; terms that no row holds any more are left out."""
     parts = [spark.read.parquet(f"{s.path}/terms") for s in index.segments]
