@@ -9,7 +9,8 @@ Layout of an index folder.  Each segment is a folder of its own, written once:
              so rows are dealt out by bands before their tokens are read, once, and postings are
              not shuffled.  The blocks of the empty term list the rows of a band that have tokens.
 ``deaths``   in a segment of deletions instead: key, level and length of the rows that are dead in earlier segments.
-``terms``    term and df, how many rows hold it; negative in a segment of deletions.
+``terms``    there too: term and df, how many dead rows hold it, as a negative number.  Blocks tell how many rows of their own
+             segment hold a term.
 
 A pointer (``sources.pointers``) lists the segments with their sums: rows, rows with a
 token, tokens, and rows by level of size.  All statistics are kept by addition, so adding and deleting reads only the
@@ -45,7 +46,7 @@ from traceframe.operators.posting_blocks import ROWS
 from traceframe.operators.search import B, K1, MAX_TERMS, MIN_IDF, token_count, tokens
 from traceframe.plans.scratch import materialize
 from traceframe.plans.shipping import ship
-from traceframe.plans.sizing import TASK_CHARS, TASK_ROWS, bounded_broadcast, characters, parts
+from traceframe.plans.sizing import TASK_CHARS, bounded_broadcast, characters, parts
 from traceframe.sources import pointers
 
 #: The way the folder is laid out; others are not read.
@@ -56,6 +57,8 @@ BAND, STEP = 128, 1.2
 LANE = 4
 #: Bands of a query that are read first hold so many postings for each row wanted.
 PROBE = 8
+#: Bytes and rows of a page of blocks (about).
+PAGE_BYTES, PAGE_ROWS = 128_000, 2_000
 #: So many deleted keys are sent to every task; more are shuffled, by bands.
 DEAD_KEYS = 4_000_000
 #: Scores are rounded to so many digits, so bounds may miss by half a step.
@@ -145,22 +148,25 @@ def _segment(docs: DataFrame, root: str, key: str, columns: dict[str, float]) ->
     rows, levels, chars = _levels(own, columns)
     deal = _deal(levels)
     banded = own.filter(characters(list(columns)) > 0).withColumn("band", _band(F.col("key"), _level(columns), deal)).repartition(parts(chars, TASK_CHARS), "band")
-    read = banded.select("key", "band", *[tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)])
-    _write_blocks(read.mapInArrow(posting_blocks.of_tokens(list(columns.values())), posting_blocks.schema(own.schema["key"].dataType.simpleString())), path)
+    read = banded.select("key", "band", *[x for i, c in enumerate(columns) for x in _read(c, i)])
+    _write_blocks(read.mapInArrow(posting_blocks.of_texts(list(columns.values())), posting_blocks.schema(own.schema["key"].dataType.simpleString())), path)
     stored = docs.sparkSession.read.parquet(f"{path}/blocks")
-    _write_terms(stored.filter(F.col("term") != ROWS).groupBy("term").agg(F.sum("n").alias("df")), path)
     listed = stored.filter(F.col("term") == ROWS).select("n", F.aggregate("lengths", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("tokens"))
     sums = listed.agg(F.sum("n").alias("held"), F.sum("tokens").alias("tokens")).first()
     return Segment(path, False, rows, sums.held or 0, sums.tokens or 0, levels, deal)
 
 
-def _write_blocks(blocks: DataFrame, path: str) -> None:
-    blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")
+def _read(column: str, i: int) -> tuple[Column, Column]:
+    """A column's text for ``posting_blocks``, lower-cased; or its tokens, where it has a character that is left to Spark."""
+    low = F.lower(F.col(column))
+    odd = (F.octet_length(low) > F.length(low)) & low.rlike(posting_blocks.ODD)
+    return F.when(~odd, low).alias(f"x{i}"), F.when(odd, tokens(F.col(column))).alias(f"t{i}")
 
 
-def _write_terms(terms: DataFrame, path: str) -> None:
-    """Each file has some terms in order, so that a query reads few row groups."""
-    terms.sortWithinPartitions("term").write.parquet(f"{path}/terms")
+def _write_blocks(blocks: DataFrame, path: str) -> None:
+    """Pages are small, as a query reads those that its terms are on; terms are too many for a dictionary, and sorted."""
+    pages = {"parquet.page.size": PAGE_BYTES, "parquet.page.row.count.limit": PAGE_ROWS, "parquet.enable.dictionary#term": "false"}
+    blocks.write.options(compression="zstd", **pages).parquet(f"{path}/blocks")
 
 
 def create(docs: DataFrame, root: str, key: str, columns: dict[str, float]) -> Index:
@@ -178,7 +184,8 @@ def _deaths(index: Index, docs: DataFrame) -> Segment:
     own = docs.select(F.col(index.key).alias("key"), *index.columns)
     own.select("key", _level(index.columns).alias("level"), (characters(list(index.columns)) > 0).alias("any"), token_count(index.columns).alias("length")).write.parquet(f"{path}/deaths")
     words = F.array_distinct(F.concat(*[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in index.columns]))
-    _write_terms(own.select(F.explode(words).alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("df")), path)
+    lost = own.select(F.explode(words).alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
+    lost.sortWithinPartitions("term").write.parquet(f"{path}/terms")  # each file has some terms in order, so that a query reads few row groups
     sums = docs.sparkSession.read.parquet(f"{path}/deaths").groupBy("level", "any").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("length") > 0).alias("held"), F.sum("length").alias("tokens")).collect()
     levels = {str(r.level): -r.rows for r in sorted(sums) if r.any}
     return Segment(path, True, *(-sum(r[x] for r in sums) for x in ("rows", "held", "tokens")), levels, {})
@@ -276,7 +283,6 @@ def merge(spark: SparkSession, index: Index) -> Index:
     each = told.select("lane", "segment", "level", "term", "keys", "tfs", of_rows(F.col("lengths")).alias("lengths"), of_rows(hashes).alias("hashes"))
     dealt = each.mapInArrow(posting_blocks.packed, "lane bigint, rows binary").repartition(parts(held), "lane")
     _write_blocks(dealt.mapInArrow(posting_blocks.of_blocks({int(x): n for x, n in deal.items()}), posting_blocks.schema(key_type)), path)
-    _write_terms(frequencies(spark, index), path)
     whole = Segment(path, False, *(sum(getattr(s, x) for s in index.segments) for x in ("rows", "held", "tokens")), levels, deal)
     return _publish(spark, replace(index, segments=(whole,)))
 
@@ -292,7 +298,8 @@ def _cut(blocks: DataFrame, lanes: dict[str, int]) -> DataFrame:
 
 def frequencies(spark: SparkSession, index: Index) -> DataFrame:
     """term and df over all segments; terms that no row holds any more are left out."""
-    parts = [spark.read.parquet(f"{s.path}/terms") for s in index.segments]
+    told = lambda s: spark.read.parquet(f"{s.path}/terms") if s.dead else spark.read.parquet(f"{s.path}/blocks").filter(F.col("term") != ROWS).select("term", F.col("n").alias("df"))
+    parts = [told(s) for s in index.segments]
     return reduce(DataFrame.unionByName, parts).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
 
 
@@ -331,7 +338,7 @@ def top(spark: SparkSession, index: Index, terms: DataFrame, by: str, k: int) ->
     # Heads: the blocks of each query with their bounds, those of a band in falling order, and what they and the later ones can add.
     place = [by, "segment", "band"]
     bound = F.col("weight") * _gain(F.col("max_tf"), F.col("min_length"), index.average)
-    heads = stored.select("term", "segment", "band", "n", "max_tf", "min_length").join(weighed, "term").select(*place, "term", "n", "weight", bound.alias("bound"))
+    heads = materialize(stored.select("term", "segment", "band", "n", "max_tf", "min_length").join(weighed, "term").select(*place, "term", "n", "weight", bound.alias("bound")), "heads")
 
     def postings_of(chosen: DataFrame) -> DataFrame:
         """Postings of chosen blocks (place, term, weight and more)."""
